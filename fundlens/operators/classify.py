@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import keys as K
@@ -22,48 +24,47 @@ def _rule_rows(rules: DataFrame, version: int) -> list:
     return rows
 
 
-def _matches(rule, text: Column, direction: Column) -> Column:
-    value = rule["match_value"]
-    test = {
-        "EXACT": lambda: text == value,
-        "PREFIX": lambda: text.startswith(value),
-        "CONTAINS": lambda: text.contains(value),
-    }[rule["match_type"]]()
-    return test if rule["direction"] == "EITHER" else (direction == rule["direction"]) & test
+MATCH = (
+    "array<struct<rule_id: string, priority: bigint, classification: string, "
+    "confidence: string, canonical_counterparty: string, "
+    "match_type: string, match_value: string, direction: string>>"
+)
+_PATTERN = {"EXACT": "^\\Q{}\\E$", "PREFIX": "^\\Q{}\\E", "CONTAINS": "\\Q{}\\E"}
 
 
 def match_rules(transactions: DataFrame, rules: DataFrame, version: int = 1) -> DataFrame:
     """Adds direction, normalised text and ``rule_matches`` (best rule first).
 
-    Each rule becomes one conditional of a projection, so matching neither
-    joins nor shuffles the transactions.
+    The rules travel as one constant array inside the projection, so matching
+    neither joins nor shuffles the transactions. One combined pattern decides
+    first whether any rule can match; only then are the rules tried.
     """
+    rows = _rule_rows(rules, version)
+    names = ["rule_id", "priority", "classification", "confidence", "canonical_counterparty",
+             "match_type", "match_value", "direction"]
+    constant = F.from_json(F.lit(json.dumps([{n: r[n] for n in names} for r in rows])), MATCH)
+    anything = "|".join(sorted({_PATTERN[r["match_type"]].format(r["match_value"]) for r in rows})) or "(?!)"
     text, direction = F.col("normalized_description"), F.col("direction")
+
+    def applies(rule: Column) -> Column:
+        value = rule["match_value"]
+        test = (
+            F.when(rule["match_type"] == "EXACT", text == value)
+            .when(rule["match_type"] == "PREFIX", F.startswith(text, value))
+            .otherwise(F.contains(text, value))
+        )
+        return ((rule["direction"] == "EITHER") | (rule["direction"] == direction)) & test
+
     prepared = transactions.select(
         "*",
         F.when(F.col("amount") > 0, "CREDIT").when(F.col("amount") < 0, "DEBIT").alias("direction"),
         T.normalize_description(F.col("description")).alias("normalized_description"),
         K.transaction_id(F.col("file_id"), F.col("transaction_index")).alias("transaction_id"),
     ).drop("description")
-    candidates = [
-        F.when(
-            _matches(rule, text, direction),
-            F.struct(
-                F.lit(rule["rule_id"]).alias("rule_id"),
-                F.lit(rule["priority"]).cast("bigint").alias("priority"),
-                F.lit(rule["classification"]).alias("classification"),
-                F.lit(rule["confidence"]).alias("confidence"),
-                F.lit(rule["canonical_counterparty"]).cast("string").alias("canonical_counterparty"),
-            ),
-        )
-        for rule in _rule_rows(rules, version)
-    ]
-    kind = (
-        "array<struct<rule_id: string, priority: bigint, classification: string, "
-        "confidence: string, canonical_counterparty: string>>"
+    return prepared.withColumn(
+        "rule_matches",
+        F.when(text.rlike(anything), F.filter(constant, applies)).otherwise(F.array().cast(MATCH)),
     )
-    found = F.array_compact(F.array(*candidates)) if candidates else F.array()
-    return prepared.withColumn("rule_matches", found.cast(kind))
 
 
 def resolve_matches(matched: DataFrame) -> DataFrame:

@@ -124,53 +124,59 @@ def payment_events(classified: DataFrame, periods: DataFrame) -> DataFrame:
 
 
 def funding_epochs(events: DataFrame) -> DataFrame:
-    """Payments with the number of fundings up to them and the next funding date."""
+    """Every event with the number of fundings up to it.
+
+    ``payment_number`` counts the lender's successful payments up to the event.
+    """
+    payment = (F.col("event_type") == "PAYMENT") & F.col("successful")
+    return running_totals(
+        events, LENDER, "transaction_date", ORDER,
+        {"funding_epoch": F.col("event_type") == "FUNDING", "payment_number": payment},
+    )
+
+
+def epoch_payments(epochs: DataFrame) -> DataFrame:
+    """Payments with the date of the funding that ends their epoch."""
     funding = F.col("event_type") == "FUNDING"
-    counted = running_totals(events, LENDER, "transaction_date", ORDER, {"funding_epoch": funding.cast("int")})
-    payments = counted.filter(~funding)
-    # The funding that ends an epoch is the one that starts the next.
-    starts = counted.filter(funding).select(
+    ends = epochs.filter(funding).select(
         *LENDER, (F.col("funding_epoch") - 1).alias("funding_epoch"),
         F.col("transaction_date").alias("next_funding_date"),
     )
-    return payments.join(starts, EPOCH, "left")
-
+    return epochs.filter(~funding).join(ends, EPOCH, "left")
 
-def amount_streams(payments: DataFrame) -> DataFrame:
-    """Splits each epoch where the payment amount changes for good.
 
-    A successful payment opens a new stream when it differs from the one before
-    and the next two stay with it. Reversed payments take the stream they fall in.
-    """
-    numbered = running_totals(
-        payments.filter("successful"), EPOCH, "transaction_date", ORDER, {"number": F.lit(1)}
-    )
+def stream_openings(payments: DataFrame) -> DataFrame:
+    """Marks successful payments that open a new amount stream: they differ from
+    the payment before and the next two, all in the same epoch, stay with them."""
+    tracked = payments.filter("successful").withColumn("here", F.struct("funding_epoch", "payment_amount"))
     looked = neighbours(
-        numbered, EPOCH, "number",
-        {
-            "previous": ("payment_amount", -1),
-            "following": ("payment_amount", 1),
-            "second_following": ("payment_amount", 2),
-        },
+        tracked, LENDER, "payment_number",
+        {"previous": ("here", -1), "following": ("here", 1), "second": ("here", 2)},
     )
+
+    def amount_of(name):
+        return F.when(F.col(f"{name}.funding_epoch") == F.col("funding_epoch"), F.col(f"{name}.payment_amount"))
+
     amount = F.col("payment_amount")
     opens = (
-        ~within_tolerance(amount, F.col("previous"))
-        & within_tolerance(F.col("following"), amount)
-        & within_tolerance(F.col("second_following"), amount)
+        ~within_tolerance(amount, amount_of("previous"))
+        & within_tolerance(amount_of("following"), amount)
+        & within_tolerance(amount_of("second"), amount)
     )
-    flagged = looked.withColumn("opens", F.coalesce(opens, F.lit(False))).drop(
-        "number", "previous", "following", "second_following"
+    marked = looked.withColumn("opens", F.coalesce(opens, F.lit(False))).drop("here", "previous", "following", "second")
+    reversed_payments = payments.filter(~F.col("successful")).withColumn("opens", F.lit(False))
+    return marked.unionByName(reversed_payments).drop("payment_number")
+
+
+def amount_streams(openings: DataFrame) -> DataFrame:
+    """Numbers the streams of an epoch; a reversed payment takes the stream it
+    falls into. Stream and epoch together identify a position."""
+    position = K.position_digest(
+        F.col("account_key"), F.col("base_position_key"), F.col("funding_epoch"), F.col("amount_stream")
     )
-    everything = flagged.unionByName(payments.filter(~F.col("successful")).withColumn("opens", F.lit(False)))
     return (
-        running_totals(everything, EPOCH, "transaction_date", ORDER, {"amount_stream": F.col("opens").cast("int")})
-        .withColumn(
-            "position_key",
-            K.position_digest(
-                F.col("account_key"), F.col("base_position_key"), F.col("funding_epoch"), F.col("amount_stream")
-            ),
-        )
+        running_totals(openings, EPOCH, "transaction_date", ORDER, {"amount_stream": F.col("opens")})
+        .withColumn("position_key", position)
         .drop("opens")
     )
 

@@ -44,11 +44,11 @@ class Underwriting:
 
     @cached_property
     def current(self) -> DataFrame:
-        return S.current_documents(self.ledger)
+        return self._stage(S.current_documents(self.ledger), "current")
 
     @cached_property
     def ordinals(self) -> DataFrame:
-        return self.calendar.ordinals(self.spark)
+        return self._stage(self.calendar.ordinals(self.spark), "calendar")
 
     @cached_property
     def resolved(self) -> DataFrame:
@@ -64,7 +64,7 @@ class Underwriting:
 
     @cached_property
     def periods(self) -> DataFrame:
-        return P.account_periods(self.calculated, self.current)
+        return self._stage(P.account_periods(self.calculated, self.current), "periods")
 
     @cached_property
     def coverage(self) -> DataFrame:
@@ -72,15 +72,19 @@ class Underwriting:
 
     @cached_property
     def events(self) -> DataFrame:
-        return P.payment_events(self.classified, self.periods)
+        return self._stage(P.payment_events(self.classified, self.periods), "events")
 
     @cached_property
     def epochs(self) -> DataFrame:
         return P.funding_epochs(self.events)
 
+    @cached_property
+    def openings(self) -> DataFrame:
+        return self._stage(P.stream_openings(P.epoch_payments(self.epochs)), "openings")
+
     @cached_property
     def streams(self) -> DataFrame:
-        return self._stage(P.amount_streams(self.epochs), "streams")
+        return self._stage(P.amount_streams(self.openings), "streams")
 
     @cached_property
     def payments(self) -> DataFrame:
@@ -88,7 +92,7 @@ class Underwriting:
 
     @cached_property
     def payment_days(self) -> DataFrame:
-        return P.payment_days(self.payments, self.coverage, self.ordinals)
+        return self._stage(P.payment_days(self.payments, self.coverage, self.ordinals), "payment_days")
 
     @cached_property
     def graded_positions(self) -> DataFrame:
