@@ -284,9 +284,8 @@ def cadences(totals: DataFrame, days: DataFrame, coverage: DataFrame, ordinals:
     joined = totals.join(summary, position, "left").join(coverage, ["entry_id", "account_key"], "left")
     low = calendar.clip_start(F.greatest("first_consistent_date", "coverage_start"))
     high = calendar.clip_end(F.least("last_consistent_date", "coverage_end"))
-    bounded = joined.withColumn("span_low", F.when(F.col("coverage_start").isNotNull(), low)).withColumn(
-        "span_high", F.when(F.col("coverage_end").isNotNull(), high)
-    )
+    known = F.col("coverage_start").isNotNull() & F.col("first_consistent_date").isNotNull()
+    bounded = joined.withColumn("span_low", F.when(known, low)).withColumn("span_high", F.when(known, high))
     day, ordinal = F.col("calendar_date"), F.col("business_day_ordinal")
     before_low = ordinals.select(day.alias("span_low"), (ordinal - F.col("is_business_day").cast("int")).alias("before_low"))
     to_high = ordinals.select(day.alias("span_high"), ordinal.alias("to_high"))

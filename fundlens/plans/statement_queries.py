@@ -388,10 +388,8 @@ def _(u):
 @register(
     "business_calendar_orders",
     "day:d business:b weekend:b holiday_name:s ord:n orders:n",
-    chained("""SELECT c.day, business, weekend, holiday_name, ord - min(CASE WHEN business THEN ord - 1 ELSE ord END) OVER () AS ord, count(o.o_orderkey) AS orders
-      FROM (SELECT * FROM cal WHERE day >= DATE '2015-01-01') c LEFT JOIN
-        (SELECT o_orderkey, CAST(o_orderdate + INTERVAL 24 YEAR AS DATE) AS day FROM orders) o ON o.day = c.day
-      GROUP BY ALL"""),
+    chained("""SELECT c.day, business, weekend, holiday_name, ord, coalesce(n, 0) AS orders
+      FROM cal c LEFT JOIN (SELECT CAST(o_orderdate + INTERVAL 24 YEAR AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1) USING (day)"""),
 )
 def _(spark, sf_dir):
     calendar = Calendar()
