@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from .running import running_totals
 
+PART_ROWS = 1_000
 ATTACHMENT_BYTES = 24 * 1024 * 1024
 # Labels of the sales buckets.
 SALES_BUCKETS = {
@@ -65,18 +67,23 @@ STATEMENT_FIELDS = [
 ]
 
 
-def summary_fingerprints(summary: DataFrame, statements: DataFrame) -> DataFrame:
+def summary_fingerprints(
+    summary: DataFrame, statements: DataFrame, fields: list[str] = STATEMENT_FIELDS
+) -> DataFrame:
     """Digest of the displayed figures of each submission.
 
     A statement's line is digested where it is; the entry digest covers its
-    header and the lines in display order, folded as fixed-size digests.
+    header and the lines in display order. Entries beyond a thousand statements
+    are folded in parts of that size, so only digests meet in one place.
     """
-    line = F.sha2(F.to_json(F.struct(*STATEMENT_FIELDS), {"ignoreNullFields": "false"}), 256)
+    line = F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
     order = F.struct(
         F.coalesce("statement_start_date", F.lit("")), F.coalesce("statement_end_date", F.lit("")),
         "document_index", "document_id",
     )
-    lines = statements.select("entry_id", order.alias("place"), line.alias("line"), F.floor(F.col("document_index") / F.lit(1000)).alias("part"))
+    numbered = running_totals(statements, ["entry_id"], "document_index", ["document_id", "file_id"], {"_row": F.lit(1)})
+    part = F.floor((F.col("_row") - 1) / F.lit(PART_ROWS)).alias("part")
+    lines = numbered.select("entry_id", order.alias("place"), line.alias("line"), part)
     parts = lines.groupBy("entry_id", "part").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("rows"))
     part_digest = F.sha2(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), 256)
     folded = parts.select("entry_id", "part", part_digest.alias("digest")).groupBy("entry_id").agg(
