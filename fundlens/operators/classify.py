@@ -150,8 +150,9 @@ def reversal_pairs(resolved: DataFrame, current: DataFrame, ordinals: DataFrame)
 
 
 def attach_pairs(resolved: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Marks both ends of every pair with one join: a transaction is never both
-    a reversal and an original."""
+    """Marks both ends of every pair. A transaction is never both a reversal and
+    an original, so one join does; only transactions with a known lender can be
+    paired, so the others do not take part in its shuffle."""
     ends = pairs.select(
         F.explode(
             F.array(
@@ -168,20 +169,20 @@ def attach_pairs(resolved: DataFrame, pairs: DataFrame) -> DataFrame:
             )
         ).alias("end")
     ).select("end.*")
+    pairable = F.col("canonical_counterparty").isNotNull()
     reversed_original = F.coalesce(~F.col("reverses"), F.lit(False))
-    return (
-        resolved.join(ends, "transaction_id", "left")
-        .withColumn("paired_reversal_transaction_id", F.col("partner"))
-        .withColumn("is_confirmed_reversal", F.coalesce("reverses", F.lit(False)))
-        .withColumn("is_reversed_original", reversed_original)
-        .withColumn("is_reversed_payment", F.coalesce(reversed_original & (F.col("amount") < 0), F.lit(False)))
-        .drop("partner", "reverses")
-    )
+    no = F.lit(False)
 
+    def marked(df, partner, reversal, original, payment):
+        return df.select(
+            *resolved.columns,
+            partner.cast("string").alias("paired_reversal_transaction_id"), reversal.alias("is_confirmed_reversal"),
+            original.alias("is_reversed_original"), payment.alias("is_reversed_payment"),
+        )
 
-def classify_transactions(
-    transactions: DataFrame, rules: DataFrame, current: DataFrame, ordinals: DataFrame, stage=lambda df, name: df
-) -> DataFrame:
-    """Rules, winners and reversal pairs; descriptions do not leave this step."""
-    resolved = stage(resolve_matches(match_rules(transactions, rules)), "resolved")
-    return attach_pairs(resolved, reversal_pairs(resolved, current, ordinals))
+    joined = marked(
+        resolved.filter(pairable).join(ends, "transaction_id", "left"),
+        F.col("partner"), F.coalesce("reverses", no), reversed_original,
+        F.coalesce(reversed_original & (F.col("amount") < 0), no),
+    )
+    return joined.unionByName(marked(resolved.filter(~pairable), F.lit(None), no, no, no))

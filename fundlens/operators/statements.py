@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import keys as K
 from ..functions import text as T
-from ..schemas import MONEY
 
 IDENTITY = ["entry_id", "document_id", "document_index", "file_id"]
 SUM = "decimal(28,2)"
@@ -69,7 +68,7 @@ def calculate_statements(canonical: DataFrame) -> DataFrame:
     """One row per statement: counts, calculated totals and reconciliation.
 
     Everything comes from the row's own transaction array, so nothing is
-    exploded or shuffled here. ``transactions`` is left in reading order.
+    exploded or shuffled here. ``transactions`` stays in reading order.
     """
     s = F.col("statement.summary")
     tx = F.col("transactions")
@@ -135,11 +134,13 @@ def classified_account_key() -> Column:
     ).otherwise(K.document_digest(F.col("entry_id"), F.col("document_id")))
 
 
-def statement_transactions(calculated: DataFrame) -> DataFrame:
-    """One row per transaction in (date, reading order) with its running balance.
+def with_running_balances(calculated: DataFrame) -> DataFrame:
+    """Statements with their transactions in (date, reading order) and numbered,
+    each with the balance after it.
 
-    The rows of a file come out of a single input row and stay on its partition,
-    so the running balance needs no further shuffle and no group outgrows a row.
+    The input is partitioned by file already (it comes out of the grouping by
+    file), so exploding, the running sum and the regrouping add no shuffle, and a
+    file's rows all come from one input row.
     """
     ordered = F.array_sort(
         F.transform(
@@ -150,33 +151,42 @@ def statement_transactions(calculated: DataFrame) -> DataFrame:
             ),
         )
     )
-    header = calculated.withColumn("account_key", classified_account_key())
-    exploded = header.select(
-        *IDENTITY, "account_key", "start_balance", "missing_amount_count", "missing_date_count",
-        F.posexplode(ordered).alias("offset", "t"),
+    header = [c for c in calculated.columns if c not in ("file_id", "transactions")]
+    exploded = calculated.select(
+        "file_id", F.struct(*header).alias("header"), F.posexplode_outer(ordered).alias("offset", "t")
     )
     running = Window.partitionBy("file_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    complete = (F.col("missing_amount_count") == 0) & (F.col("missing_date_count") == 0)
-    return exploded.select(
-        *IDENTITY, "account_key",
-        (F.col("offset") + 1).cast("bigint").alias("transaction_index"),
-        F.col("t.date").alias("transaction_date"),
-        F.col("t.description").alias("description"),
-        F.col("t.amount").alias("amount"),
-        F.when(complete, (F.col("start_balance") + F.sum("t.amount").over(running)).cast(SUM)).alias("balance"),
+    complete = (F.col("header.missing_amount_count") == 0) & (F.col("header.missing_date_count") == 0)
+    balance = F.when(complete, (F.col("header.start_balance") + F.sum("t.amount").over(running)).cast(SUM))
+    lines = exploded.select(
+        "file_id", "header",
+        F.when(
+            F.col("offset").isNotNull(),
+            F.struct(
+                (F.col("offset") + 1).cast("bigint").alias("transaction_index"), F.col("t.date").alias("date"),
+                F.col("t.description").alias("description"), F.col("t.amount").alias("amount"), balance.alias("balance"),
+            ),
+        ).alias("line"),
+    )
+    return (
+        lines.groupBy("file_id")
+        .agg(F.any_value("header").alias("header"), F.array_sort(F.collect_list("line")).alias("transactions"))
+        .select("header.*", "file_id", "transactions")
     )
 
 
-def nest_calculated(calculated: DataFrame, transactions: DataFrame) -> DataFrame:
-    """The nested statement record: summary, ordered transactions, reconciliation."""
-    lines = transactions.groupBy("file_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("transaction_index", F.col("transaction_date").alias("date"), "description", "amount", "balance")
-            )
-        ).alias("lines")
+def statement_transactions(balanced: DataFrame) -> DataFrame:
+    """One row per transaction; a plain explode of the balanced statements."""
+    return balanced.select(
+        *IDENTITY, classified_account_key().alias("account_key"), F.explode("transactions").alias("t")
+    ).select(
+        *IDENTITY, "account_key", "t.transaction_index", F.col("t.date").alias("transaction_date"),
+        "t.description", "t.amount", "t.balance",
     )
-    bare = F.transform("lines", lambda t: t.dropFields("transaction_index"))
+
+
+def nest_calculated(balanced: DataFrame) -> DataFrame:
+    """The nested statement record: summary, ordered transactions, reconciliation."""
     summary = F.struct(
         "account_number", "bank_name", "company", "start_balance", "end_balance",
         "statement_start_date", "statement_end_date", "total_credits", "total_debits",
@@ -186,10 +196,10 @@ def nest_calculated(calculated: DataFrame, transactions: DataFrame) -> DataFrame
     reconciliation = F.struct(
         *[f"{n}_{k}" for n in ("credits", "debits", "ending_balance") for k in ("difference", "status")]
     )
-    empty = F.array().cast(f"array<struct<date: date, description: string, amount: {MONEY}, balance: {SUM}>>")
-    return calculated.drop("transactions").join(lines, "file_id", "left").select(
+    bare = F.transform("transactions", lambda t: t.dropFields("transaction_index"))
+    return balanced.select(
         *IDENTITY, "extracted_at",
-        F.struct(summary.alias("summary"), F.coalesce(bare, empty).alias("transactions")).alias("statement"),
+        F.struct(summary.alias("summary"), bare.alias("transactions")).alias("statement"),
         reconciliation.alias("reconciliation"),
     )
 

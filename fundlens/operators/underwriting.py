@@ -85,55 +85,54 @@ def transaction_metrics(classified: DataFrame) -> DataFrame:
     )
 
 
-def daily_closing_balances(calculated: DataFrame, calendar: Calendar) -> DataFrame:
-    """Closing balance of every calendar day in each statement period.
+def closing_balances(calendar: Calendar) -> Column:
+    """(day, balance) for every calendar day of a statement's period.
 
-    A running sum over day totals replaces joining each day to every earlier
-    transaction. A statement is one input row, so its days fit one window.
+    Worked out inside the row from its own transactions: no calendar join and no
+    shuffle. NULL when the period is not valid.
     """
     low = calendar.clip_start(F.col("statement_start_date"))
     high = calendar.clip_end(F.col("statement_end_date"))
-    owner = ["entry_id", "document_id", "file_id"]
-    periods = calculated.filter(F.col("statement_start_date") <= F.col("statement_end_date")).filter(low <= high)
-    money = F.lit(0).cast("decimal(18,2)")
-    changes = F.concat(
-        F.transform(
-            F.sequence(low, high),
-            lambda d: F.struct(d.alias("day"), money.alias("amount"), F.lit(True).alias("in_period")),
-        ),
-        F.transform(
-            F.filter("transactions", lambda t: t["date"] <= high),
-            lambda t: F.struct(
-                t["date"].alias("day"), F.coalesce(t["amount"], money).alias("amount"), F.lit(False).alias("in_period")
-            ),
-        ),
-    )
-    running = Window.partitionBy("file_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    days = (
-        periods.select(*owner, "start_balance", F.explode(changes).alias("c"))
-        .groupBy(*owner, "start_balance", "c.day")
-        .agg(F.sum("c.amount").alias("change"), F.bool_or("c.in_period").alias("in_period"))
-    )
-    closing = (F.col("start_balance") + F.sum("change").over(running)).cast(SUM)
-    return days.withColumn("closing_balance", closing).filter("in_period").select(
-        *owner, F.col("day").alias("calendar_date"), "closing_balance"
+    valid = (F.col("statement_start_date") <= F.col("statement_end_date")) & (low <= high)
+
+    def until(day):
+        return F.aggregate(
+            F.filter("transactions", lambda t: t["date"] <= day),
+            F.col("start_balance").cast(SUM),
+            lambda total, t: (total + F.coalesce(t["amount"], F.lit(0))).cast(SUM),
+        )
+
+    return F.when(
+        valid,
+        F.transform(F.sequence(low, high), lambda d: F.struct(d.alias("calendar_date"), until(d).alias("closing_balance"))),
     )
 
 
-def balance_metrics(daily: DataFrame) -> DataFrame:
-    average = (F.sum("closing_balance") / F.count("*")).cast("decimal(38,9)")
-    return daily.groupBy("entry_id", "document_id", "file_id").agg(
-        F.count("*").alias("calendar_day_count"),
-        average.alias("average_daily_balance"),
-        F.count_if(F.col("closing_balance") < 0).alias("negative_balance_days"),
+def daily_closing_balances(calculated: DataFrame, calendar: Calendar) -> DataFrame:
+    """Closing balance of every calendar day in each statement period."""
+    return calculated.select(
+        "entry_id", "document_id", "file_id", F.explode(closing_balances(calendar)).alias("day")
+    ).select("entry_id", "document_id", "file_id", "day.*")
+
+
+def with_balance_metrics(calculated: DataFrame, calendar: Calendar) -> DataFrame:
+    """Statements with day count, average daily balance and negative days."""
+    days = F.col("_days")
+    total = F.aggregate(days, F.lit(0).cast("decimal(34,2)"), lambda t, d: (t + d["closing_balance"]).cast("decimal(34,2)"))
+    count = F.size(days)
+    return calculated.withColumn("_days", closing_balances(calendar)).select(
+        *calculated.columns,
+        F.coalesce(count, F.lit(0)).cast("bigint").alias("calendar_day_count"),
+        (total / count.cast("decimal(10,0)")).cast("decimal(38,9)").alias("average_daily_balance"),
+        F.size(F.filter(days, lambda d: d["closing_balance"] < 0)).cast("bigint").alias("negative_balance_days"),
     )
 
 
-def statement_financials(calculated: DataFrame, metrics: DataFrame, balances: DataFrame) -> DataFrame:
+def statement_financials(balanced: DataFrame, metrics: DataFrame) -> DataFrame:
     """Totals and balances, NULL whenever their inputs are incomplete."""
     owner = ["entry_id", "document_id", "file_id"]
     amounts_known = F.col("missing_amount_count") == 0
-    joined = calculated.drop("transactions").join(metrics, owner, "left").join(balances, owner, "left")
+    joined = balanced.drop("transactions").join(metrics, owner, "left")
     day_count = F.when(
         F.col("statement_end_date") >= F.col("statement_start_date"),
         (F.datediff("statement_end_date", "statement_start_date") + 1).cast("bigint"),
@@ -143,7 +142,6 @@ def statement_financials(calculated: DataFrame, metrics: DataFrame, balances: Da
         subset=[
             "known_total_deposits", "known_confirmed_non_revenue_deposits", "known_ambiguous_amount",
             "ambiguous_non_revenue_candidate_count", "unpaired_reversal_count", "rule_conflict_count",
-            "calendar_day_count",
         ],
     ).withColumn("statement_day_count", day_count)
     balances_known = (
@@ -360,28 +358,25 @@ def statement_underwriting_summary(
     calculated: DataFrame, classified: DataFrame, positions: DataFrame, calendar: Calendar
 ) -> DataFrame:
     """One row per canonical statement, without account numbers or descriptions."""
-    financials = statement_financials(
-        calculated, transaction_metrics(classified), balance_metrics(daily_closing_balances(calculated, calendar))
-    )
+    financials = statement_financials(with_balance_metrics(calculated, calendar), transaction_metrics(classified))
     enriched = with_withholding(large_deposits(financials), positions)
     graded = quality_reasons(enriched, account_continuity(calculated), overlapping_entries(calculated))
     return graded.select(*STATEMENT_SUMMARY)
 
 
 def submission_documents(
-    current: DataFrame, canonical: DataFrame, calculated: DataFrame, summary: DataFrame
+    current: DataFrame, calculated: DataFrame, summary: DataFrame
 ) -> DataFrame:
     """Every expected document of a submission with its figures and final reasons.
 
     The extraction is looked up by file alone: a file bound to another entry or
     document counts as received but stays without figures and in conflict.
     """
-    found = canonical.select(
+    found = calculated.select(
         "file_id", F.col("entry_id").alias("found_entry"), F.col("document_id").alias("found_document"),
         F.col("document_index").alias("found_index"), F.col("duplicate_payload_conflict").alias("payload_conflict"),
-        F.col("duplicate_binding_conflict").alias("binding"),
+        F.col("duplicate_binding_conflict").alias("binding"), "account_number", "bank_name", "company",
     )
-    identity = calculated.select("entry_id", "document_id", "file_id", "account_number", "bank_name", "company")
     owner = ["entry_id", "document_id", "file_id"]
     received = F.col("found_entry").isNotNull()
     conflict = F.coalesce("binding", F.lit(False)) | (
@@ -396,11 +391,14 @@ def submission_documents(
         current.select("entry_id", "document_id", "document_index", "file_id")
         .join(found, "file_id", "left")
         .join(summary.drop("document_index", "quality_status", "duplicate_payload_conflict", "duplicate_binding_conflict"), owner, "left")
-        .join(identity, owner, "left")
         .withColumn("extraction_received", received)
         .withColumn("binding_conflict", conflict)
         .withColumn("payload_conflict", F.coalesce("payload_conflict", F.lit(False)))
     )
+    # Account details count only where the file belongs to this document.
+    own = (F.col("found_entry") == F.col("entry_id")) & (F.col("found_document") == F.col("document_id"))
+    for name in ("account_number", "bank_name", "company"):
+        base = base.withColumn(name, F.when(own, F.col(name)))
     arrived = base.filter("extraction_received")
     continuity = account_continuity(arrived)
     overlaps = overlapping_entries(arrived).withColumn("overlapping", F.lit(True))

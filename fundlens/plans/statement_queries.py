@@ -255,7 +255,7 @@ def _(u):
 
 @from_chain("average_daily_balance", "file_id:s days:n average:x negative:n", "SELECT * FROM closed")
 def _(u):
-    return U.balance_metrics(U.daily_closing_balances(u.calculated, u.calendar)).withColumnsRenamed({
+    return U.with_balance_metrics(u.calculated, u.calendar).withColumnsRenamed({
         "calendar_day_count": "days", "average_daily_balance": "average", "negative_balance_days": "negative",
     })
 
@@ -266,9 +266,8 @@ def _(u):
     "SELECT * FROM fin",
 )
 def _(u):
-    metrics = U.transaction_metrics(u.classified)
-    balances = U.balance_metrics(U.daily_closing_balances(u.calculated, u.calendar))
-    return U.statement_financials(u.calculated, metrics, balances).withColumnsRenamed({
+    balanced = U.with_balance_metrics(u.calculated, u.calendar)
+    return U.statement_financials(balanced, U.transaction_metrics(u.classified)).withColumnsRenamed({
         "confirmed_non_revenue_deposits": "confirmed_non_revenue", "ambiguous_non_revenue_candidate_amount": "ambiguous",
         "average_daily_balance": "adb", "negative_balance_days": "negative_days", "statement_day_count": "span",
         "calendar_day_count": "days",

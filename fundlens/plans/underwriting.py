@@ -16,8 +16,8 @@ from ..sources.rules import default_rules
 class Underwriting:
     """Lazily built results over extractions, the document ledger and the rules.
 
-    ``staged`` writes the results that many later steps share (canonical
-    extractions, resolved and classified transactions, payments with their
+    ``staged`` writes the results that many later steps share (calculated
+    statements, resolved and classified transactions, payments with their
     positions) to the shared folder instead of recomputing them.
     """
 
@@ -32,11 +32,12 @@ class Underwriting:
 
     @cached_property
     def canonical(self) -> DataFrame:
-        return self._stage(S.canonicalize_extractions(self.extractions), "canonical")
+        return S.canonicalize_extractions(self.extractions)
 
     @cached_property
     def calculated(self) -> DataFrame:
-        return S.calculate_statements(self.canonical)
+        """Balanced statements: the one shuffle of whole statements ends here."""
+        return self._stage(S.with_running_balances(S.calculate_statements(self.canonical)), "calculated")
 
     @cached_property
     def transactions(self) -> DataFrame:
@@ -123,7 +124,7 @@ class Underwriting:
     @cached_property
     def submission_documents(self) -> DataFrame:
         return self._stage(
-            U.submission_documents(self.current, self.canonical, self.calculated, self.statement_summary),
+            U.submission_documents(self.current, self.calculated, self.statement_summary),
             "submission_documents",
         )
 

@@ -115,8 +115,8 @@ def test_daily_balances_of_three_days(spark):
         "entry_id string, document_id string, file_id string, start_balance decimal(18,2), statement_start_date date, statement_end_date date, "
         "transactions array<struct<date: date, description: string, amount: decimal(18,2)>>",
     )
-    daily = U.daily_closing_balances(df, Calendar())
-    row = U.balance_metrics(daily).first()
+    assert [r.closing_balance for r in U.daily_closing_balances(df, Calendar()).orderBy("calendar_date").collect()] == [-50, -50, 50]
+    row = U.with_balance_metrics(df, Calendar()).first()
     assert (row.calendar_day_count, row.negative_balance_days, round(row.average_daily_balance, 2)) == (3, 2, Decimal("-16.67"))
 
 
