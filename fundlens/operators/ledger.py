@@ -207,8 +207,9 @@ def chunk_documents(documents: DataFrame, key: str, text: str, size: int = 800,
     tokens = F.filter(F.split(F.col(text), r"\s+"), lambda t: t != "")
     counted = documents.select(key, tokens.alias("tokens")).withColumn("n", F.size("tokens")).filter("n > 0")
     starts = F.sequence(F.lit(0), F.greatest(F.col("n") - overlap - 1, F.lit(0)), F.lit(step))
-    placed = counted.select(key, "tokens", F.posexplode(starts).alias("chunk_index", "start"))
-    return placed.select(
+    # Sliced before exploding, so a long text is not copied once per chunk.
+    chunks = F.transform(starts, lambda start: F.slice("tokens", start + 1, size))
+    return counted.select(key, F.posexplode(chunks).alias("chunk_index", "words")).select(
         key, F.col("chunk_index").cast("bigint").alias("chunk_index"),
-        F.slice("tokens", F.col("start") + 1, size).alias("words"),
-    ).select(key, "chunk_index", F.size("words").alias("token_count"), F.array_join("words", " ").alias("chunk"))
+        F.size("words").alias("token_count"), F.array_join("words", " ").alias("chunk"),
+    )

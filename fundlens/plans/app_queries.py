@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import events as EV, intake, ledger as LG, reporting as R, web as W
 from . import app_tables as A
 from .app_tables import read
+from .statement_oracle import chained
 from .statement_queries import chain, from_chain, register
 
 _e = F.expr
@@ -408,7 +409,11 @@ def _(u):
     return R.report_lines(_report(u)).withColumn("detected", F.regexp_extract("balance_line", "MCA detected: (.*)$", 1))
 
 
-@register("report_metadata", "entry_id:s analysis_status:s pdf_gcs_key:s source_rows:n", None)
+@register(
+    "report_metadata", "entry_id:s analysis_status:s pdf_gcs_key:s source_rows:n",
+    chained("""SELECT entry_id, CASE WHEN NOT whole THEN 'PROCESSING' WHEN review THEN 'REVIEW_REQUIRED' ELSE 'READY' END AS analysis_status,
+      'gs://files/' || c_custkey || '.pdf' AS pdf_gcs_key, 1 AS source_rows FROM sub JOIN customer ON entry_id = 'entry_' || c_custkey"""),
+)
 def _(spark, sf_dir):
     u = chain(spark, sf_dir)
     sources = read(spark, sf_dir, "customer").select(

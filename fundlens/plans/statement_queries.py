@@ -33,6 +33,7 @@ QUERIES: dict[str, tuple] = {}
 def register(name: str, spec: str, sql: str | None):
     def wrapper(build):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # all stored times are UTC
             return shape(build(spark, sf_dir), spec)
 
         QUERIES[name] = (run, wrap(sql, spec) if sql else None)
