@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 REFERENCE_WORDS = ["REF", "REFERENCE", "TRACE", "TRN", "TRANSACTION", "ID", "CONFIRMATION"]
 
 
-def _unicode_fold():
+def unicode_fold_udf():
     # Built inside a function so the code travels by value: executors need
     # neither this package nor its path.
     def fold_batch(values: pd.Series) -> pd.Series:
@@ -32,7 +32,7 @@ def fold(value: Column) -> Column:
     just the rows that are not ASCII.
     """
     not_ascii = value.rlike(r"[^\x00-\x7F]")
-    return F.coalesce(_unicode_fold()(F.when(not_ascii, value)), F.lower(value))
+    return F.coalesce(unicode_fold_udf()(F.when(not_ascii, value)), F.lower(value))
 
 
 def normalize_description(value: Column) -> Column:

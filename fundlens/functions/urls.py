@@ -35,28 +35,32 @@ def query_text(url: Column) -> Column:
     return F.regexp_extract(url, r"\?([^#]*)", 1)
 
 
-def pairs(url: Column) -> Column:
-    return F.filter(F.split(query_text(url), "&"), lambda p: p != "")
-
-
 def decode(value: Column) -> Column:
     return F.coalesce(F.try_url_decode(value), value)
 
 
-def pair_name(pair: Column) -> Column:
-    return decode(F.substring_index(pair, "=", 1))
+def pairs(url: Column) -> Column:
+    """Query parameters in order as (name, value, raw); each is decoded once."""
+    given = F.filter(F.split(query_text(url), "&"), lambda p: p != "")
+    return F.transform(
+        given,
+        lambda p: F.struct(
+            decode(F.substring_index(p, "=", 1)).alias("name"),
+            decode(F.regexp_replace(p, r"^[^=]*=?", "")).alias("value"),
+            p.alias("raw"),
+        ),
+    )
 
 
 def param(url_pairs: Column, name: str) -> Column:
-    """First value of a parameter, decoded; NULL when absent."""
-    found = F.get(F.filter(url_pairs, lambda p: pair_name(p) == name), F.lit(0))
-    return decode(F.regexp_replace(found, r"^[^=]*=?", ""))
+    """First value of a parameter; NULL when absent."""
+    return F.get(F.filter(url_pairs, lambda p: p["name"] == name), F.lit(0))["value"]
 
 
 def without_params(url: Column, names: list[str]) -> Column:
     """The URL without the named parameters; order and repeats of others stay."""
-    kept = F.filter(pairs(url), lambda p: ~pair_name(p).isin(names))
-    query = F.array_join(kept, "&")
+    kept = F.filter(pairs(url), lambda p: ~p["name"].isin(names))
+    query = F.array_join(F.transform(kept, lambda p: p["raw"]), "&")
     path = F.regexp_extract(url, r"^([^?#]*)", 1)
     fragment = F.regexp_extract(url, r"(#.*)$", 1)
     return F.concat(path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), fragment)

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from fundlens.operators.underwriting import private_fields
+from fundlens.functions.sql import register_functions
 from fundlens.plans.underwriting import Underwriting
+from fundlens.plans.views import register_views
 
 from statement_fixture import extractions, ledger
 
@@ -112,3 +114,29 @@ def test_outputs_hold_no_private_fields(run):
     for df in (run.classified, run.positions, run.statement_summary, run.submission_statements):
         assert private_fields(df) == []
     assert private_fields(run.canonical) != []
+
+
+def test_views_answer_sql(spark, run):
+    names = register_views(run)
+    assert len(names) == 9
+    public = [n for n in names if n not in ("bank_statement_extractions_canonical", "bank_statement_calculated")]
+    assert all(private_fields(spark.table(n)) == [] for n in public)
+    main = spark.sql(
+        "SELECT s.entry_id, s.analysis_status, size(s.statements) AS n, sum(p.total_paid) AS paid "
+        "FROM submission_underwriting_summary s JOIN bank_statement_mca_positions p USING (entry_id) "
+        "WHERE s.entry_id = 'main' GROUP BY ALL"
+    ).first()
+    assert (main.analysis_status, main.n) == ("REVIEW_REQUIRED", 3) and main.paid > 0
+    balance = spark.sql(
+        "SELECT statement.summary.calculated_end_balance AS a, element_at(statement.transactions, -1).balance AS b "
+        "FROM bank_statement_calculated WHERE document_id = 'main_3'"
+    ).first()
+    assert balance.a == balance.b == 71825
+    documents = spark.sql("SELECT size(documents) AS n, page FROM submission_bank_statement_summary WHERE entry_id = 'overlap'").first()
+    assert (documents.n, documents.page) == (2, 0)
+
+
+def test_sql_functions(spark):
+    register_functions(spark)
+    row = spark.sql("SELECT normalize_description('  Credibly---Funding  ') AS a, normalize_description('Café Ｎo1') AS b, fold_text('ß') AS c").first()
+    assert (row.a, row.b, row.c) == ("CREDIBLY FUNDING", "CAFÉ NO1", "ss")
