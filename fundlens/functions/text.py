@@ -124,11 +124,21 @@ def ein_format(value: Column) -> Column:
     )
 
 
+def _grouped(number: Column) -> Column:
+    """Thousands groups and up to three decimals, as a browser prints a number."""
+    shortened = F.regexp_replace(F.format_number(number, 3), r"\.?0+$", "")
+    return F.when(number == 0, "0").otherwise(shortened)
+
+
 def usd_format(value: Column) -> Column:
-    """Dollar text with grouping; up to three decimals, as a browser prints it."""
+    """Dollar text from typed text; everything but digits and dots is ignored."""
     number = F.regexp_replace(value.cast("string"), r"[^\d.]", "").try_cast("decimal(38,3)")
-    text = F.regexp_replace(F.format_number(number, 3), r"\.?0+$", "")
-    return F.when(number.isNull(), "").when(number == 0, "$0").otherwise(F.concat(F.lit("$"), text))
+    return F.coalesce(F.concat(F.lit("$"), _grouped(number)), F.lit(""))
+
+
+def usd_number(value: Column) -> Column:
+    """Dollar text from a number; dash when missing."""
+    return F.coalesce(F.concat(F.lit("$"), _grouped(value.cast("decimal(38,3)"))), F.lit(DASH))
 
 
 def redact_email(value: Column) -> Column:
@@ -143,12 +153,15 @@ DASH = "—"
 
 
 def exact_decimal(value: Column, scale: int = 2, currency: bool = True) -> Column:
-    """Grouped decimal text rounded half up; no sign on zero, dash when unusable.
+    """Grouped decimal text; no sign on zero, dash when unusable.
 
-    Works on canonical decimal text so no precision is lost below 38 digits.
+    Reads canonical decimal text, not floats. The digit after the last kept one
+    decides the rounding, whatever follows it.
     """
     text = F.trim(value.cast("string"))
-    number = F.when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), F.round(text.try_cast("decimal(38,9)"), scale))
+    kept = F.regexp_extract(text, rf"^(-?[0-9]+(?:\.[0-9]{{1,{scale + 1}}})?)", 1)
+    usable = text.rlike(r"^-?[0-9]+(\.[0-9]+)?$")
+    number = F.when(usable, F.round(kept.try_cast(f"decimal(38,{scale + 1})"), scale))
     grouped = F.format_number(F.abs(number), scale)
     sign = F.when(number < 0, "-").otherwise("")
     unit = F.lit("$" if currency else "")
@@ -156,7 +169,13 @@ def exact_decimal(value: Column, scale: int = 2, currency: bool = True) -> Colum
 
 
 def display_date(value: Column) -> Column:
-    return F.coalesce(F.date_format(value.try_cast("date"), "MMM d, yyyy"), F.lit(DASH))
+    """``Mon D, YYYY`` from strict ISO text; dash otherwise."""
+    pattern = r"^(\d{4})-(0[1-9]|1[0-2])-(\d{2})$"
+    text = value.cast("string")
+    year, month, day = (F.regexp_extract(text, pattern, i) for i in (1, 2, 3))
+    name = F.date_format(F.make_date(F.lit(2000), month.try_cast("int"), F.lit(1)), "MMM")
+    shown = F.concat(name, F.lit(" "), day.try_cast("int").cast("string"), F.lit(", "), year)
+    return F.coalesce(F.when(text.rlike(pattern), shown), F.lit(DASH))
 
 
 def display_period(start: Column, end: Column) -> Column:

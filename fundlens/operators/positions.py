@@ -8,10 +8,9 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import keys as K
-from ..functions import text as T
 from ..sources.calendar import Calendar
 from .running import neighbours, running_totals
-from .statements import IDENTITY
+from .statements import IDENTITY, with_identity
 
 # Thresholds of the analysis.
 AMOUNT_TOLERANCE = "0.01"
@@ -46,13 +45,9 @@ def account_periods(calculated: DataFrame, current: DataFrame) -> DataFrame:
     start the day after the previous one opens a new chain. The chain number is
     worked out on distinct periods, then spread to their statements.
     """
-    def folded(name):
-        return T.fold(F.coalesce(F.col(name), F.lit("")))
-
-    periods = calculated.select(
-        *IDENTITY, "statement_start_date", "statement_end_date",
-        folded("bank_name").alias("bank"), folded("company").alias("company"),
-        folded("account_number").alias("account"),
+    periods = with_identity(calculated).select(
+        *IDENTITY, "statement_start_date", "statement_end_date", F.col("folded_bank").alias("bank"),
+        F.col("folded_company").alias("company"), F.col("folded_account").alias("account"),
     ).join(current.select(*IDENTITY), IDENTITY, "left_semi")
 
     chainable = (F.col("account") == "") & (F.col("bank") != "") & (F.col("company") != "") & _valid_period()

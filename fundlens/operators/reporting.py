@@ -168,7 +168,7 @@ def submission_report(submissions: DataFrame) -> DataFrame:
             "Date Business Started": F.coalesce(started, F.lit(T.DASH)),
             "Federal Tax ID (EIN)": text("federal_tax_id"), "Entity Type": text("business_entity_type"),
             "Gross Annual Sales": F.coalesce(F.try_element_at(bucket, sales), F.nullif(sales, F.lit("")), F.lit(T.DASH)),
-            "Requested Funding Amount": F.when(amount.isNull(), T.DASH).otherwise(T.usd_format(amount)),
+            "Requested Funding Amount": T.usd_number(amount),
         },
         "Primary Owner": {
             "Full Name": text("owner_full_name"),

@@ -43,6 +43,24 @@ def canonicalize_extractions(extractions: DataFrame) -> DataFrame:
     )
 
 
+def with_identity(statements: DataFrame) -> DataFrame:
+    """Adds folded bank, company and account texts and whether the account is
+    blank, unless they are there already."""
+    if "folded_account" in statements.columns:
+        return statements
+
+    def folded(name):
+        return T.fold(F.coalesce(F.col(name), F.lit("")))
+
+    return statements.select(
+        "*", folded("bank_name").alias("folded_bank"), folded("company").alias("folded_company"),
+        folded("account_number").alias("folded_account"), T.blank(F.col("account_number")).alias("account_blank"),
+    )
+
+
+FOLDED = ["folded_bank", "folded_company", "folded_account", "account_blank"]
+
+
 def _total(transactions: Column, amount) -> Column:
     return F.aggregate(
         transactions,
@@ -82,7 +100,7 @@ def calculate_statements(canonical: DataFrame) -> DataFrame:
         ],
         F.col("statement.transactions").alias("transactions"),
     )
-    counted = read.select(
+    counted = with_identity(read).select(
         "*",
         F.size(tx).cast("bigint").alias("num_transactions"),
         _count(tx, lambda t: t["amount"] > 0).alias("num_credits"),
@@ -125,12 +143,8 @@ def calculate_statements(canonical: DataFrame) -> DataFrame:
 def classified_account_key() -> Column:
     """Account key used for reversal pairing (the other one is in positions)."""
     return F.when(
-        ~T.blank(F.col("account_number")),
-        K.account_digest(
-            F.col("entry_id"),
-            T.fold(F.coalesce(F.col("bank_name"), F.lit(""))),
-            T.fold(F.col("account_number")),
-        ),
+        ~F.col("account_blank"),
+        K.account_digest(F.col("entry_id"), F.col("folded_bank"), F.col("folded_account")),
     ).otherwise(K.document_digest(F.col("entry_id"), F.col("document_id")))
 
 

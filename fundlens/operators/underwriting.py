@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import keys as K
-from ..functions import text as T
 from ..sources.calendar import Calendar
+from .statements import FOLDED, with_identity
 
 LARGE_DEPOSIT = 10_000
 LARGE_DEPOSIT_SHARE = "0.10"
@@ -226,13 +226,10 @@ def account_continuity(statements: DataFrame) -> DataFrame:
     Works on distinct periods per entry; copies of one period are never
     consecutive, so a count above one settles the question.
     """
-    missing = T.blank(F.col("account_number"))
-    bank = T.fold(F.coalesce("bank_name", F.lit("")))
-    company = T.fold(F.coalesce("company", F.lit("")))
     valid = F.coalesce(F.col("statement_end_date") >= F.col("statement_start_date"), F.lit(False))
-    rows = statements.select(
-        "entry_id", missing.alias("missing"), bank.alias("bank"), company.alias("company"),
-        "statement_start_date", "statement_end_date", valid.alias("valid"),
+    rows = with_identity(statements).select(
+        "entry_id", F.col("account_blank").alias("missing"), F.col("folded_bank").alias("bank"),
+        F.col("folded_company").alias("company"), "statement_start_date", "statement_end_date", valid.alias("valid"),
     )
     identity = F.when(F.col("missing"), F.concat_ws("|", "bank", "company"))
     invalid = F.col("missing") & ((F.col("bank") == "") | (F.col("company") == "") | ~F.col("valid"))
@@ -269,11 +266,9 @@ def overlapping_entries(statements: DataFrame) -> DataFrame:
     never forms pairs. Periods that end before they start touch a normal period
     only when it contains them; those few rows are tested by a semi join.
     """
-    rows = statements.select(
+    rows = with_identity(statements).select(
         "entry_id", F.struct("document_index", "document_id").alias("document"),
-        T.blank(F.col("account_number")).alias("blank"),
-        T.fold(F.col("account_number")).alias("account"),
-        T.fold(F.coalesce("bank_name", F.lit(""))).alias("bank"),
+        F.col("account_blank").alias("blank"), F.col("folded_account").alias("account"), F.col("folded_bank").alias("bank"),
         F.col("statement_start_date").alias("low"), F.col("statement_end_date").alias("high"),
     )
     days = rows.filter(F.col("low") <= F.col("high")).withColumn("day", F.explode(F.sequence("low", "high")))
@@ -372,10 +367,10 @@ def submission_documents(
     The extraction is looked up by file alone: a file bound to another entry or
     document counts as received but stays without figures and in conflict.
     """
-    found = calculated.select(
+    found = with_identity(calculated).select(
         "file_id", F.col("entry_id").alias("found_entry"), F.col("document_id").alias("found_document"),
         F.col("document_index").alias("found_index"), F.col("duplicate_payload_conflict").alias("payload_conflict"),
-        F.col("duplicate_binding_conflict").alias("binding"), "account_number", "bank_name", "company",
+        F.col("duplicate_binding_conflict").alias("binding"), *FOLDED,
     )
     owner = ["entry_id", "document_id", "file_id"]
     received = F.col("found_entry").isNotNull()
@@ -397,8 +392,9 @@ def submission_documents(
     )
     # Account details count only where the file belongs to this document.
     own = (F.col("found_entry") == F.col("entry_id")) & (F.col("found_document") == F.col("document_id"))
-    for name in ("account_number", "bank_name", "company"):
-        base = base.withColumn(name, F.when(own, F.col(name)))
+    absent = {"account_blank": F.lit(True)}
+    for name in FOLDED:
+        base = base.withColumn(name, F.when(own, F.col(name)).otherwise(absent.get(name, F.lit(""))))
     arrived = base.filter("extraction_received")
     continuity = account_continuity(arrived)
     overlaps = overlapping_entries(arrived).withColumn("overlapping", F.lit(True))

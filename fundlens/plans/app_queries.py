@@ -102,7 +102,7 @@ def _(spark, sf_dir):
         {{'g': 3, 'i': 6, 'l': 'Date Business Started', 'v': coalesce(monthname(make_date(2000, started_month, 1)) || ' ' || started_year, '—')}},
         {{'g': 3, 'i': 7, 'l': 'Federal Tax ID (EIN)', 'v': tax_id}}, {{'g': 3, 'i': 8, 'l': 'Entity Type', 'v': 'Partnership'}},
         {{'g': 3, 'i': 9, 'l': 'Gross Annual Sales', 'v': CASE sales WHEN 'gt_5m' THEN 'Greater than $5M' WHEN '500k_1m' THEN '$500K – $1M' ELSE sales END}},
-        {{'g': 3, 'i': 10, 'l': 'Requested Funding Amount', 'v': CASE WHEN amount IS NULL THEN '—' ELSE '$' || format('{{:,}}', abs(amount)) END}},
+        {{'g': 3, 'i': 10, 'l': 'Requested Funding Amount', 'v': CASE WHEN amount IS NULL THEN '—' ELSE '$' || format('{{:,}}', amount) END}},
         {{'g': 4, 'i': 1, 'l': 'Full Name', 'v': 'Owner ' || c}}, {{'g': 4, 'i': 2, 'l': 'Ownership %', 'v': CASE WHEN share = 0 THEN '—' ELSE share || '%' END}},
         {{'g': 4, 'i': 3, 'l': 'SSN', 'v': ssn}}, {{'g': 4, 'i': 4, 'l': 'Date of Birth', 'v': coalesce(CAST(dob AS VARCHAR), '—')}},
         {{'g': 4, 'i': 5, 'l': 'Home Address', 'v': home_street || ', Town, NJ, ' || home_zip}}]) AS f FROM ({_PAYLOAD_FIELDS}))""",

@@ -171,7 +171,10 @@ class ReadinessJob:
         files = own_ledger.select("file_id").union(
             history.join(entries, "entry_id", "left_semi").select("file_id")
         ).distinct()
-        related = history.join(files, "file_id", "left_semi").drop("batch_id")
+        # Located by their narrow columns first, so that only the batches holding
+        # touched files have their statements read.
+        places = history.select("batch_id", "file_id").join(files, "file_id", "left_semi").distinct()
+        related = history.join(places, ["batch_id", "file_id"], "left_semi").drop("batch_id")
         summary = Underwriting(related, own_ledger, self.rules).submission_summary
         events = EV.readiness_events(summary, self.emitted.read(before=batch_id))
         self.emitted.append(events, batch_id)

@@ -28,11 +28,12 @@ def values(spark, items, make):
     (T.phone_format, {"55": "(55", "5551": "(555) 1", "1-555-234-5678-99": "(155) 523-4567", "": ""}),
     (T.ssn_format, {"123": "123", "1234": "123-4", "123456789": "123-45-6789"}),
     (T.ein_format, {"12": "12", "123456789": "12-3456789", "1234567890000": "12-3456789", "not-an-ein": ""}),
-    (T.usd_format, {"12345": "$12,345", "12.5": "$12.5", "0": "$0", "abc": "", "1200": "$1,200"}),
+    (T.usd_format, {"12345": "$12,345", "12.5": "$12.5", "0": "$0", "abc": "", "1200": "$1,200", "1.2.3": ""}),
     (lambda c: T.exact_decimal(c), {"9007199254740993.123456789": "$9,007,199,254,740,993.12", "-0.001": "$0.00", "2.345": "$2.35",
-                                    "-2.345": "-$2.35", "1e3": "—", None: "—", "1234567": "$1,234,567.00"}),
+                                    "-2.345": "-$2.35", "1e3": "—", None: "—", "1234567": "$1,234,567.00",
+                                    "0.0049999999999": "$0.00", "0.995": "$1.00"}),
     (lambda c: T.exact_decimal(c, scale=0, currency=False), {"1234.5": "1,235", "-7": "-7"}),
-    (T.display_date, {"2026-01-05": "Jan 5, 2026", "x": "—", None: "—"}),
+    (T.display_date, {"2026-01-05": "Jan 5, 2026", "2026-1-5": "—", "2026-13-01": "—", "x": "—", None: "—"}),
     (T.printable, {"a\tb“c”…é": 'a b"c"...?', None: "", "x–y—z": "x–y—z"}),
     (T.stable_error_code, {"RATE_LIMIT": "RATE_LIMIT", "AB": "UNEXPECTED_ERROR", "bad": "UNEXPECTED_ERROR", None: "UNEXPECTED_ERROR"}),
     (T.first_hop, {"1.2.3.4, 5.6.7.8": "1.2.3.4", "": None, None: None}),

@@ -135,3 +135,23 @@ def test_readiness_fires_once_when_all_documents_arrived(spark, tmp_path):
     good, bad = parse_extractions(batch(*main.values()))
     assert (good.count(), bad.count()) == (3, 0)
     assert good.filter("file_id = 'file_main_1'").first().statement.summary.end_balance == 39300
+
+
+def test_unique_journey(spark, tmp_path):
+    rows_ = [("s", 1, "00:01", "application_start", None), ("s", 2, "00:02", "application_start", None), ("s", 3, "00:03", "application_step_view", 2),
+             ("s", 4, "00:04", "application_step_view", 2), ("s", 5, "00:05", "application_step_complete", 2), ("s", 6, "00:06", "application_step_complete", 2),
+             ("s", 7, "00:07", "something_else", None)]
+    for row in rows_:
+        names = ("session_id", "event_id", "ts", "event", "step_number")
+        body = dict(zip(names, row), error_category=None)
+        body["ts"] = f"2024-01-01T{row[2]}:00Z"
+        write_lines(tmp_path / "in", f"f{row[1]}", [json.dumps(body)])
+    stream = spark.readStream.schema(
+        "session_id string, event_id bigint, ts timestamp, event string, step_number int, error_category string"
+    ).option("maxFilesPerTrigger", 2).json(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    J.unique_journey(stream).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", str(tmp_path / "cp")
+    ).trigger(availableNow=True).start().awaitTermination()
+    found = [r.event for r in spark.read.parquet(out).collect()]
+    assert sorted(found) == ["application_start", "application_step_complete", "application_step_complete", "application_step_view"]
