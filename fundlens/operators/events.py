@@ -113,16 +113,16 @@ def delivery_decision(messages: DataFrame, submissions: DataFrame) -> DataFrame:
     A message whose submission is not visible yet is retried; the finished
     document alone never causes a second notification.
     """
-    checked = validate_pdf_ready_events(messages)
+    checked = validate_pdf_ready_events(messages).withColumn("_json", F.try_parse_json("value").isNotNull())
     kind = F.get_json_object("value", "$.event_type")
-    entry = F.when(F.try_parse_json("value").isNotNull(), F.get_json_object("value", "$.entry_id"))
+    entry = F.when(F.col("_json"), F.get_json_object("value", "$.entry_id"))
     known = submissions.select(F.col("entry_id").alias("_entry"), "pdf_layout_version").withColumn("_seen", F.lit(True))
     joined = checked.withColumn("entry_id", entry).withColumn("_kind", F.nullif(kind, F.lit(""))).join(
         known, F.col("entry_id") == F.col("_entry"), "left"
     )
     ready = F.coalesce(F.col("_kind") == PDF_READY_TYPE, F.lit(False))
     action = (
-        F.when(F.try_parse_json("value").isNull(), "drop:PAYLOAD_JSON_INVALID")
+        F.when(~F.col("_json"), "drop:PAYLOAD_JSON_INVALID")
         .when(F.col("_kind").isNotNull() & ~ready, "drop:EVENT_TYPE_IRRELEVANT")
         .when(ready & ~F.col("is_valid"), "drop:READY_EVENT_INVALID")
         .when(~F.coalesce(F.col("entry_id").rlike(ENTRY_ID), F.lit(False)), "drop:ENTRY_ID_INVALID")

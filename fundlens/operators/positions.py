@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import keys as K
 from ..sources.calendar import Calendar
-from .running import neighbours, running_totals
+from .running import neighbours, numbered_by_index, running_totals
 from .statements import IDENTITY, with_identity
 
 # Thresholds of the analysis.
@@ -24,7 +24,9 @@ UNKNOWN_LENDER = "Unknown recurring debit"
 
 LENDER = ["entry_id", "account_key", "base_position_key"]
 EPOCH = [*LENDER, "funding_epoch"]
-ORDER = ["document_index", "transaction_index", "transaction_id"]
+# Payment order: days, then statements of a day, then lines of a statement.
+LEVELS = ["transaction_date", "document_index"]
+TAIL = ["transaction_index", "transaction_id"]
 
 
 def _valid_period() -> Column:
@@ -70,10 +72,12 @@ def account_periods(calculated: DataFrame, current: DataFrame) -> DataFrame:
         )
         .select(*owner, *span, "first_chain")
     )
-    same_span = Window.partitionBy(*owner, *span).orderBy("document_index", "document_id")
+    spread = numbered_by_index(
+        periods.filter(chainable), [*owner, *span], "document_index", ["document_id", "file_id"], "copy"
+    )
     chained = (
-        periods.filter(chainable).join(distinct_spans, [*owner, *span])
-        .withColumn("chain", F.col("first_chain") + F.row_number().over(same_span) - 1)
+        spread.join(distinct_spans, [*owner, *span])
+        .withColumn("chain", F.col("first_chain") + F.col("copy") - 1)
         .withColumn("account_key", K.inferred_account_digest(F.col("entry_id"), F.col("bank"), F.col("company"), F.col("chain")))
     )
     others = periods.filter(~F.coalesce(chainable, F.lit(False))).withColumn(
@@ -125,7 +129,7 @@ def funding_epochs(events: DataFrame) -> DataFrame:
     """
     payment = (F.col("event_type") == "PAYMENT") & F.col("successful")
     return running_totals(
-        events, LENDER, "transaction_date", ORDER,
+        events, LENDER, LEVELS, TAIL,
         {"funding_epoch": F.col("event_type") == "FUNDING", "payment_number": payment},
     )
 
@@ -170,7 +174,7 @@ def amount_streams(openings: DataFrame) -> DataFrame:
         F.col("account_key"), F.col("base_position_key"), F.col("funding_epoch"), F.col("amount_stream")
     )
     return (
-        running_totals(openings, EPOCH, "transaction_date", ORDER, {"amount_stream": F.col("opens")})
+        running_totals(openings, EPOCH, LEVELS, TAIL, {"amount_stream": F.col("opens")})
         .withColumn("position_key", position)
         .drop("opens")
     )

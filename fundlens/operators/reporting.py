@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
-from .running import running_totals
+from .running import numbered_by_index
 
 PART_ROWS = 1_000
 ATTACHMENT_BYTES = 24 * 1024 * 1024
@@ -81,7 +81,7 @@ def summary_fingerprints(
         F.coalesce("statement_start_date", F.lit("")), F.coalesce("statement_end_date", F.lit("")),
         "document_index", "document_id",
     )
-    numbered = running_totals(statements, ["entry_id"], "document_index", ["document_id", "file_id"], {"_row": F.lit(1)})
+    numbered = numbered_by_index(statements, ["entry_id"], "document_index", ["document_id", "file_id"], "_row")
     part = F.floor((F.col("_row") - 1) / F.lit(PART_ROWS)).alias("part")
     lines = numbered.select("entry_id", order.alias("place"), line.alias("line"), part)
     parts = lines.groupBy("entry_id", "part").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("rows"))

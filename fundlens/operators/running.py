@@ -1,9 +1,9 @@
 """Running totals, row numbers and neighbours that survive a hot key.
 
 A plain window over a key puts all of that key's rows into one task. Here rows
-are first added up per key and day, the window runs over those daily sums (at
-most one row per calendar day and key), and only rows of one key *and day* meet
-in a second window. Neighbour lookups go by row number in fixed-size blocks.
+are first added up per key and level (say day, then statement), windows run over
+those sums, and only rows that share a key and all levels meet in a window.
+Neighbour lookups go by row number in fixed-size blocks.
 """
 
 from __future__ import annotations
@@ -11,27 +11,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 10_000
+COARSE = 1_000
 
 
 def running_totals(
-    df: DataFrame, keys: list[str], day: str, tail: list[str], totals: dict[str, Column]
+    df: DataFrame, keys: list[str], levels: list[str], tail: list[str], totals: dict[str, Column]
 ) -> DataFrame:
-    """Inclusive running sum of each expression, in the order (day, *tail)."""
+    """Inclusive running sum of each expression, in the order (*levels, *tail).
+
+    ``levels`` go from coarse to fine; none of them may be NULL.
+    """
     names = list(totals)
     marked = df.select("*", *[totals[n].cast("bigint").alias(f"_in_{n}") for n in names])
-    before = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    daily = marked.groupBy(*keys, day).agg(*[F.sum(f"_in_{n}").alias(f"_day_{n}") for n in names])
-    carried = daily.select(
-        *keys, day, *[F.coalesce(F.sum(f"_day_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in names]
-    )
-    within = Window.partitionBy(*keys, day).orderBy(*tail).rowsBetween(Window.unboundedPreceding, 0)
-    joined = marked.join(carried, [*keys, day])
+    place = [*keys, *levels]
+    sums = marked.groupBy(*place).agg(*[F.sum(f"_in_{n}").alias(f"_sum_{n}") for n in names])
+
+    def preceding(rows: DataFrame, depth: int) -> DataFrame:
+        """Adds what comes before each row among the rows of the same parent."""
+        order = Window.partitionBy(*keys, *levels[:depth]).orderBy(levels[depth])
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select(
+            *keys, *levels[: depth + 1], *[f"_sum_{n}" for n in names],
+            *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in names],
+        )
+
+    carried = preceding(sums, len(levels) - 1)
+    rows = sums
+    for depth in range(len(levels) - 2, -1, -1):
+        parent = [*keys, *levels[: depth + 1]]
+        rows = rows.groupBy(*parent).agg(*[F.sum(f"_sum_{n}").alias(f"_sum_{n}") for n in names])
+        outer = preceding(rows, depth).select(*parent, *[F.col(f"_before_{n}").alias(f"_outer_{n}") for n in names])
+        carried = carried.join(outer, parent).select(
+            *place, *[f"_sum_{n}" for n in names],
+            *[(F.col(f"_before_{n}") + F.col(f"_outer_{n}")).alias(f"_before_{n}") for n in names],
+        )
+    carried = carried.select(*place, *[f"_before_{n}" for n in names])
+    within = Window.partitionBy(*place).orderBy(*tail).rowsBetween(Window.unboundedPreceding, 0)
+    joined = marked.join(carried, place)
     return joined.select(
         *[joined[c] for c in df.columns],
         *[(F.col(f"_before_{n}") + F.sum(f"_in_{n}").over(within)).alias(n) for n in names],
     )
 
 
+def numbered_by_index(df: DataFrame, keys: list[str], index: str, tail: list[str], name: str) -> DataFrame:
+    """1-based row number per key in the order (index, *tail), for an integer
+    index; ranges of the index are counted first."""
+    coarse = df.withColumn("_coarse", F.floor(F.col(index) / F.lit(COARSE)))
+    return running_totals(coarse, keys, ["_coarse", index], tail, {name: F.lit(1)}).drop("_coarse")
+
+
 def neighbours(
     df: DataFrame, keys: list[str], number: str, lookups: dict[str, tuple[str, int]], block: int = BLOCK
 ) -> DataFrame:
@@ -58,13 +87,14 @@ def neighbours(
 def nest_pages(
     df: DataFrame, key: str, order: list[str], fields: list[str], name: str, page: int = 1_000
 ) -> DataFrame:
-    """Ordered arrays of rows per key, in pages of bounded size.
+    """Ordered arrays of rows per key, in pages of bounded size. The first order
+    column is an integer.
 
     A key with up to ``page`` rows gets one array (page 0). Larger keys continue
     on further pages, so nothing is dropped and no array grows without bound.
     """
     first, *rest = order
-    numbered = running_totals(df, [key], first, rest or [first], {"_row": F.lit(1)})
+    numbered = numbered_by_index(df, [key], first, rest, "_row")
     paged = numbered.withColumn("page", F.floor((F.col("_row") - 1) / F.lit(page)))
     return (
         paged.groupBy(key, "page")

@@ -419,4 +419,4 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     orders = tables.read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
-    return running_totals(orders, ["o_custkey"], "o_orderdate", ["o_orderkey"], {"number": F.lit(1), "spent": cents})
+    return running_totals(orders, ["o_custkey"], ["o_orderdate"], ["o_orderkey"], {"number": F.lit(1), "spent": cents})

@@ -28,11 +28,13 @@ def skewed_rows(seed, n=400):
     ]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [0, 1, 2])
 def test_running_totals_and_neighbours(spark, seed):
     data = skewed_rows(seed)
     df = spark.createDataFrame(data, "key string, day date, id bigint, v bigint")
-    counted = running_totals(df, ["key"], "day", ["id"], {"number": F.lit(1), "total": F.col("v")})
+    df = df.withColumn("tens", F.floor(F.col("id") / 10)).withColumn("month", F.month("day"))
+    levels = [["day"], ["day", "tens"], ["month", "day", "tens"]][seed % 3]
+    counted = running_totals(df, ["key"], levels, ["id"], {"number": F.lit(1), "total": F.col("v")})
     looked = neighbours(
         counted, ["key"], "number", {"before": ("v", -1), "second": ("v", 2)}, block=7
     )
