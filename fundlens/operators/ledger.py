@@ -204,8 +204,11 @@ def scan_source_documents(spark, path: str, pattern: str = "*") -> DataFrame:
 def chunk_documents(documents: DataFrame, key: str, text: str, size: int = 800, overlap: int = 400) -> DataFrame:
     """Sliding chunks of whitespace tokens over each whole text, last chunk short."""
     step = size - overlap
-    tokens = F.filter(F.split(F.col(text), r"\s+"), lambda t: t != "")
-    counted = documents.select(key, tokens.alias("tokens")).withColumn("n", F.size("tokens")).filter("n > 0")
+    trimmed = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
+    counted = (
+        documents.select(key, trimmed.alias("trimmed")).filter("trimmed <> ''")
+        .select(key, F.split("trimmed", r"\s+").alias("tokens")).withColumn("n", F.size("tokens"))
+    )
     starts = F.sequence(F.lit(0), F.greatest(F.col("n") - overlap - 1, F.lit(0)), F.lit(step))
     # Sliced before exploding, so a long text is not copied once per chunk.
     chunks = F.transform(starts, lambda start: F.slice("tokens", start + 1, size))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import classify, positions as P, statements as S, underwriting as U
 from ..operators.running import nest_pages
-from ..session import stage
+from ..session import Staging
 from ..sources.calendar import Calendar
 from ..sources.rules import default_rules
 
@@ -28,7 +28,12 @@ class Underwriting:
         self.ledger = ledger
         self.rules = rules if rules is not None else default_rules(self.spark)
         self.calendar = calendar or Calendar()
-        self._stage = stage if staged else (lambda df, name: df)
+        self._stage = Staging(self.spark) if staged else (lambda df, name: df)
+
+    def discard(self) -> None:
+        """Deletes the staged tables once the results have been written."""
+        if isinstance(self._stage, Staging):
+            self._stage.discard()
 
     @cached_property
     def canonical(self) -> DataFrame:

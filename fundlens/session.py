@@ -45,17 +45,28 @@ def staging_root(spark: SparkSession) -> str | None:
     return scratch
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a result that several later steps read and scan it back.
+class Staging:
+    """Writes results that several later steps read and scans them back.
 
     The written copy cuts the lineage, so a lost executor repeats only the work
     after it, and gives later joins real size statistics. Without a shared
-    folder the plan is returned unchanged and stays lazy.
+    folder plans are returned unchanged and stay lazy.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.fundlens.staging", None) or staging_root(spark)
-    if root is None:
-        return df
-    path = f"{root}/fundlens/{uuid.uuid4().hex}/{name}"
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        root = spark.conf.get("spark.fundlens.staging", None) or staging_root(spark)
+        self.folder = None if root is None else f"{root}/fundlens/{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        if self.folder is None:
+            return df
+        path = f"{self.folder}/{name}"
+        df.write.mode("errorifexists").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def discard(self) -> None:
+        """Deletes this run's copies; frames built on them become unreadable."""
+        if self.folder is not None:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -175,9 +175,10 @@ class ReadinessJob:
         # touched files have their statements read.
         places = history.select("batch_id", "file_id").join(files, "file_id", "left_semi").distinct()
         related = history.join(places, ["batch_id", "file_id"], "left_semi").drop("batch_id")
-        summary = Underwriting(related, own_ledger, self.rules).submission_summary
-        events = EV.readiness_events(summary, self.emitted.read(before=batch_id))
+        run = Underwriting(related, own_ledger, self.rules)
+        events = EV.readiness_events(run.submission_summary, self.emitted.read(before=batch_id))
         self.emitted.append(events, batch_id)
+        run.discard()
 
 
 def submission_rows(payloads: DataFrame) -> DataFrame:
