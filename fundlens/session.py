@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -50,23 +51,28 @@ class Staging:
 
     The written copy cuts the lineage, so a lost executor repeats only the work
     after it, and gives later joins real size statistics. Without a shared
-    folder plans are returned unchanged and stay lazy.
+    folder the results are cached on the executors instead; lost blocks are then
+    computed again.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.conf.get("spark.fundlens.staging", None) or staging_root(spark)
         self.folder = None if root is None else f"{root}/fundlens/{uuid.uuid4().hex}"
+        self.cached: list[DataFrame] = []
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         if self.folder is None:
-            return df
+            self.cached.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+            return self.cached[-1]
         path = f"{self.folder}/{name}"
         df.write.mode("errorifexists").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def discard(self) -> None:
         """Deletes this run's copies; frames built on them become unreadable."""
+        for df in self.cached:
+            df.unpersist()
         if self.folder is not None:
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -27,3 +27,12 @@ def test_results_do_not_depend_on_staging(spark):
     eager = Underwriting(extractions(spark), ledger(spark))
     columns = ["transaction_id", "classification", "paired_reversal_transaction_id"]
     assert sorted(map(str, lazy.classified.select(*columns).collect())) == sorted(map(str, eager.classified.select(*columns).collect()))
+
+
+def test_without_a_shared_folder_results_are_cached(spark):
+    run = Underwriting(extractions(spark), ledger(spark))
+    run._stage.folder = None
+    assert run.resolved.count() == run.classified.count()
+    assert run.resolved.is_cached and len(run._stage.cached) >= 3
+    run.discard()
+    assert not run.resolved.is_cached
