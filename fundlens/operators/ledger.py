@@ -169,7 +169,8 @@ def final_object_name(source_object: Column, entry_id: Column, fingerprint: Colu
 def verify_artifacts(expected: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Decision per expected artifact: create, reuse or an error code.
 
-    ``artifacts`` has object_name, generation, content and recorded metadata.
+    ``artifacts`` has object_name, generation, content and recorded metadata. An
+    event's ``expected_generation`` and ``expected_sha256`` are checked if given.
     """
     digests = artifacts.select(
         "object_name", "generation", F.sha2("content", 256).alias("actual_sha256"),
@@ -178,6 +179,10 @@ def verify_artifacts(expected: DataFrame, artifacts: DataFrame) -> DataFrame:
     same = (F.col("recorded_artifact_type") == ARTIFACT_TYPE) & (F.col("recorded_final_sha256") == F.col("actual_sha256"))
     for name in ("entry_id", "fingerprint", "source_generation", "source_sha256"):
         same = same & (F.col(f"recorded_{name}") == F.col(name))
+    if "expected_generation" in expected.columns:
+        same = same & (F.col("generation") == F.col("expected_generation"))
+    if "expected_sha256" in expected.columns:
+        same = same & (F.col("actual_sha256") == F.lower("expected_sha256"))
     decision = (
         F.when(F.col("actual_sha256").isNull(), "create")
         .when(~F.coalesce(F.col("generation").rlike("^[0-9]+$"), F.lit(False)), "FINAL_GENERATION_INVALID")
@@ -187,6 +192,31 @@ def verify_artifacts(expected: DataFrame, artifacts: DataFrame) -> DataFrame:
     return expected.join(digests, "object_name", "left").select(*expected.columns, "actual_sha256", decision.alias("decision"))
 
 
+def verify_sources(submissions: DataFrame, objects: DataFrame, layout_version: str = "underwriting-v1") -> DataFrame:
+    """Error code per submission's source document; NULL when it may be used.
+
+    ``objects`` has uri, generation, content_type and content. Generation and
+    digest must equal the recorded ones where the layout is versioned.
+    """
+    stored = objects.select(
+        F.col("uri").alias("pdf_gcs_key"), F.col("generation").alias("_generation"), F.sha2("content", 256).alias("_sha256"),
+        (
+            (F.col("content_type") == "application/pdf") & (F.decode(F.substring("content", 1, 5), "ISO-8859-1") == "%PDF-")
+            & F.col("generation").rlike("^[0-9]+$")
+        ).alias("_usable"),
+    )
+    versioned = F.coalesce(F.col("pdf_layout_version") == layout_version, F.lit(False))
+    recorded = F.lower("pdf_source_sha256")
+    intact = (F.col("_generation") == F.col("pdf_source_generation")) & recorded.rlike("^[a-f0-9]{64}$") & (F.col("_sha256") == recorded)
+    code = (
+        F.when(~F.coalesce(F.col("pdf_gcs_key").rlike("^gs://[^/]+/.+$"), F.lit(False)), "GCS_URI_INVALID")
+        .when(versioned & ~F.coalesce(F.col("pdf_source_generation").rlike("^[0-9]+$"), F.lit(False)), "SOURCE_GENERATION_INVALID")
+        .when(~F.coalesce("_usable", F.lit(False)), "SOURCE_PDF_INVALID")
+        .when(versioned & ~F.coalesce(intact, F.lit(False)), "SOURCE_INTEGRITY_MISMATCH")
+    )
+    return submissions.join(stored, "pdf_gcs_key", "left").select("entry_id", "pdf_gcs_key", code.alias("error_code"))
+
+
 def scan_source_documents(spark, path: str, pattern: str = "*") -> DataFrame:
     """Stored source files with size, digest and whether a PDF header starts
     within the first 1,024 bytes."""

@@ -240,3 +240,27 @@ def test_prefill_address_falls_back_to_current(spark):
     assert row.owner_address.city == "Oakland" and row.contact_phone == "(555" and row.contact_name is None
     plain = W.prefill_fields(spark.createDataFrame([("https://x.example/",)], "url string")).first()
     assert plain.physical_address is None
+
+
+def test_source_and_final_documents_are_verified(spark):
+    import hashlib
+    body = b"%PDF-1.7 x"
+    sha = hashlib.sha256(body).hexdigest()
+    v = "underwriting-v1"
+    rows = [("ok", "gs://b/ok", v, "7", sha.upper()), ("plain", "gs://b/ok", None, None, None), ("uri", "b/ok", v, "7", sha),
+            ("gen", "gs://b/ok", v, "x", sha), ("old", "gs://b/ok", v, "6", sha), ("text", "gs://b/text", v, "7", sha), ("gone", "gs://b/gone", v, "7", sha)]
+    subs = spark.createDataFrame(rows, "entry_id string, pdf_gcs_key string, pdf_layout_version string, pdf_source_generation string, pdf_source_sha256 string")
+    objects = spark.createDataFrame([("gs://b/ok", "7", "application/pdf", bytearray(body)), ("gs://b/text", "7", "application/pdf", bytearray(b"text"))],
+                                    "uri string, generation string, content_type string, content binary")
+    found = {r.entry_id: r.error_code for r in LG.verify_sources(subs, objects).collect()}
+    assert found == {"ok": None, "plain": None, "uri": "GCS_URI_INVALID", "gen": "SOURCE_GENERATION_INVALID", "old": "SOURCE_INTEGRITY_MISMATCH",
+                     "text": "SOURCE_PDF_INVALID", "gone": "SOURCE_PDF_INVALID"}
+
+    final = spark.createDataFrame([("o", "7", bytearray(body), "underwritten-v1", "e", "f", "1", "s", sha)],
+        "object_name string, generation string, content binary, artifact_type string, entry_id string, fingerprint string, "
+        "source_generation string, source_sha256 string, final_sha256 string")
+    def decide(generation, digest):
+        expected = spark.createDataFrame([("o", "e", "f", "1", "s", generation, digest)],
+            "object_name string, entry_id string, fingerprint string, source_generation string, source_sha256 string, expected_generation string, expected_sha256 string")
+        return LG.verify_artifacts(expected, final).first().decision
+    assert [decide("7", sha.upper()), decide("8", sha), decide("7", "0" * 64)] == ["reuse", "FINAL_ARTIFACT_MISMATCH", "FINAL_ARTIFACT_MISMATCH"]
