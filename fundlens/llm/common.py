@@ -179,14 +179,17 @@ def _group_hashes(group: list[bytes], first: int) -> Iterator[tuple[int, np.ndar
 # ---- character n-grams ---------------------------------------------------------
 
 
+_BASE = np.uint64(0xA0761D6478BD642F)
+
+
 def gram_codes(data: np.ndarray, sizes: tuple[int, ...], bits: int, span: int = 1 << 19) -> Iterator[np.ndarray]:
-    """Buckets (of 2**bits) of all byte n-grams of the sizes, with repeats, for ``span`` start positions at a time."""
+    """Buckets (of 2**bits) of all n-grams of the sizes in bytes or code points, with repeats, for ``span`` start positions at a time."""
     shift, most = np.uint64(64 - bits), max(sizes)
     for begin in range(0, len(data), span):
         wide = data[begin : begin + span + most - 1].astype(np.uint64) + np.uint64(1)
         code = np.zeros(len(wide), dtype=np.uint64)
         for n in range(1, min(most, len(wide)) + 1):
-            code = code[: len(wide) - n + 1] * np.uint64(257) + wide[n - 1 :]
+            code = code[: len(wide) - n + 1] * _BASE + wide[n - 1 :]
             if n in sizes:
                 seed = np.uint64(n * int(_MUL) % (1 << 64))
                 yield (((code[:span] + seed) * _MUL) >> shift).astype(np.int64)

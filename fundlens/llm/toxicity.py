@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import gram_codes, hash_sample, small_batches
 
-SIZES = (3, 4, 5)
+SIZES = (4, 5, 6)
 BITS = 20
 
 
@@ -31,14 +31,14 @@ class ToxicityModel:
     bits: int = BITS
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    """Lower-cased text with one space for each run of white space and at both ends."""
+def _characters(text: str | None) -> np.ndarray:
+    """Code points of the lower-cased text with one space for each run of white space and at both ends."""
     joined = " ".join((text or "").lower().split())
-    return np.frombuffer(f" {joined} ".encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    return np.frombuffer(f" {joined} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
 def _present(text: str | None, sizes: tuple[int, ...], bits: int) -> np.ndarray:
-    found = [np.unique(codes) for codes in gram_codes(_bytes(text), sizes, bits)]
+    found = [np.unique(codes) for codes in gram_codes(_characters(text), sizes, bits)]
     return np.unique(np.concatenate(found)).astype(np.int32) if found else np.zeros(0, np.int32)
 
 
@@ -117,7 +117,7 @@ def toxicity_score(model: ToxicityModel, text: Column) -> Column:
         if not table:
             table.append(np.zeros(1 << model.bits, dtype=np.float32))
             table[0][model.buckets] = model.weights
-        hit = [np.unique(codes[table[0][codes] != 0]) for codes in gram_codes(_bytes(text), model.sizes, model.bits)]
+        hit = [np.unique(codes[table[0][codes] != 0]) for codes in gram_codes(_characters(text), model.sizes, model.bits)]
         z = model.bias + float(table[0][np.unique(np.concatenate(hit))].sum(dtype=np.float64)) if hit else model.bias
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
