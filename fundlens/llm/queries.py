@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, toxicity
+from . import langid, ngram_join, toxicity
 from .common import remainder
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -53,3 +53,8 @@ def _(spark, sf_dir):
     score = toxicity.toxicity_score(toxicity_model(docs, table(spark, sf_dir, "labels")), F.col("text"))
     return docs.select("doc_id", held("doc_id", 4, 2).alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@register("op9_ngram_join")
+def _(spark, sf_dir):
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
