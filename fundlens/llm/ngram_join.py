@@ -300,13 +300,16 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     mixed = rows.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("token")
     rows = stage.write(rows.join(mixed, "token", "left_semi"), "mixed")
     x, y = rows.alias("x"), rows.alias("y")
-    overlap = F.least("x.pos", "y.pos") + 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1
+    need = (F.col("x.n") + F.col("y.n")) * percent  # similar sets share at least need / (100 + percent)
+    at_most = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    behind = F.greatest(*(F.floor((F.col(f"{r}.n") * percent + 99) / 100).cast("int") - 1 for r in "xy"))
     met_again = x.join(
         y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g"))
         & ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
-        & similar_sizes(F.col("x.n"), F.col("y.n"), percent)
-        & (overlap * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent),
-    ).select(F.col("x.g").alias("g"), F.col("y.g").alias("h")).distinct()
+        & similar_sizes(F.col("x.n"), F.col("y.n"), percent) & (at_most * (100 + percent) >= need),
+    ).select(F.col("x.g").alias("g"), F.col("y.g").alias("h"), need.alias("need"), behind.alias("behind"))
+    # What two sets share is in both prefixes, or behind the prefix that ends first.
+    met_again = met_again.groupBy("g", "h", "need", "behind").count().filter((F.col("count") + F.col("behind")) * (100 + percent) >= F.col("need")).select("g", "h")
     one, two = labelled.select("g", F.col("node").alias("a"), F.col("label").alias("la")), labelled.select(F.col("g").alias("h"), F.col("node").alias("b"), F.col("label").alias("lb"))
     across = met_again.join(one, "g").join(two, "h").filter("la <> lb").select("a", "b")
     within = one.join(two, (one.g == two.h) & (one.a < two.b) & (one.la != two.lb)).select("a", "b")
