@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, ngram_join, toxicity
+from . import decontaminate, langid, mixing, ngram_join, toxicity
 from .common import remainder
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -55,6 +55,37 @@ def _(spark, sf_dir):
         "predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@register("op7_source_mixing")
+def _(spark, sf_dir):
+    return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 @register("op9_ngram_join")
 def _(spark, sf_dir):
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+_WORDS10 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@register(
+    "op10_decontamination",
+    f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS10} AS w FROM documents),
+      b AS (SELECT item_id, {_WORDS10} AS w FROM benchmark),
+      b2 AS (SELECT item_id, w, least(13, len(w)) AS l FROM b WHERE len(w) > 0),
+      bw AS (SELECT DISTINCT item_id, l, array_to_string(w[i : i + l - 1], ' ') AS win
+        FROM (SELECT item_id, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM b2)),
+      dw AS (SELECT r, i, l, array_to_string(w[i : i + l - 1], ' ') AS win
+        FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, (SELECT DISTINCT l FROM bw) WHERE len(w) >= l)),
+      h AS (SELECT DISTINCT r, i, dw.l AS l, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.l = bw.l),
+      c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + l)) AS p FROM h) GROUP BY r),
+      t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)""",
+)
+def _(spark, sf_dir):
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
