@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, mixing, ngram_join, toxicity
+from . import decontaminate, kneser_ney, langid, mixing, ngram_join, toxicity
 from .common import remainder
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -41,6 +41,14 @@ def _(spark, sf_dir):
         "doc_id", "held_out", F.col("f.lang").alias("lang_pred"), "f.score", "f.ambiguous")
 
 
+@register("op3_kneser_ney")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.train(docs.filter(~held("doc_id", 7, 2)))
+    found = kneser_ney.score(model, docs)
+    return found.select("doc_id", held("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
     """Labels are sampled before their texts are fetched; repeated labels of a document agree on the larger."""
     labels = labels.filter(~held("doc_id", 4, 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
