@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, kneser_ney, langid, mixing, ngram_join, toxicity
-from .common import remainder
+from . import chat, decontaminate, kneser_ney, langid, main_text, mixing, ngram_join, toxicity, vp_tree, warc
+from .common import Stage, remainder
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -41,6 +41,12 @@ def _(spark, sf_dir):
         "doc_id", "held_out", F.col("f.lang").alias("lang_pred"), "f.score", "f.ambiguous")
 
 
+@register("op2_main_text")
+def _(spark, sf_dir):
+    pages = main_text.with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @register("op3_kneser_ney")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,11 +69,52 @@ def _(spark, sf_dir):
         "predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@register(
+    "op5_warc",
+    """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+      q AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+      m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS k FROM q)
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN payload_bytes >= 1000 AND page_id <> k THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 1000 AND page_id <> k THEN k END AS refers_to FROM m""",
+)
+def _(spark, sf_dir):
+    folder = f"{Stage(spark, 'archives').folder}/warc"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder, keep_payload=False).select(
+        warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), warc.page_of("refers_to").alias("refers_to"))
+
+
+@register("op6_vp_tree")
+def _(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return vp_tree.nearest(vp_tree.build_index(vectors), vectors.filter("vec_id % 50 = 0"))
+
+
 @register("op7_source_mixing")
 def _(spark, sf_dir):
     return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+@register(
+    "op8_chat",
+    """WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+      e AS (SELECT *, length(role) + length(regexp_replace(role, '[^\\\\#<\n]', '', 'g')) AS role_chars,
+        length(text) + length(regexp_replace(text, '[^\\\\#<]', '', 'g')) AS text_chars FROM c)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(sum(13 + role_chars + text_chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+)
+def _(spark, sf_dir):
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    records = rows.select(F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    return chat.format_and_read_back(records).withColumn("conv_id", F.col("conv_id").cast("long"))
+
+
 @register("op9_ngram_join")
 def _(spark, sf_dir):
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
