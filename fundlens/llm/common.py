@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -45,6 +46,13 @@ class Stage:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose results are stored: it does so when the driver has collected
+    the frames that made them, which may otherwise be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Rows of an Arrow batch for the jobs that run inside; long texts need small batches."""

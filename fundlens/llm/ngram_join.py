@@ -8,7 +8,8 @@ are compared:
 2. groups meet in the shingles of their prefixes. First every meeting is compared in a star around the member
    that has the shingle earliest, which is the least changed copy of a family; what links becomes one label;
 3. then all meetings of groups with different labels are expanded to their members and compared, so no link
-   between two components is lost, but a family of n copies costs about n comparisons instead of n * n;
+   between two components is lost, but a family of n copies costs about n comparisons instead of n * n. Before that, the
+   number of prefix shingles that two can share at most rules out most of them;
 4. components of the links follow by alternating large-star and small-star rounds.
 
 The order comes from a table of fixed size: how many documents have a shingle of each of 2**20 buckets. It
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Stage, arrow_rows, mix, small_batches, word_hashes
+from .common import Stage, arrow_rows, mix, release, small_batches, word_hashes
 
 ORDER_BITS = 20
 FILTER_BITS = 24
@@ -230,21 +231,46 @@ def _sets(k: int, bits: np.ndarray):
     return run
 
 
-def _linked(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+COMPARED = "a long, b long, shared int, n int"
 
-    return run
+
+def _compared(batches):
+    """How many shingles each pair shares, and has together with repeats."""
+    for batch in batches:
+        shared, n = [], []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            shared.append(len(np.intersect1d(x, y, assume_unique=True)))
+            n.append(len(x) + len(y))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int32()), pa.array(n, pa.int32())], ["a", "b", "shared", "n"])
+
+
+def _bounded(batches):
+    """The same from prefixes, as the most that a pair can share: what both prefixes have, and all behind the prefix
+    that ends first."""
+    for batch in batches:
+        shared, n = [], []
+        for x, y, nx, ny in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            shared.append(min(len(np.intersect1d(x, y, assume_unique=True)) + max(nx - len(x), ny - len(y)), nx, ny))
+            n.append(nx + ny)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int32()), pa.array(n, pa.int32())], ["a", "b", "shared", "n"])
+
+
+def _similar(percent: int) -> Column:
+    return F.col("shared") * (100 + percent) >= F.col("n") * percent
+
+
+def bounded(stage: Stage, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """For pairs of nodes (a, b) the most that they can share, from their prefixes alone."""
+    one, two = (nodes.select(F.col("node").alias(x), F.col("prefix").alias(f"p{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "pa", "pb", "na", "nb")
+    with arrow_rows(stage.spark, 500):
+        return stage.write(both.mapInArrow(_bounded, COMPARED), name)
 
 
-def verified(stage: Stage, texts: DataFrame, pairs: DataFrame, name: str, k: int, percent: int) -> DataFrame:
-    """Those pairs of nodes (a, b) whose sets are similar. The sets are made again from the texts, for nodes
+def compared(stage: Stage, texts: DataFrame, pairs: DataFrame, name: str, k: int) -> DataFrame:
+    """For pairs of nodes (a, b) what their sets share. The sets are made again from the texts, for nodes
     that pass a bit set of the wanted ones, instead of keeping the sets of all documents."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
     bits = _collected(nodes.mapInArrow(_bit_blocks, "block int, counts binary"), "or", (1 << FILTER_BITS) // 8, np.uint8)
@@ -253,9 +279,10 @@ def verified(stage: Stage, texts: DataFrame, pairs: DataFrame, name: str, k: int
     first = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a")
     both = first.join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b").select("a", "b", "x", "y")
     with arrow_rows(stage.spark, 100):
-        links = stage.write(both.mapInArrow(_linked(percent), "a long, b long"), f"{name}-links")
+        found = stage.write(both.mapInArrow(_compared, COMPARED), f"{name}-compared")
     stage.drop(f"{name}-sets")
-    return links
+    release(stage.spark)
+    return found
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -286,36 +313,46 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
         postings = groups.mapInArrow(_postings, "token long, g long, n int, pos int")
         sorted_postings = postings.repartition("token").sortWithinPartitions("token", "pos", "g")
         met = stage.write(sorted_postings.mapInArrow(_meetings(percent), "token long, g long, n int, pos int, b long"), "met")
+    release(spark)
 
     a, b = (heads.select(F.col("g").alias(x), F.col("head").alias(y)) for x, y in (("g", "na"), ("b", "nb")))
     star = met.filter("b is not null").select("g", "b").distinct().join(a, "g").join(b, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     inside = members.join(heads.filter("size > 1"), "g").filter("node > head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    star = stage.write(star.union(inside), "star")
-    links = verified(stage, texts.select("text"), star, "first", k, percent)
+    star = bounded(stage, nodes, star.union(inside), "star")
+    likely = star.filter(_similar(percent)).select("a", "b")
+    known = compared(stage, texts.select("text"), likely, "first", k)
+    links = known.filter(_similar(percent)).select("a", "b")
     roots = components(stage, links, "labels")
 
     labelled = stage.write(members.join(roots, "node", "left").select("g", "node", "n", F.coalesce("root", "node").alias("label")), "labelled")
     spans = labelled.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     rows = met.filter("b is null").select("token", "g", "n", "pos").join(spans, "g")
     mixed = rows.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("token")
-    rows = stage.write(rows.join(mixed, "token", "left_semi"), "mixed")
+    rows = rows.join(mixed, "token", "left_semi")
+    own = Window.partitionBy("g")  # at most a prefix
+    rows = rows.withColumn("shared", F.count("*").over(own)).withColumn("before", F.row_number().over(own.orderBy("pos")) - 1)
+    rows = stage.write(rows, "mixed")
+    release(spark)
     x, y = rows.alias("x"), rows.alias("y")
+    # What two sets share is in both prefixes, or behind the prefix that ends first; at a meeting, what lies before it
+    # and after it in either bounds what both prefixes have, counting only shingles that other labels have too.
     need = (F.col("x.n") + F.col("y.n")) * percent  # similar sets share at least need / (100 + percent)
     at_most = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    in_prefix = F.least("x.before", "y.before") + F.least(F.col("x.shared") - F.col("x.before"), F.col("y.shared") - F.col("y.before"))
     behind = F.greatest(*(F.floor((F.col(f"{r}.n") * percent + 99) / 100).cast("int") - 1 for r in "xy"))
     met_again = x.join(
         y, (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g"))
         & ~((F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low")))
-        & similar_sizes(F.col("x.n"), F.col("y.n"), percent) & (at_most * (100 + percent) >= need),
+        & similar_sizes(F.col("x.n"), F.col("y.n"), percent) & (at_most * (100 + percent) >= need)
+        & ((in_prefix + behind) * (100 + percent) >= need),
     ).select(F.col("x.g").alias("g"), F.col("y.g").alias("h"), need.alias("need"), behind.alias("behind"))
-    # What two sets share is in both prefixes, or behind the prefix that ends first.
     met_again = met_again.groupBy("g", "h", "need", "behind").count().filter((F.col("count") + F.col("behind")) * (100 + percent) >= F.col("need")).select("g", "h")
     one, two = labelled.select("g", F.col("node").alias("a"), F.col("label").alias("la")), labelled.select(F.col("g").alias("h"), F.col("node").alias("b"), F.col("label").alias("lb"))
     across = met_again.join(one, "g").join(two, "h").filter("la <> lb").select("a", "b")
     within = one.join(two, (one.g == two.h) & (one.a < two.b) & (one.la != two.lb)).select("a", "b")
-    rest = stage.write(across.union(within).join(star, ["a", "b"], "left_anti"), "rest")
+    rest = stage.write(across.union(within).join(star.select("a", "b"), ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.union(verified(stage, texts.select("text"), rest, "second", k, percent))
+        links = links.union(compared(stage, texts.select("text"), rest, "second", k).filter(_similar(percent)).select("a", "b"))
         roots = components(stage, links, "roots")
     placed = signed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("low"))
