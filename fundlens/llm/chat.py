@@ -117,25 +117,27 @@ def canonical_turns(records: DataFrame, column: str = "record", layouts=LAYOUTS)
 
 # ---- template -------------------------------------------------------------------
 
-#: A turn is OPEN role newline text CLOSE. Within roles and texts the signs below have a backslash before them, so
-#: neither control string can occur there.
+#: A turn is OPEN role newline text CLOSE. Within roles and texts each sign below is a backslash and a letter, so
+#: neither control string can occur there, not even as part of an escape.
 OPEN, CLOSE = "### ", "</turn>\n"
+_LETTERS = {"\\": "\\\\", "#": "\\h", "<": "\\l"}
 _SIGNS = re.compile(r"[\\#<]")
-_ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-_TURN = re.compile(r"### ((?:[^\\\n#<]|\\.)*)\n((?:[^\\#<]|\\.)*)</turn>\n", re.DOTALL)
+_CODES = {v: k for k, v in _LETTERS.items()} | {"\\n": "\n"}
+_ESCAPED = re.compile(r"\\.", re.DOTALL)
+_TURN = re.compile(r"### ([^#<\n]*)\n([^#<]*)</turn>\n")
 
 
 def escape(text: str) -> str:
-    return _SIGNS.sub(lambda m: "\\" + m[0], text)
+    return _SIGNS.sub(lambda m: _LETTERS[m[0]], text)
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text)
+    return _ESCAPED.sub(lambda m: _CODES[m[0]], text)
 
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
     """The turn's text in the template, and where its content begins and ends in it."""
-    head = OPEN + escape(role).replace("\n", "\\\n") + "\n"
+    head = OPEN + escape(role).replace("\n", "\\n") + "\n"
     body = escape(text)
     return head + body + CLOSE, len(head), len(head) + len(body)
 

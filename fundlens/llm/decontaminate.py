@@ -10,22 +10,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Stage, lower_ascii
+from .common import ASCII_LOWER, ASCII_UPPER, Stage
 
 WIDTH = 13
 MOST_WINDOWS = 100_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words(text: Column) -> Column:
+HITS = "array<struct<at: int, length: int, window: string>>"
+
+
+def words_sql(text: str) -> str:
     """Normalised words: A-Z lower-cased, runs of digits, letters a-z and characters beyond ASCII; null has none."""
-    return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), r'{WORD}', 0)"
 
 
 def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """Rows (item, length, window): every ``width`` consecutive words of an item, or all words of a shorter one.
     Items without words have none."""
-    known = benchmark.select(F.col(item).alias("item"), words(F.col(text)).alias("w")).filter("size(w) > 0")
+    known = benchmark.select(F.col(item).alias("item"), F.expr(words_sql(f"`{text}`")).alias("w")).filter("size(w) > 0")
     known = known.withColumn("length", F.least(F.size("w"), F.lit(width)))
     at = known.select("item", "length", "w", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("length") + 1)).alias("at"))
     return at.select("item", "length", F.array_join(F.slice("w", F.col("at"), F.col("length")), " ").alias("window")).distinct()
@@ -35,8 +38,8 @@ def _quoted(values) -> str:
     return ", ".join(f"'{v}'" for v in sorted(values))  # words hold neither quotes nor backslashes
 
 
-def hit_starts(found: DataFrame, column: str = "w") -> Column | None:
-    """Column over an array of words: the hits (at, length, window). None if the set is too large for a constant."""
+def hits_sql(found: DataFrame) -> str | None:
+    """SQL over an array w of words: the hits (at, length, window). None if the set is too large for a constant."""
     rows = found.select("length", "window").distinct().limit(MOST_WINDOWS + 1).collect()
     if len(rows) > MOST_WINDOWS:
         return None
@@ -45,43 +48,40 @@ def hit_starts(found: DataFrame, column: str = "w") -> Column | None:
         own = [r.window for r in rows if r.length == length]
         first, last = {x.split(" ")[0] for x in own}, {x.split(" ")[-1] for x in own}
         look = (
-            f"get({column}, i - 1) IN ({_quoted(first)}) AND get({column}, i + {length - 2}) IN ({_quoted(last)}) "
-            f"AND array_join(slice({column}, i, {length}), ' ') IN ({_quoted(own)})"
+            f"get(w, i - 1) IN ({_quoted(first)}) AND get(w, i + {length - 2}) IN ({_quoted(last)}) "
+            f"AND array_join(slice(w, i, {length}), ' ') IN ({_quoted(own)})"
         )
         parts.append(
-            f"CASE WHEN size({column}) >= {length} THEN transform(filter(sequence(1, size({column}) - {length - 1}), i -> {look}), "
-            f"i -> struct(i AS at, {length} AS length, array_join(slice({column}, i, {length}), ' ') AS window)) "
-            "ELSE CAST(array() AS array<struct<at: int, length: int, window: string>>) END"
+            f"CASE WHEN size(w) >= {length} THEN transform(filter(sequence(1, size(w) - {length - 1}), i -> {look}), "
+            f"i -> struct(i AS at, {length} AS length, array_join(slice(w, i, {length}), ' ') AS window)) ELSE CAST(array() AS {HITS}) END"
         )
-    empty = "CAST(array() AS array<struct<at: int, length: int, window: string>>)"
-    return F.expr(f"concat({', '.join(parts)})" if parts else empty)
+    return f"concat({', '.join(parts)})" if parts else f"CAST(array() AS {HITS})"
+
+
+def _summary(words: str, hits: str) -> Column:
+    """Struct (n_words, hits, places, contaminated). The arrays are bound as lambda variables, so they are made once
+    wherever the optimizer puts the expression; places are those (from 1) of the words inside any hit, each once.
+    Contaminated: at least a twentieth of the words is hit."""
+    places = "array_distinct(flatten(transform(h, x -> sequence(x.at, x.at + x.length - 1))))"
+    final = "named_struct('n_words', size(w), 'hits', h, 'places', p, 'contaminated', size(p) > 0 AND 20L * size(p) >= size(w))"
+    bound = f"get(transform(array({hits}), h -> get(transform(array({places}), p -> {final}), 0)), 0)"
+    return F.expr(f"get(transform(array({words}), w -> {bound}), 0)")
 
 
-def with_hits(docs: DataFrame, found: DataFrame, text: str = "text", words_as: str = "_w", hits_as: str = "_hits") -> DataFrame:
-    """docs with the arrays of words and of hits as two more columns."""
-    with_words = docs.withColumn(words_as, words(F.col(text)))
-    starts = hit_starts(found, words_as)
-    if starts is not None:
-        return with_words.withColumn(hits_as, starts)
+def with_hits(docs: DataFrame, found: DataFrame, text: str = "text", name: str = "_hit") -> DataFrame:
+    """docs with the summary of each text's hits as one more column."""
+    own = words_sql(f"`{text}`")
+    hits = hits_sql(found)
+    if hits is not None:
+        return docs.withColumn(name, _summary(own, hits))
     lengths = [r.length for r in found.select("length").distinct().collect()]  # at most WIDTH of them
-    keyed = Stage(docs.sparkSession, "decontaminate").write(with_words.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    every = keyed.select("_row", F.col(words_as).alias("w"), F.explode(F.array(*map(F.lit, lengths))).alias("length")).filter("size(w) >= length")
+    keyed = Stage(docs.sparkSession, "decontaminate").write(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    every = keyed.select("_row", F.expr(own).alias("w"), F.explode(F.array(*map(F.lit, lengths))).alias("length")).filter("size(w) >= length")
     every = every.select("_row", "length", "w", F.explode(F.expr("sequence(1, size(w) - length + 1)")).alias("at"))
     every = every.select("_row", "at", "length", F.expr("array_join(slice(w, at, length), ' ')").alias("window"))
     hits = every.join(found.select("length", "window").distinct(), ["length", "window"], "left_semi")
-    hits = hits.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "length", "window"))).alias(hits_as))
-    empty = F.expr("CAST(array() AS array<struct<at: int, length: int, window: string>>)")
-    return keyed.join(hits, "_row", "left").withColumn(hits_as, F.coalesce(hits_as, empty)).drop("_row")
-
-
-def hit_words(hits: str = "_hits") -> Column:
-    """Places (from 1) of the words inside any hit, each once."""
-    return F.expr(f"array_distinct(flatten(transform({hits}, h -> sequence(h.at, h.at + h.length - 1))))")
-
-
-def contaminated(n_hit: Column, n_words: Column) -> Column:
-    """At least a twentieth of the words is hit."""
-    return (n_hit > 0) & (n_hit * 20 >= n_words)
+    hits = hits.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("at", "length", "window"))).alias("_found"))
+    return keyed.join(hits, "_row", "left").withColumn(name, _summary(own, f"coalesce(_found, CAST(array() AS {HITS}))")).drop("_row", "_found")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -95,8 +95,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     scanned = with_hits(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), found)
     rows = stage.write(
         scanned.select(
-            F.monotonically_increasing_id().alias("row"), "key", F.size("_w").cast("long").alias("n_words"),
-            F.size(hit_words()).cast("long").alias("n_hit"), F.expr("array_distinct(_hits.window)").alias("found")), "rows")
+            F.monotonically_increasing_id().alias("row"), "key", F.col("_hit.n_words").cast("long").alias("n_words"), F.size("_hit.places").cast("long").alias("n_hit"),
+            F.array_distinct("_hit.hits.window").alias("found"), "_hit.contaminated"), "rows")
     items = found.filter("item is not null").select("window", F.col("item").cast("string").alias("item")).distinct()
     listed = (
         rows.filter("n_hit > 0").select("row", F.explode("found").alias("window")).join(items, "window")
@@ -105,7 +105,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     none = F.array().cast("array<string>")
     return rows.join(listed, "row", "left").select(
         F.col("key").alias(key), "n_words", "n_hit", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("items", none).alias("items"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+        F.coalesce("items", none).alias("items"), "contaminated")
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -113,14 +113,13 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     own = Stage(docs.sparkSession, "decontaminate")
     found = own.write(windows(benchmark, width=width), "windows")
     scanned = with_hits(docs, found, text)
-    kept = scanned.filter(~contaminated(F.size(hit_words()), F.size("_w")))
-    return kept.select(*docs.columns)
+    return scanned.filter("NOT _hit.contaminated").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
     """docs with the hit words cut out of the text; what stands between words stays. Clean texts are unchanged."""
     found = Stage(docs.sparkSession, "decontaminate").write(windows(benchmark, width=width), "windows")
-    scanned = with_hits(docs, found, text).withColumn("_cut", hit_words())
+    scanned = with_hits(docs, found, text).withColumn("_cut", F.col("_hit.places"))
     cut = scanned.withColumn("_parts", F.when(F.size("_cut") > 0, F.regexp_extract_all(F.col(text), F.lit(_PART), F.lit(0))))
     shift = f"CASE WHEN get(_parts, 0) RLIKE '^{_SQL_WORD_START}' THEN 0 ELSE 1 END"
     rest = F.expr(f"array_join(filter(_parts, (p, j) -> (j - {shift}) % 2 <> 0 OR NOT array_contains(_cut, CAST((j - {shift}) / 2 AS int) + 1)), '')")
