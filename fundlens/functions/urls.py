@@ -32,11 +32,14 @@ US_STATES = [
 
 
 def query_text(url: Column) -> Column:
-    return F.regexp_extract(url, r"\?([^#]*)", 1)
+    """What stands between the first question mark and the fragment; a question mark in the fragment opens no query."""
+    return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
 
 def decode(value: Column) -> Column:
-    return F.coalesce(F.try_url_decode(value), value)
+    """Percent-decoded text; a percent sign that starts no code stands for itself."""
+    sound = F.regexp_replace(value, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(sound), value)
 
 
 def pairs(url: Column) -> Column:
@@ -62,7 +65,7 @@ def without_params(url: Column, names: list[str]) -> Column:
     kept = F.filter(pairs(url), lambda p: ~p["name"].isin(names))
     query = F.array_join(F.transform(kept, lambda p: p["raw"]), "&")
     path = F.regexp_extract(url, r"^([^?#]*)", 1)
-    fragment = F.regexp_extract(url, r"(#.*)$", 1)
+    fragment = F.regexp_extract(url, r"(?s)^[^#]*(#.*)\z", 1)
     return F.concat(path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), fragment)
 
 

@@ -19,11 +19,11 @@ PDF_READY_KEYS = [
     "event_type", "schema_version", "analysis_version", "event_key", "entry_id", "status",
     "summary_fingerprint", "source_generation", "final_generation", "final_pdf_sha256",
 ]
-ENTRY_ID = r"^[A-Za-z0-9_-]{1,128}$"
-OPAQUE_ID = r"^[A-Za-z0-9_-]{1,256}$"
-SHA256 = r"^[a-f0-9]{64}$"
-DIGITS = r"^[0-9]+$"
-DECIMAL = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?$"
+ENTRY_ID = r"^[A-Za-z0-9_-]{1,128}\z"
+OPAQUE_ID = r"^[A-Za-z0-9_-]{1,256}\z"
+SHA256 = r"^[a-f0-9]{64}\z"
+DIGITS = r"^[0-9]+\z"
+DECIMAL = r"^-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?\z"
 LAYOUT_VERSION = "underwriting-v1"
 
 
@@ -52,21 +52,34 @@ def _no_other_keys(keys: Column, allowed: list[str]) -> Column:
 
 
 def _is_object(value: Column) -> Column:
-    return F.trim(value).startswith("{")
+    """Whether JSON text is an object, whatever white space stands around it."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT"), F.lit(False))
+
+
+def _number(value: Column, event: Column, name: str) -> Column:
+    """A whole number of an event, also when it is written with a fraction of zeros; other spellings are null."""
+    path = f"$.{name}"
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(value), path, "variant"))
+    exact = F.try_variant_get(F.try_parse_json(value), path, "decimal(38,9)")
+    whole = F.when(kind.rlike("^(DECIMAL|DOUBLE)") & (exact == F.floor(exact)), exact.cast("bigint"))
+    return F.coalesce(event[name], whole)
 
 
 def validate_ready_events(messages: DataFrame) -> DataFrame:
     """Adds route (accepted, irrelevant, invalid), code and the parsed event ``e``."""
     value = F.col("value")
     parsed = messages.withColumn("e", F.from_json(value, READY_EVENT)).withColumn("_keys", F.json_object_keys(value))
+    event = F.col("e")
+    for name in ("schema_version", "analysis_version", "expected_document_count", "extracted_document_count"):
+        event = event.withField(name, _number(value, F.col("e"), name))
+    parsed = parsed.withColumn("e", event)
     e = F.col("e")
-    whole = F.get_json_object(value, "$.expected_document_count").rlike(r"^[0-9]+$")
     contract = (
         _no_other_keys(F.col("_keys"), READY_KEYS)
         & e["entry_id"].rlike(ENTRY_ID)
         & (e["event_key"] == K.ready_event_key(e["entry_id"]))
         & e["status"].isin(STATUSES)
-        & whole & (e["expected_document_count"] >= 1)
+        & (e["expected_document_count"] >= 1)
         & (e["extracted_document_count"] == e["expected_document_count"])
     )
     relevant = (e["event_type"] == READY_TYPE) & (e["schema_version"] == 1) & (e["analysis_version"] == 1)
@@ -111,12 +124,15 @@ def delivery_decision(messages: DataFrame, submissions: DataFrame) -> DataFrame:
     """What to do with each delivery message: send, acknowledge, drop or retry.
 
     A message whose submission is not visible yet is retried; the finished
-    document alone never causes a second notification.
+    document alone never causes a second notification. Of several submissions of an
+    entry the latest counts (``submitted_at``, if there is one, then the layout).
     """
     checked = validate_pdf_ready_events(messages).withColumn("_json", F.try_parse_json("value").isNotNull())
     kind = F.get_json_object("value", "$.event_type")
     entry = F.when(F.col("_json"), F.get_json_object("value", "$.entry_id"))
-    known = submissions.select(F.col("entry_id").alias("_entry"), "pdf_layout_version").withColumn("_seen", F.lit(True))
+    order = F.struct(*[c for c in ("submitted_at", "pdf_layout_version") if c in submissions.columns])
+    latest = submissions.groupBy(F.col("entry_id").alias("_entry")).agg(F.max_by("pdf_layout_version", order).alias("pdf_layout_version"))
+    known = latest.withColumn("_seen", F.lit(True))
     joined = checked.withColumn("entry_id", entry).withColumn("_kind", F.nullif(kind, F.lit(""))).join(
         known, F.col("entry_id") == F.col("_entry"), "left"
     )

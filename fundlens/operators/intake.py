@@ -35,7 +35,7 @@ def flatten_submissions(payloads: DataFrame) -> DataFrame:
     month = T.finite_number(form["businessStartedMonth"])
     year = T.finite_number(form["businessStartedYear"])
     both = (month != 0) & (year != 0)
-    entry = F.concat(F.lit("app_"), F.substring(F.sha2(F.concat_ws("\n", F.col("payload"), F.col("submitted_at").cast("string")), 256), 1, 16))
+    entry = F.concat(F.lit("app_"), F.substring(F.sha2(F.concat_ws("\n", F.col("payload"), F.col("submitted_at").cast("string")), 256), 1, 32))
     business = T.slug(form["businessLegalName"])
     where = F.concat(F.lit(STORAGE), business, F.lit("_"), entry)
 
@@ -121,9 +121,9 @@ def form_errors(submissions: DataFrame) -> DataFrame:
     )
 
 
-def first_files(files: Column, limit: int = MAX_FILES) -> Column:
-    """The files an application accepts: the first ones in order of arrival."""
-    return F.slice(files, 1, limit)
+def files_error(files: Column, limit: int = MAX_FILES) -> Column:
+    """Error code of an application with more files than one may have; its row keeps them all."""
+    return F.when(F.size(files) > limit, "TOO_MANY_FILES")
 
 
 def parse_extractions(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -46,10 +46,10 @@ def fan_out_documents(submissions: DataFrame) -> DataFrame:
 
 
 def recent_submission(submissions: DataFrame, now: Column, days: int | None = 30) -> DataFrame:
-    """Latest submission row of each entry, optionally within a number of days."""
+    """Latest submission row of each entry, optionally within a number of days; ties go by the row's JSON text."""
     kept = submissions if days is None else submissions.filter(F.col("submitted_at") >= now - F.expr(f"interval {days} days"))
     others = [c for c in submissions.columns if c != "entry_id"]
-    return kept.groupBy("entry_id").agg(F.max_by(F.struct(*others), "submitted_at").alias("r")).select("entry_id", "r.*")
+    return kept.groupBy("entry_id").agg(F.max_by(F.struct(*others), F.struct("submitted_at", F.to_json(F.struct(*others)))).alias("r")).select("entry_id", "r.*")
 
 
 def upsert_documents(ledger: DataFrame, updates: DataFrame, provider: str, event_id: Column, at: Column) -> DataFrame:
@@ -91,8 +91,10 @@ UPLOAD_COLUMNS = ["gcs_generation", "source_content_type", "source_size_bytes",
 
 
 def apply_transitions(ledger: DataFrame, events: DataFrame) -> DataFrame:
-    """Ledger after all transitions (document_id, at, event_id, transition, values).
+    """Ledger after all transitions (document_id, submitted_at, at, event_id, transition, values).
 
+    A transition belongs to one submission of a document; events without ``submitted_at``
+    come from a ledger that has one row per document.
     Each column takes its latest setting; the latest transition decides the
     status. All settings of a document are folded in one map-side aggregation.
     """
@@ -106,7 +108,8 @@ def apply_transitions(ledger: DataFrame, events: DataFrame) -> DataFrame:
     uploaded, failed = kind == "uploaded", kind == "failed"
     status = F.create_map(*[F.lit(x) for pair in TRANSITIONS.items() for x in pair])
     with_store = kind.isin("attached", "completed")
-    folded = known.groupBy("document_id").agg(
+    keys = [c for c in ("document_id", "submitted_at") if c in events.columns]
+    folded = known.groupBy(*keys).agg(
         F.max_by(status[kind], moment).alias("_status"),
         *[latest(F.col(c), uploaded).alias(f"_{c}") for c in UPLOAD_COLUMNS],
         F.bool_or(uploaded).alias("_has_upload"),
@@ -116,7 +119,7 @@ def apply_transitions(ledger: DataFrame, events: DataFrame) -> DataFrame:
         F.max(F.when(kind == "completed", F.col("at"))).alias("_completed_at"),
         F.max("at").alias("_at"),
     )
-    joined = ledger.join(folded, "document_id", "left")
+    joined = ledger.join(folded, keys, "left")
     moved = F.col("_status").isNotNull()
 
     def keep(name):

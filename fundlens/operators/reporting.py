@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from .running import numbered_by_index
 
 PART_ROWS = 1_000
 ATTACHMENT_BYTES = 24 * 1024 * 1024
@@ -73,7 +72,7 @@ def summary_fingerprints(
     """Digest of the displayed figures of each submission.
 
     A statement's line is digested where it is; the entry digest covers its
-    header and the lines in display order. Entries beyond a thousand statements
+    header and the lines in display order (dates first). Entries beyond a thousand statements
     are folded in parts of that size, so only digests meet in one place.
     """
     line = F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
@@ -81,7 +80,7 @@ def summary_fingerprints(
         F.coalesce("statement_start_date", F.lit("")), F.coalesce("statement_end_date", F.lit("")),
         "document_index", "document_id",
     )
-    numbered = numbered_by_index(statements, ["entry_id"], "document_index", ["document_id", "file_id"], "_row")
+    numbered = statements.withColumn("_row", F.row_number().over(Window.partitionBy("entry_id").orderBy(order, line)))
     part = F.floor((F.col("_row") - 1) / F.lit(PART_ROWS)).alias("part")
     lines = numbered.select("entry_id", order.alias("place"), line.alias("line"), part)
     parts = lines.groupBy("entry_id", "part").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("rows"))
@@ -231,7 +230,7 @@ def route_recipients(submissions: DataFrame, defaults: list[str], extras: dict[s
     """
     if len(extras) > 1_000:
         raise ValueError("too many recipient routes")
-    key = F.lower(F.trim(F.coalesce("app_param", F.lit(""))))
+    key = F.lower(F.coalesce(T.clean(F.col("app_param")), F.lit("")))
     base = F.array(*map(F.lit, defaults)).cast("array<string>")
     extra = F.array().cast("array<string>")
     if extras:

@@ -14,15 +14,25 @@ BLOCK = 10_000
 COARSE = 1_000
 
 
+def _same_place(rows: DataFrame, sums: DataFrame, place: list[str]) -> DataFrame:
+    """Inner join on columns whose NULLs are equal; the columns of ``rows`` stay."""
+    named = sums.withColumnsRenamed({c: f"_at_{c}" for c in place})
+    on = [rows[c].eqNullSafe(named[f"_at_{c}"]) for c in place]
+    return rows.join(named, on).drop(*[f"_at_{c}" for c in place])
+
+
 def running_totals(
     df: DataFrame, keys: list[str], levels: list[str], tail: list[str], totals: dict[str, Column]
 ) -> DataFrame:
     """Inclusive running sum of each expression, in the order (*levels, *tail).
 
-    ``levels`` go from coarse to fine; none of them may be NULL.
+    ``levels`` go from coarse to fine; NULLs are values of their own and come first. Totals keep the type of
+    their sums, so decimals keep their fraction; conditions are counted.
     """
     names = list(totals)
-    marked = df.select("*", *[totals[n].cast("bigint").alias(f"_in_{n}") for n in names])
+    marked = df.select("*", *[totals[n].alias(f"_in_{n}") for n in names])
+    flags = [c for c, kind in marked.dtypes if c.startswith("_in_") and kind == "boolean"]
+    marked = marked.withColumns({c: F.col(c).cast("bigint") for c in flags})
     place = [*keys, *levels]
     sums = marked.groupBy(*place).agg(*[F.sum(f"_in_{n}").alias(f"_sum_{n}") for n in names])
 
@@ -41,13 +51,13 @@ def running_totals(
         parent = [*keys, *levels[: depth + 1]]
         rows = rows.groupBy(*parent).agg(*[F.sum(f"_sum_{n}").alias(f"_sum_{n}") for n in names])
         outer = preceding(rows, depth).select(*parent, *[F.col(f"_before_{n}").alias(f"_outer_{n}") for n in names])
-        carried = carried.join(outer, parent).select(
+        carried = _same_place(carried, outer, parent).select(
             *place, *[f"_sum_{n}" for n in names],
             *[(F.col(f"_before_{n}") + F.col(f"_outer_{n}")).alias(f"_before_{n}") for n in names],
         )
     carried = carried.select(*place, *[f"_before_{n}" for n in names])
     within = Window.partitionBy(*place).orderBy(*tail).rowsBetween(Window.unboundedPreceding, 0)
-    joined = marked.join(carried, place)
+    joined = _same_place(marked, carried, place)
     return joined.select(
         *[joined[c] for c in df.columns],
         *[(F.col(f"_before_{n}") + F.sum(f"_in_{n}").over(within)).alias(n) for n in names],

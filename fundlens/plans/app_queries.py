@@ -16,7 +16,7 @@ _e = F.expr
 # ---- intake ---------------------------------------------------------------
 
 _PAYLOAD_FIELDS = f"""
-  SELECT 'app_' || substr(sha256(payload || chr(10) || submitted_at), 1, 16) AS entry_id, c, name, n, segment AS app_param,
+  SELECT 'app_' || substr(sha256(payload || chr(10) || submitted_at), 1, 32) AS entry_id, c, name, n, segment AS app_param,
     'src' || n AS utm_source, CAST(NULL AS VARCHAR) AS utm_medium,
     CASE WHEN c % 4 = 0 THEN '192.0.2.1' ELSE '10.0.' || c % 7 || '.1' END AS ip_address,
     nullif(substr(repeat('agent ', CAST(c % 120 AS INT)), 1, 500), '') AS user_agent,

@@ -25,7 +25,7 @@ CHAIN: dict[str, str] = {
         CAST(3 * ((year(ts) - 2024) * 12 + month(ts) - 1) + 1 + least(2, (day(ts) - 1) // 10) AS BIGINT) AS doc_index
       FROM events""",
     "raw": """
-      SELECT *, CASE WHEN count(*) OVER (PARTITION BY user_id, doc_index) > 5000 THEN event_id // 5000 ELSE 0 END AS part,
+      SELECT *, CAST(0 AS BIGINT) AS part,
         (user_id % 3 = 0 AND event_type IN ('purchase', 'error', 'view'))
           OR (user_id % 3 = 1 AND event_type IN ('purchase', 'error') AND dayofweek(d) + 1 = 2 + user_id % 5)
           OR (user_id % 3 = 2 AND event_type = 'purchase') AS pays,
