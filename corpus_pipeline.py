@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or with two nearly equally likely ones, go."""
-    found = langid.identify_language(queries.language_model(docs), F.col("text"))
-    return docs.withColumn("_found", found).filter((F.col("_found.lang") != langid.UNKNOWN) & ~F.col("_found.ambiguous")).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), langid.identify_language(queries.language_model(docs), F.col("text")).alias("found"))
+    return rows.filter((F.col("found.lang") != langid.UNKNOWN) & ~F.col("found.ambiguous")).select("doc.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import gc
 import hashlib
+import os
+import pathlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -15,6 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def reachable(spark: SparkSession) -> None:
+    """Python workers look for this package where the driver found it, besides their own path: a session that was
+    started elsewhere need not have it in PYTHONPATH. On a cluster the package is installed or added as ever."""
+    root, known = str(pathlib.Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    folders = [x for x in known.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in folders:
+        known["PYTHONPATH"] = os.pathsep.join([*folders, root])
+
+
 # ---- staged tables ----------------------------------------------------------
 
 
@@ -32,6 +43,7 @@ class Stage:
     cuts its lineage: after a lost executor only the work behind the last stored table is repeated."""
 
     def __init__(self, spark: SparkSession, name: str):
+        reachable(spark)
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
@@ -56,6 +68,7 @@ def release(spark: SparkSession) -> None:
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Rows of an Arrow batch for the jobs that run inside; long texts need small batches."""
+    reachable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(rows))
@@ -67,6 +80,7 @@ def arrow_rows(spark: SparkSession, rows: int):
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """For results that run later: whole texts go to Python in batches of so many rows."""
+    reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -112,18 +112,23 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     """docs without the contaminated ones; all columns stay. Rows need no key."""
     own = Stage(docs.sparkSession, "decontaminate")
     found = own.write(windows(benchmark, width=width), "windows")
-    scanned = with_hits(docs, found, text)
-    return scanned.filter("NOT _hit.contaminated").select(*docs.columns)
+    return with_hits(_apart(docs, text), found).filter("NOT _hit.contaminated").select("doc.*")
+
+
+def _apart(docs: DataFrame, text: str) -> DataFrame:
+    """The rows as one column and their texts as another, so that added columns clash with none of theirs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{text}`").alias("text"))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
     """docs with the hit words cut out of the text; what stands between words stays. Clean texts are unchanged."""
     found = Stage(docs.sparkSession, "decontaminate").write(windows(benchmark, width=width), "windows")
-    scanned = with_hits(docs, found, text).withColumn("_cut", F.col("_hit.places"))
-    cut = scanned.withColumn("_parts", F.when(F.size("_cut") > 0, F.regexp_extract_all(F.col(text), F.lit(_PART), F.lit(0))))
+    scanned = with_hits(_apart(docs, text), found).withColumn("_cut", F.col("_hit.places"))
+    cut = scanned.withColumn("_parts", F.when(F.size("_cut") > 0, F.regexp_extract_all(F.col("text"), F.lit(_PART), F.lit(0))))
     shift = f"CASE WHEN get(_parts, 0) RLIKE '^{_SQL_WORD_START}' THEN 0 ELSE 1 END"
     rest = F.expr(f"array_join(filter(_parts, (p, j) -> (j - {shift}) % 2 <> 0 OR NOT array_contains(_cut, CAST((j - {shift}) / 2 AS int) + 1)), '')")
-    return cut.withColumn(text, F.when(F.size("_cut") > 0, rest).otherwise(F.col(text))).select(*docs.columns)
+    kept = F.when(F.size("_cut") > 0, rest).otherwise(F.col("text"))
+    return cut.select(*[kept.alias(c) if c == text else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 _LETTERS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # with capitals, which stand in the text itself

@@ -367,8 +367,9 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def one_per_component(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of docs whose key is that of their component; of rows that repeat a key one stays. Rows with a null
     key stay, as nothing names them. All columns of docs are kept."""
-    own = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("component_id") == F.col("doc_id")).alias("_stays"))
-    renamed = own.withColumnRenamed("doc_id", "_key")
-    joined = docs.join(renamed, docs[key] == renamed["_key"], "left").filter(F.coalesce(F.col("_stays"), F.lit(True)))
-    numbered = joined.withColumn("_turn", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    return numbered.filter(F.col("_key").isNull() | (F.col("_turn") == 1)).select(*[docs[c] for c in docs.columns])
+    own = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("component_id") == F.col("doc_id")).alias("stays"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))  # the columns added below clash with none
+    named = rows.withColumn("key", F.col(f"doc.`{key}`")).filter("key IS NOT NULL")
+    kept = named.join(own, named["key"] == own["doc_id"], "left").filter(F.coalesce(F.col("stays"), F.lit(True)))
+    first = kept.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("key"))).filter("turn = 1")
+    return first.select("doc.*").union(docs.filter(F.col(f"`{key}`").isNull()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import chat, decontaminate, kneser_ney, langid, main_text, mixing, ngram_join, toxicity, vp_tree, warc
-from .common import Stage, remainder
+from .common import Stage, reachable, remainder
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -21,6 +21,7 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -115,7 +116,19 @@ def _(spark, sf_dir):
     return chat.format_and_read_back(records).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
-@register("op9_ngram_join")
+@register(
+    "op9_ngram_join",
+    r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+      s AS (SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS shingle
+        FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+      n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+      p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.r <> b.r GROUP BY a.r, b.r),
+      l AS (SELECT x, y FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+      reach(x, y) AS (SELECT r, r FROM n UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+      low AS (SELECT x AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = y GROUP BY x)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN low USING (r)""",
+)
 def _(spark, sf_dir):
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 

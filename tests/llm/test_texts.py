@@ -165,3 +165,16 @@ def test_main_text_edge_cases(spark):
     pages = spark.createDataFrame([(1, "<p>a, b</p>", "x"), (1, "<p>a, b</p>", "x"), (None, None, None)], "page_id long, html string, text string")
     assert sorted(r.text for r in with_main_text(pages).collect()) == ["", "a, b", "a, b"]
     assert with_main_text(pages.limit(0)).count() == 0
+
+
+def test_columns_of_clashing_names_stay(spark):
+    item = " ".join(f"b{i}" for i in range(13))
+    rows = [(1, item, "h", "k", "d", 5, "s"), (2, "one, two", "h2", None, "d2", 6, "s2"), (2, "one, two", "h2", None, "d2", 6, "s2"), (None, "three", None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hit string, key string, doc string, _row int, found string")
+    bench = spark.createDataFrame([("x", item)], "item_id string, text string")
+    assert sorted(map(tuple, D.remove_documents(docs, bench).collect()), key=repr) == sorted(rows[1:], key=repr)
+    cut = D.remove_spans(docs, bench)
+    assert cut.columns == docs.columns
+    assert {(r.text.strip(), r._hit, r.doc) for r in cut.collect()} == {("", "h", "d"), ("one, two", "h2", "d2"), ("three", None, None)}
+    kept = J.one_per_component(docs, J.similar_documents(docs))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[1], rows[3]], key=repr)
