@@ -74,11 +74,10 @@ def digits(value: Column) -> Column:
 
 
 def slug(value: Column) -> Column:
-    """Lower-case key of letters, digits and dashes, 60 characters at most."""
-    text = F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "&", "and")
-    text = F.regexp_replace(text, r"[^a-z0-9]+", "-")
-    text = F.substring(F.regexp_replace(text, r"^-|-$", ""), 1, 60)
-    return F.when(text == "", F.lit("unknown")).otherwise(text)
+    """Lower-case key: the words of the name joined by dashes, 60 characters at most."""
+    spelled = F.replace(F.lower(value), F.lit("&"), F.lit("and"))
+    key = F.array_join(F.regexp_extract_all(spelled, F.lit("[a-z0-9]+"), F.lit(0)), "-")
+    return F.coalesce(F.nullif(F.substring(key, 1, 60), F.lit("")), F.lit("unknown"))
 
 
 def safe_filename(value: Column, position: Column) -> Column:
@@ -87,41 +86,25 @@ def safe_filename(value: Column, position: Column) -> Column:
     return F.concat(F.lit("bank_"), F.lpad(position.cast("string"), 2, "0"), F.lit("_"), name)
 
 
-def _grouped_digits(value: Column, limit: int) -> Column:
-    return F.substring(digits(F.coalesce(value, F.lit(""))), 1, limit)
+def _marked_digits(value: Column, limit: int, marks: dict[int, str]) -> Column:
+    """The first digits of a text; each mark stands before the digit at its place, if there is one."""
+    shown = F.substring(digits(F.coalesce(value, F.lit(""))), 1, limit)
+    for place in sorted(marks, reverse=True):  # from the end, so that earlier places still count digits only
+        shown = F.regexp_replace(shown, rf"(?<=^\d{{{place}}})(?=\d)", marks[place])
+    return shown
 
 
+# Where the marks of each number stand.
 def phone_format(value: Column) -> Column:
-    d = _grouped_digits(value, 10)
-    n = F.length(d)
-    return (
-        F.when(n == 0, "")
-        .when(n <= 3, F.concat(F.lit("("), d))
-        .when(n <= 6, F.concat(F.lit("("), F.substring(d, 1, 3), F.lit(") "), F.substring(d, 4, 3)))
-        .otherwise(
-            F.concat(
-                F.lit("("), F.substring(d, 1, 3), F.lit(") "),
-                F.substring(d, 4, 3), F.lit("-"), F.substring(d, 7, 4),
-            )
-        )
-    )
+    return _marked_digits(value, 10, {0: "(", 3: ") ", 6: "-"})
 
 
 def ssn_format(value: Column) -> Column:
-    d = _grouped_digits(value, 9)
-    n = F.length(d)
-    return (
-        F.when(n <= 3, d)
-        .when(n <= 5, F.concat_ws("-", F.substring(d, 1, 3), F.substring(d, 4, 2)))
-        .otherwise(F.concat_ws("-", F.substring(d, 1, 3), F.substring(d, 4, 2), F.substring(d, 6, 4)))
-    )
+    return _marked_digits(value, 9, {3: "-", 5: "-"})
 
 
 def ein_format(value: Column) -> Column:
-    d = _grouped_digits(value, 9)
-    return F.when(F.length(d) <= 2, d).otherwise(
-        F.concat_ws("-", F.substring(d, 1, 2), F.substring(d, 3, 7))
-    )
+    return _marked_digits(value, 9, {2: "-"})
 
 
 def _grouped(number: Column) -> Column:
@@ -184,12 +167,16 @@ def display_period(start: Column, end: Column) -> Column:
     )
 
 
+# Characters that the document font shows in another form, or not at all.
+_CONTROLS = "".join(map(chr, [*range(0x20), 0x7F]))
+_QUOTES = "‘’“”"
+_NOT_SHOWN = "[^\\x20-\\x7e–—]"
+
+
 def printable(value: Column) -> Column:
     """Text limited to what a basic document font can show."""
-    text = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[\x00-\x1f\x7f]", " ")
-    text = F.translate(text, "‘’“”", "''\"\"")
-    text = F.regexp_replace(text, "…", "...")
-    return F.trim(F.regexp_replace(text, "[^\\x20-\\x7e–—]", "?"))
+    plain = F.translate(F.replace(value.cast("string"), F.lit("…"), F.lit("...")), _CONTROLS + _QUOTES, " " * len(_CONTROLS) + "''\"\"")
+    return F.coalesce(F.trim(F.regexp_replace(plain, _NOT_SHOWN, "?")), F.lit(""))
 
 
 def or_dash(value: Column) -> Column:

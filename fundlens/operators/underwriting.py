@@ -437,7 +437,7 @@ def current_position_counts(positions: DataFrame) -> DataFrame:
 
 
 def submission_underwriting_summary(documents: DataFrame, positions: DataFrame, version: int = 1) -> DataFrame:
-    """Roll-up per submission; its statements are ``nest_pages`` of ``documents``."""
+    """Roll-up per submission, one row each; its statements are the rows of ``documents``."""
     processed = F.count_if("extraction_received") == F.count("*")
     clean = F.count_if(F.col("payload_conflict") | F.col("binding_conflict")) == 0
 

@@ -351,6 +351,14 @@ def _(u):
     })
 
 
+@from_chain(
+    "submission_statement_rows", "entry_id:s document_id:s document_index:n quality_status:s",
+    "SELECT entry_id, document_id, document_index, quality_status FROM doc",
+)
+def _(u):
+    return u.submission_rows
+
+
 @from_chain(
     "submission_statement_pages", "entry_id:s page:n statements:n order_text:s statuses:s",
     """SELECT entry_id, 0 AS page, count(*) AS statements, string_agg(document_id, ',' ORDER BY document_index, document_id) AS order_text,

@@ -137,9 +137,14 @@ class Underwriting:
     def submission_summary(self) -> DataFrame:
         return U.submission_underwriting_summary(self.submission_documents, self.positions)
 
+    @cached_property
+    def submission_rows(self) -> DataFrame:
+        """One row per statement of a submission, received or not; ``document_index`` is their order."""
+        return self.submission_documents.drop("payload_conflict", "binding_conflict")
+
     @cached_property
     def submission_statements(self) -> DataFrame:
-        """Ordered statements per submission, in bounded pages."""
+        """Ordered statements per submission, nested in bounded pages; ``submission_rows`` has them as rows."""
         fields = [c for c in U.SUBMISSION_DOCUMENT if c not in ("entry_id", "payload_conflict", "binding_conflict")]
         return nest_pages(
             self.submission_documents, "entry_id", ["document_index", "document_id", "file_id"], fields, "statements"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators import statements as S
-from ..operators.running import nest_pages
 from .underwriting import Underwriting
 
 # The view names and the columns their users select.
@@ -25,29 +24,19 @@ STATEMENT_DOCUMENT = [
 ]
 
 
-def reconciliation_view(u: Underwriting) -> DataFrame:
-    """Reconciliation roll-up with its ordered documents."""
-    documents = S.submission_statement_documents(u.current, u.calculated)
-    pages = nest_pages(documents, "entry_id", ["document_index", "document_id", "file_id"], STATEMENT_DOCUMENT, "documents")
-    return u.reconciliation_summary.join(pages, "entry_id", "left")
-
-
-def submission_view(u: Underwriting) -> DataFrame:
-    """Underwriting roll-up with its ordered statements."""
-    return u.submission_summary.join(u.submission_statements, "entry_id", "left")
-
-
 def view_frames(u: Underwriting) -> dict[str, DataFrame]:
-    """Frames by view name. A submission has one row; only one with more than a
-    thousand statements continues on further rows, numbered by ``page``."""
+    """Frames by view name. A submission has one row in its summaries; its statements and documents, in the order of
+    ``document_index``, are rows of views of their own, whatever their number."""
     return {
         "bank_statement_extractions_canonical": u.canonical,
         "bank_statement_calculated": S.nest_calculated(u.calculated),
-        "submission_bank_statement_summary": reconciliation_view(u),
+        "submission_bank_statement_summary": u.reconciliation_summary,
+        "submission_bank_statement_documents": S.submission_statement_documents(u.current, u.calculated).select("entry_id", *STATEMENT_DOCUMENT),
         "bank_statement_transactions_classified": u.classified.select(*CLASSIFIED).withColumnRenamed("balance", "calculated_balance"),
         "bank_statement_mca_positions": u.positions,
         "bank_statement_underwriting_summary": u.statement_summary,
-        "submission_underwriting_summary": submission_view(u),
+        "submission_underwriting_summary": u.submission_summary,
+        "submission_underwriting_statements": u.submission_rows,
         "bank_transaction_rules": u.rules,
         "bank_business_calendar": u.calendar.days(u.spark),
     }
