@@ -345,12 +345,17 @@ def expected_schedule(positions: DataFrame, periods: DataFrame, ordinals: DataFr
         calendar.clip_end(F.least("latest_statement_end_date", "coverage_end")).alias("high"),
     ).filter(F.col("low") <= F.col("high"))
 
-    first, high = F.col("first"), F.col("high")
-    steps = F.when(F.col("frequency") == "BUSINESS_DAILY", F.sequence(F.col("low"), high))
+    # Steps are counted from the first payment, but only those near the covered days are made.
+    first, low, high = F.col("first"), F.col("low"), F.col("high")
+    steps = F.when(F.col("frequency") == "BUSINESS_DAILY", F.sequence(low, high))
     for name, size in STEP_DAYS.items():
-        steps = steps.when(F.col("frequency") == name, F.sequence(first, high, F.expr(f"interval {size} days")))
-    steps = steps.otherwise(F.sequence(first, high, F.expr("interval 1 month")))
-    anchors = regular.select("*", F.explode(steps).alias("anchor")).filter(F.col("anchor") >= F.col("low"))
+        skipped = F.floor(F.datediff(low, first) / size).cast("int") * size
+        begin = F.date_add(first, skipped)
+        steps = steps.when(F.col("frequency") == name, F.sequence(begin, F.greatest(begin, high), F.expr(f"interval {size} days")))
+    months = F.months_between(high, first), F.months_between(low, first)
+    nearby = F.sequence(F.greatest(F.floor(months[1]).cast("int") - 1, F.lit(0)), F.greatest(F.ceil(months[0]).cast("int") + 1, F.lit(0)))
+    steps = steps.otherwise(F.transform(nearby, lambda i: F.add_months(first, i)))
+    anchors = regular.select("*", F.explode(steps).alias("anchor")).filter(F.col("anchor").between(low, high))
 
     daily = F.col("frequency") == "BUSINESS_DAILY"
     anchored = anchors.join(

@@ -150,7 +150,8 @@ def classified_account_key() -> Column:
 
 def with_running_balances(calculated: DataFrame) -> DataFrame:
     """Statements with their transactions in (date, reading order) and numbered,
-    each with the balance after it.
+    each with the balance after it. ``known_balance`` leaves out unknown amounts where ``balance``
+    is then unknown.
 
     The input is partitioned by file already (it comes out of the grouping by
     file), so exploding, the running sum and the regrouping add no shuffle, and a
@@ -171,14 +172,15 @@ def with_running_balances(calculated: DataFrame) -> DataFrame:
     )
     running = Window.partitionBy("file_id").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     complete = (F.col("header.missing_amount_count") == 0) & (F.col("header.missing_date_count") == 0)
-    balance = F.when(complete, (F.col("header.start_balance") + F.sum("t.amount").over(running)).cast(SUM))
+    known = (F.col("header.start_balance") + F.sum(F.coalesce("t.amount", F.lit(0))).over(running)).cast(SUM)
     lines = exploded.select(
         "file_id", "header",
         F.when(
             F.col("offset").isNotNull(),
             F.struct(
                 (F.col("offset") + 1).cast("bigint").alias("transaction_index"), F.col("t.date").alias("date"),
-                F.col("t.description").alias("description"), F.col("t.amount").alias("amount"), balance.alias("balance"),
+                F.col("t.description").alias("description"), F.col("t.amount").alias("amount"),
+                F.when(complete, known).alias("balance"), known.alias("known_balance"),
             ),
         ).alias("line"),
     )
@@ -210,7 +212,7 @@ def nest_calculated(balanced: DataFrame) -> DataFrame:
     reconciliation = F.struct(
         *[f"{n}_{k}" for n in ("credits", "debits", "ending_balance") for k in ("difference", "status")]
     )
-    bare = F.transform("transactions", lambda t: t.dropFields("transaction_index"))
+    bare = F.transform("transactions", lambda t: t.dropFields("transaction_index", "known_balance"))
     return balanced.select(
         *IDENTITY, "extracted_at",
         F.struct(summary.alias("summary"), bare.alias("transactions")).alias("statement"),

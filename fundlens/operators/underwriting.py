@@ -85,46 +85,63 @@ def transaction_metrics(classified: DataFrame) -> DataFrame:
     )
 
 
-def closing_balances(calendar: Calendar) -> Column:
-    """(day, balance) for every calendar day of a statement's period.
+def with_balance_spans(calculated: DataFrame, calendar: Calendar) -> DataFrame:
+    """Adds ``_spans``: (first_day, last_day, balance) over a statement's period, one span for each change.
 
-    Worked out inside the row from its own transactions: no calendar join and no
-    shuffle. NULL when the period is not valid.
+    Worked out inside the row in one pass over its ordered transactions: no calendar join, no shuffle
+    and no work per day. NULL when the period is not valid.
     """
     low = calendar.clip_start(F.col("statement_start_date"))
     high = calendar.clip_end(F.col("statement_end_date"))
     valid = (F.col("statement_start_date") <= F.col("statement_end_date")) & (low <= high)
-
-    def until(day):
-        return F.aggregate(
-            F.filter("transactions", lambda t: t["date"] <= day),
-            F.col("start_balance").cast(SUM),
-            lambda total, t: (total + F.coalesce(t["amount"], F.lit(0))).cast(SUM),
-        )
-
-    return F.when(
-        valid,
-        F.transform(F.sequence(low, high), lambda d: F.struct(d.alias("calendar_date"), until(d).alias("closing_balance"))),
+    last_of_day = F.filter(
+        "transactions",
+        lambda t, i: t["date"].isNotNull() & ~t["date"].eqNullSafe(F.get(F.col("transactions"), i + 1)["date"]),
+    )
+    opening = F.struct(low.alias("day"), F.col("start_balance").cast(SUM).alias("balance"))
+    changes = F.transform(
+        last_of_day, lambda t: F.struct(F.greatest(t["date"], low).alias("day"), t["known_balance"].alias("balance"))
+    )
+    points = calculated.withColumn("_points", F.when(valid, F.concat(F.array(opening), changes)))
+    spans = F.transform(
+        "_points",
+        lambda p, i: F.struct(
+            p["day"].alias("first_day"),
+            F.least(F.date_sub(F.get(F.col("_points"), i + 1)["day"], 1), high).alias("last_day"),
+            p["balance"].alias("balance"),
+        ),
     )
+    return points.withColumn("_spans", F.filter(spans, lambda s: s["first_day"] <= s["last_day"])).drop("_points")
 
 
 def daily_closing_balances(calculated: DataFrame, calendar: Calendar) -> DataFrame:
     """Closing balance of every calendar day in each statement period."""
-    return calculated.select(
-        "entry_id", "document_id", "file_id", F.explode(closing_balances(calendar)).alias("day")
-    ).select("entry_id", "document_id", "file_id", "day.*")
+    owner = ["entry_id", "document_id", "file_id"]
+    spans = with_balance_spans(calculated, calendar).select(*owner, F.explode("_spans").alias("s"))
+    return spans.select(
+        *owner, F.explode(F.sequence("s.first_day", "s.last_day")).alias("calendar_date"),
+        F.col("s.balance").alias("closing_balance"),
+    )
 
 
 def with_balance_metrics(calculated: DataFrame, calendar: Calendar) -> DataFrame:
     """Statements with day count, average daily balance and negative days."""
-    days = F.col("_days")
-    total = F.aggregate(days, F.lit(0).cast("decimal(34,2)"), lambda t, d: (t + d["closing_balance"]).cast("decimal(34,2)"))
-    count = F.size(days)
-    return calculated.withColumn("_days", closing_balances(calendar)).select(
+    spans = F.col("_spans")
+
+    def days(s):
+        return F.datediff(s["last_day"], s["first_day"]) + 1
+
+    total = F.aggregate(
+        spans, F.lit(0).cast("decimal(34,2)"),
+        lambda t, s: (t + s["balance"] * days(s).cast("decimal(8,0)")).cast("decimal(34,2)"),
+    )
+    count = F.aggregate(spans, F.lit(0), lambda n, s: n + days(s))
+    negative = F.aggregate(F.filter(spans, lambda s: s["balance"] < 0), F.lit(0), lambda n, s: n + days(s))
+    return with_balance_spans(calculated, calendar).select(
         *calculated.columns,
         F.coalesce(count, F.lit(0)).cast("bigint").alias("calendar_day_count"),
         (total / count.cast("decimal(10,0)")).cast("decimal(38,9)").alias("average_daily_balance"),
-        F.size(F.filter(days, lambda d: d["closing_balance"] < 0)).cast("bigint").alias("negative_balance_days"),
+        negative.cast("bigint").alias("negative_balance_days"),
     )
 
 
@@ -258,35 +275,83 @@ def account_continuity(statements: DataFrame) -> DataFrame:
     )
 
 
+DYADIC_LEVELS = 22  # 2**22 days reach from year 1 beyond year 9999
+
+
+def _day_number(date: str) -> Column:
+    return F.datediff(date, F.lit("0001-01-01").cast("date"))
+
+
+def _aligned_blocks(low: Column, high: Column) -> Column:
+    """The days from low to high as the fewest aligned blocks (level, place) of 2**level days each."""
+
+    def at(level):
+        first, end = F.shiftright(low + ((1 << level) - 1), level), F.shiftright(high + 1, level)
+        own = F.struct(F.lit(level).alias("level"), first.alias("place"))
+        last = F.struct(F.lit(level).alias("level"), (end - 1).alias("place"))
+        return F.when((first < end) & (first % 2 == 1), own), F.when((first < end) & (end % 2 == 1), last)
+
+    return F.array_compact(F.array(*[c for level in range(DYADIC_LEVELS) for c in at(level)]))
+
+
+def _blocks_around(*days: Column) -> Column:
+    """The aligned blocks of all sizes that hold any of the days."""
+    return F.array_distinct(F.array(*[
+        F.struct(F.lit(level).alias("level"), F.shiftright(day, level).alias("place")) for level in range(DYADIC_LEVELS) for day in days
+    ]))
+
+
 def overlapping_entries(statements: DataFrame) -> DataFrame:
     """Entries with two statements over a common day for compatible accounts.
 
-    Accounts are compatible when either is blank or both agree with their bank.
-    Counting distinct documents per covered day aggregates on the map side and
-    never forms pairs. Periods that end before they start touch a normal period
-    only when it contains them; those few rows are tested by a semi join.
+    Accounts are compatible when either is blank or both agree with their bank. A period is cut into
+    aligned blocks of days; two periods meet exactly when one fills a block that holds an end of the
+    other, or fills it too. So a period of any length has some dozens of rows, and counting distinct
+    documents per block aggregates on the map side and never forms pairs. Periods that end before
+    they start touch a normal period only when it contains them; those few rows are joined by blocks.
     """
     rows = with_identity(statements).select(
         "entry_id", F.struct("document_index", "document_id").alias("document"),
         F.col("account_blank").alias("blank"), F.col("folded_account").alias("account"), F.col("folded_bank").alias("bank"),
-        F.col("statement_start_date").alias("low"), F.col("statement_end_date").alias("high"),
-    )
-    days = rows.filter(F.col("low") <= F.col("high")).withColumn("day", F.explode(F.sequence("low", "high")))
-    several = F.min("document") != F.max("document")
-    with_blank = days.groupBy("entry_id", "day").agg(
-        (several & F.bool_or("blank")).alias("hit")
-    )
-    same_account = days.filter(~F.col("blank")).groupBy("entry_id", "bank", "account", "day").agg(several.alias("hit"))
-
-    backward = rows.filter(F.col("low") > F.col("high")).alias("b")
-    normal = days.alias("n")
+        _day_number("statement_start_date").alias("low"), _day_number("statement_end_date").alias("high"),
+    )
+    normal = rows.filter(F.col("low") <= F.col("high"))
+    filled = normal.withColumn("block", F.explode(_aligned_blocks(F.col("low"), F.col("high")))).withColumn("fills", F.lit(True))
+    held = normal.withColumn("block", F.explode(_blocks_around(F.col("low"), F.col("high")))).withColumn("fills", F.lit(False))
+    touched = filled.unionByName(held)
+
+    def documents(*conditions):
+        """Least and greatest document of the rows that meet all conditions."""
+        chosen = F.col("document")
+        for condition in conditions:
+            chosen = F.when(condition, chosen)
+        return F.min(chosen), F.max(chosen)
+
+    def several(one, other=None):
+        other = other or one
+        return F.least(one[0], other[0]) != F.greatest(one[1], other[1])
+
+    fills, blank = F.col("fills"), F.col("blank")
+    anyone, blanks = documents(), documents(blank)
+    filling, blank_filling = documents(fills), documents(fills, blank)
+    with_blank = touched.groupBy("entry_id", "block").agg(
+        (
+            (blank_filling[0].isNotNull() & several(anyone))
+            | (filling[0].isNotNull() & blanks[0].isNotNull() & several(filling, blanks))
+        ).alias("hit")
+    )
+    same_account = touched.filter(~blank).groupBy("entry_id", "bank", "account", "block").agg(
+        (filling[0].isNotNull() & several(anyone)).alias("hit")
+    )
+
+    backward = rows.filter(F.col("low") > F.col("high")).withColumn("block", F.explode(_blocks_around(F.col("high")))).alias("b")
     compatible = (
         F.col("b.blank") | F.col("n.blank")
         | ((F.col("b.account") == F.col("n.account")) & (F.col("b.bank") == F.col("n.bank")))
     )
     contained = backward.join(
-        normal,
-        (F.col("b.entry_id") == F.col("n.entry_id")) & (F.col("b.high") == F.col("n.day"))
+        filled.alias("n"),
+        (F.col("b.entry_id") == F.col("n.entry_id")) & (F.col("b.block") == F.col("n.block"))
         & (F.col("n.high") >= F.col("b.low")) & (F.col("b.document") != F.col("n.document")) & compatible,
         "left_semi",
     )

@@ -37,18 +37,19 @@ def broker_messages(spark: SparkSession, servers: str, topic: str, offsets_per_t
     return stream.select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("received_at"))
 
 
-def unique_events(events: DataFrame, keys: list[str], time: str, delay: str = "1 day") -> DataFrame:
-    """Drops repeats of a key that arrive within the delay."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+def unique_events(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Drops all repeats of a key, however late. The state holds every key, so a long-lived
+    stream needs the RocksDB state store, which keeps it on disk."""
+    return events.dropDuplicates(keys)
 
 
-def unique_journey(raw: DataFrame, delay: str = "1 day") -> DataFrame:
+def unique_journey(raw: DataFrame) -> DataFrame:
     """Landing, start and step views once per session on a live stream."""
     journey = W.journey_events(raw)
     once = F.col("event").isin(*W.ONCE_PER_SESSION, "application_step_view")
     # Events that may repeat get their own id as part of the key.
     marked = journey.withColumn("occurrence", F.when(once, F.lit(-1)).otherwise(F.col("event_id")).cast("bigint"))
-    return unique_events(marked, ["session_id", "event", "step_number", "occurrence"], "ts", delay).drop("occurrence")
+    return unique_events(marked, ["session_id", "event", "step_number", "occurrence"]).drop("occurrence")
 
 
 def run_batches(stream: DataFrame, handle, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -73,24 +74,47 @@ class ReadyEventJob:
 
 
 class DeliveryJob:
-    """Decides on delivery messages; those whose submission is not visible yet
-    wait for the next batch and go to the dead letters after five attempts."""
+    """Decides on delivery messages; those whose submission is not visible yet wait for the
+    next run and go to the dead letters after five attempts.
+
+    A run is a micro-batch, or a retry of what waits when no input comes. Each takes what the run
+    before it left; its entry in ``pending`` is written last and completes it.
+    """
 
     def __init__(self, spark: SparkSession, root: str, submissions):
-        self.submissions = submissions  # () -> DataFrame, read anew for each batch
+        self.spark = spark
+        self.submissions = submissions  # () -> DataFrame, read anew for each run
         self.decided = BatchLog(spark, f"{root}/decided", schema("value string, entry_id string, action string"))
         waiting = schema("value string, attempts bigint")
         self.pending = BatchLog(spark, f"{root}/pending", waiting)
         self.dead = BatchLog(spark, f"{root}/dead", waiting)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        waiting = self.pending.read().filter(F.col("batch_id") == batch_id - 1).select("value", "attempts")
-        messages = batch.select("value").withColumn("attempts", F.lit(0).cast("bigint")).unionByName(waiting)
+        # After MAX_ATTEMPTS retries nothing waits, so no more run numbers are needed between batches.
+        self._run(batch, batch_id * (MAX_ATTEMPTS + 1))
+
+    def retry(self) -> bool:
+        """One more attempt at all that waits, without new input; False if nothing does. Runs between
+        micro-batches, for example after each ``run_batches`` that has ended."""
+        last = self.pending.last()
+        if last is None or self._waiting(last).isEmpty():
+            return False
+        self._run(self.spark.createDataFrame([], "value string"), last + 1)
+        return True
+
+    def _waiting(self, run: int) -> DataFrame:
+        return self.pending.read().filter(F.col("batch_id") == run).select("value", "attempts")
+
+    def _run(self, batch: DataFrame, run: int) -> None:
+        messages = batch.select("value").withColumn("attempts", F.lit(0).cast("bigint"))
+        last = self.pending.last(before=run)
+        if last is not None:
+            messages = messages.unionByName(self._waiting(last))
         decided = EV.delivery_decision(messages, self.submissions()).withColumn("attempts", F.col("attempts") + 1).persist()
         retry = F.col("action").startswith("retry:")
-        self.decided.append(decided.filter(~retry), batch_id)
-        self.pending.append(decided.filter(retry & (F.col("attempts") < MAX_ATTEMPTS)), batch_id)
-        self.dead.append(decided.filter(retry & (F.col("attempts") >= MAX_ATTEMPTS)), batch_id)
+        self.decided.append(decided.filter(~retry), run)
+        self.dead.append(decided.filter(retry & (F.col("attempts") >= MAX_ATTEMPTS)), run)
+        self.pending.append(decided.filter(retry & (F.col("attempts") < MAX_ATTEMPTS)), run)
         decided.unpersist()
 
 
@@ -176,9 +200,11 @@ class ReadinessJob:
         places = history.select("batch_id", "file_id").join(files, "file_id", "left_semi").distinct()
         related = history.join(places, ["batch_id", "file_id"], "left_semi").drop("batch_id")
         run = Underwriting(related, own_ledger, self.rules)
-        events = EV.readiness_events(run.submission_summary, self.emitted.read(before=batch_id))
-        self.emitted.append(events, batch_id)
-        run.discard()
+        try:
+            events = EV.readiness_events(run.submission_summary, self.emitted.read(before=batch_id))
+            self.emitted.append(events, batch_id)
+        finally:
+            run.discard()
 
 
 def submission_rows(payloads: DataFrame) -> DataFrame:

@@ -23,11 +23,27 @@ class BatchLog:
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
         df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
-    def read(self, before: int | None = None) -> DataFrame:
-        full = StructType([*self.schema.fields, StructField("batch_id", LongType())])
+    def _folder(self):
         jvm = self.spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(self.path)
         files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return files, folder
+
+    def last(self, before: int | None = None) -> int | None:
+        """The number of the newest complete batch, from the folder names."""
+        files, folder = self._folder()
+        if not files.exists(folder):
+            return None
+        jvm = self.spark.sparkContext._jvm
+        done = [
+            int(f.getPath().getName().removeprefix("batch_id=")) for f in files.listStatus(folder)
+            if f.getPath().getName().startswith("batch_id=") and files.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))
+        ]
+        return max((n for n in done if before is None or n < before), default=None)
+
+    def read(self, before: int | None = None) -> DataFrame:
+        full = StructType([*self.schema.fields, StructField("batch_id", LongType())])
+        files, folder = self._folder()
         if not files.exists(folder):
             return self.spark.createDataFrame([], full)
         table = self.spark.read.schema(full).option("basePath", self.path).parquet(self.path)

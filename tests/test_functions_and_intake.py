@@ -112,9 +112,9 @@ def test_withholding_and_tolerance(spark):
 def test_daily_balances_of_three_days(spark):
     d = lambda n: dt.date(2026, 1, n)
     df = spark.createDataFrame(
-        [("e", "d", "f", Decimal(100), d(1), d(3), [(d(1), "x", Decimal(-150)), (d(3), "y", Decimal(100))])],
+        [("e", "d", "f", Decimal(100), d(1), d(3), [(d(1), "x", Decimal(-150), Decimal(-50)), (d(3), "y", Decimal(100), Decimal(50))])],
         "entry_id string, document_id string, file_id string, start_balance decimal(18,2), statement_start_date date, statement_end_date date, "
-        "transactions array<struct<date: date, description: string, amount: decimal(18,2)>>",
+        "transactions array<struct<date: date, description: string, amount: decimal(18,2), known_balance: decimal(28,2)>>",
     )
     assert [r.closing_balance for r in U.daily_closing_balances(df, Calendar()).orderBy("calendar_date").collect()] == [-50, -50, 50]
     row = U.with_balance_metrics(df, Calendar()).first()

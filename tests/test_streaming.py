@@ -42,10 +42,10 @@ def test_ready_events_are_accepted_once(spark, tmp_path):
 def test_unique_events_on_a_stream(spark, tmp_path):
     source = tmp_path / "in"
     for i, key in enumerate(["k1", "k2", "k1"]):
-        write_lines(source, f"f{i}", [json.dumps({"event_key": key, "at": f"2024-01-01T00:0{i}:00Z"})])
+        write_lines(source, f"f{i}", [json.dumps({"event_key": key, "at": f"2024-01-{1 + 9 * i:02}T00:00:00Z"})])  # the repeat comes 18 days later
     stream = spark.readStream.schema("event_key string, at timestamp").option("maxFilesPerTrigger", 1).json(str(source))
     out = str(tmp_path / "out")
-    query = J.unique_events(stream, ["event_key"], "at").writeStream.format("parquet").option("path", out).option(
+    query = J.unique_events(stream, ["event_key"]).writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", str(tmp_path / "cp")
     ).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -92,6 +92,24 @@ def test_delivery_retries_until_dead(spark, tmp_path):
     assert [json.loads(r.value)["entry_id"] for r in job.dead.read().collect()] == ["never"]
 
 
+def test_delivery_retries_without_input(spark, tmp_path):
+    visible = [("seen",)]
+    submissions = lambda: spark.createDataFrame([(e, None) for (e,) in visible], "entry_id string, pdf_layout_version string")
+    job = J.DeliveryJob(spark, str(tmp_path / "d"), submissions)
+    message = lambda *entries: spark.createDataFrame([(json.dumps({"entry_id": e}),) for e in entries], "value string")
+    assert not job.retry()
+    job(message("seen", "late", "never"), 0)
+    visible.append(("late",))
+    assert job.retry()
+    job(message("seen"), 1)
+    job(message("seen"), 1)  # a replay
+    while job.retry():
+        pass
+    assert sorted((r.entry_id, r.action) for r in job.decided.read().collect()) == [("late", "send"), ("seen", "send"), ("seen", "send")]
+    assert [(json.loads(r.value)["entry_id"], r.attempts) for r in job.dead.read().collect()] == [("never", J.MAX_ATTEMPTS)]
+    assert not job.retry()
+
+
 def test_ledger_job_is_replay_safe(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     sub = lambda *rows_: spark.createDataFrame(list(rows_), "entry_id string, submitted_at timestamp, bank_statement_gcs_keys array<string>")

@@ -71,3 +71,44 @@ def test_running_totals_keep_fractions_and_nulls(spark):
 def test_too_many_files_are_told(spark):
     df = spark.createDataFrame([(["f"] * 10,), (["f"] * 11,)], "files array<string>")
     assert [r.e for r in df.select(intake.files_error(F.col("files")).alias("e")).collect()] == [None, "TOO_MANY_FILES"]
+
+
+def test_periods_up_to_the_last_year_stay_few_rows(spark):
+    import datetime as dt
+
+    from fundlens.operators import underwriting as U
+
+    last = dt.date(9999, 12, 31)
+    columns = (
+        "entry_id string, document_id string, document_index bigint, account_number string, bank_name string, company string, "
+        "statement_start_date date, statement_end_date date"
+    )
+    rows = [
+        ("far", "d1", 1, "A", "B", "C", dt.date(2024, 1, 1), last), ("far", "d2", 2, "A", "B", "C", last, last),
+        ("apart", "d1", 1, "A", "B", "C", dt.date(2024, 1, 1), dt.date(5000, 1, 1)), ("apart", "d2", 2, "A", "B", "C", dt.date(5000, 1, 2), last),
+        ("one", "d1", 1, None, "B", "C", dt.date(1, 1, 1), last),
+    ]
+    statements = spark.createDataFrame(rows, columns)
+    assert {r.entry_id for r in U.overlapping_entries(statements).collect()} == {"far"}
+    days = U._day_number("statement_start_date"), U._day_number("statement_end_date")
+    sizes = statements.select(F.size(U._aligned_blocks(*days)).alias("filled"), F.size(U._blocks_around(*days)).alias("held")).collect()
+    assert max(r.filled + r.held for r in sizes) <= 88
+
+
+def test_monthly_and_weekly_steps_begin_at_the_first_payment(spark):
+    import datetime as dt
+
+    from fundlens.operators import positions as P
+    from fundlens.sources.calendar import Calendar
+
+    first, low, high = dt.date(2021, 1, 31), dt.date(2023, 2, 1), dt.date(2023, 5, 31)
+    names = "entry_id string, account_key string, position_key string, frequency string, first_consistent_date date, coverage_start date, latest_statement_end_date date, coverage_end date"
+    positions = spark.createDataFrame([("e", "a", f, f, first, low, high, high) for f in ("MONTHLY", "WEEKLY")], names)
+    periods = spark.createDataFrame([("e", "a", low, high, 1, "d", "f")], "entry_id string, account_key string, statement_start_date date, statement_end_date date, document_index int, document_id string, file_id string")
+    calendar = Calendar()
+    due = P.expected_schedule(positions, periods, calendar.ordinals(spark), calendar).collect()
+    monthly = sorted(str(r.expected_date) for r in due if r.position_key == "MONTHLY")
+    # The last days of the months, moved to the nearest business day.
+    assert monthly == ["2023-02-28", "2023-03-31", "2023-05-01", "2023-05-31"]
+    weekly = sorted(r.expected_date for r in due if r.position_key == "WEEKLY")
+    assert len(weekly) == sum(1 for i in range(0, 900, 7) if low <= first + dt.timedelta(days=i) <= high)
