@@ -2,68 +2,85 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import keys as K
 from ..functions import text as T
 from .statements import IDENTITY
 
-MAX_RULES = 2_000
 REVERSAL_BUSINESS_DAYS = 5
+GRAM = 3
+
+
+def _rule_tokens(rules: DataFrame, version: int) -> DataFrame:
+    """(token, rule) of the active rules of one version, one token each: the whole text of an EXACT
+    rule, the first characters of a PREFIX, and of a CONTAINS the trigram that fewest rules hold."""
+    value = F.col("match_value")
+    active = rules.filter(F.col("active") & (F.col("analysis_version") == version)).select(
+        "match_type", "match_value",
+        F.struct("priority", "rule_id", "classification", "confidence", "canonical_counterparty",
+                 "match_type", "match_value", "direction").alias("rule"),
+    )
+    grams = F.when(
+        F.length(value) >= GRAM,
+        F.transform(F.sequence(F.lit(1), F.length(value) - (GRAM - 1)), lambda i: value.substr(i, F.lit(GRAM))),
+    ).otherwise(F.array(value))
+    held = active.filter(~F.col("match_type").isin("EXACT", "PREFIX")).select(
+        "rule", F.explode(F.array_distinct(grams)).alias("gram")
+    ).withColumn("holders", F.count("*").over(Window.partitionBy("gram")))
+    rarest = held.groupBy("rule").agg(F.min_by("gram", F.struct("holders", "gram")).alias("gram"))
+    anchored = active.filter(F.col("match_type").isin("EXACT", "PREFIX")).select(
+        F.when(F.col("match_type") == "EXACT", F.concat(F.lit("="), value))
+        .otherwise(F.concat(F.lit("^"), value.substr(1, GRAM))).alias("token"),
+        "rule",
+    )
+    return anchored.unionByName(rarest.select(F.concat(F.lit("~"), "gram").alias("token"), "rule"))
 
 
-def _rule_rows(rules: DataFrame, version: int) -> list:
-    """Active rules of one version, best first. The rule table is curated by
-    hand; its size is checked before it becomes part of the expression."""
-    active = rules.filter(F.col("active") & (F.col("analysis_version") == version))
-    rows = active.orderBy("priority", "rule_id").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} active rules")
-    return rows
+def _text_tokens(text: Column) -> Column:
+    """All tokens by which a rule can match the text."""
+    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
+    heads = [F.concat(F.lit("^"), text.substr(1, size)) for size in range(1, GRAM + 1)]
 
+    def inside(size):
+        return F.transform(places, lambda i: F.concat(F.lit("~"), text.substr(i, F.lit(size))))
 
-MATCH = (
-    "array<struct<rule_id: string, priority: bigint, classification: string, "
-    "confidence: string, canonical_counterparty: string, "
-    "match_type: string, match_value: string, direction: string>>"
-)
-_PATTERN = {"EXACT": "^\\Q{}\\E$", "PREFIX": "^\\Q{}\\E", "CONTAINS": "\\Q{}\\E"}
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), text), F.lit("^"), F.lit("~"), *heads), *map(inside, range(1, GRAM + 1))))
 
 
 def match_rules(transactions: DataFrame, rules: DataFrame, version: int = 1) -> DataFrame:
     """Adds direction, normalised text and ``rule_matches`` (best rule first).
 
-    The rules travel as one constant array inside the projection, so matching
-    neither joins nor shuffles the transactions. One combined pattern decides
-    first whether any rule can match; only then are the rules tried.
+    Only distinct descriptions are normalised and matched. A description meets a rule by equality of
+    a token, then the rule itself is tested; any number of rules goes the same way. Transactions take
+    the result by their description, which is the one shuffle of them, and keep the rules of their
+    direction.
     """
-    rows = _rule_rows(rules, version)
-    names = ["rule_id", "priority", "classification", "confidence", "canonical_counterparty",
-             "match_type", "match_value", "direction"]
-    constant = F.from_json(F.lit(json.dumps([{n: r[n] for n in names} for r in rows])), MATCH)
-    anything = "|".join(sorted({_PATTERN[r["match_type"]].format(r["match_value"]) for r in rows})) or "(?!)"
-    text, direction = F.col("normalized_description"), F.col("direction")
-
-    def applies(rule: Column) -> Column:
-        value = rule["match_value"]
-        test = (
-            F.when(rule["match_type"] == "EXACT", text == value)
-            .when(rule["match_type"] == "PREFIX", F.startswith(text, value))
-            .otherwise(F.contains(text, value))
-        )
-        return ((rule["direction"] == "EITHER") | (rule["direction"] == direction)) & test
-
-    prepared = transactions.select(
-        "*",
-        F.when(F.col("amount") > 0, "CREDIT").when(F.col("amount") < 0, "DEBIT").alias("direction"),
+    texts = transactions.select("description").distinct().select(
+        F.col("description").alias("known_description"),
         T.normalize_description(F.col("description")).alias("normalized_description"),
-        K.transaction_id(F.col("file_id"), F.col("transaction_index")).alias("transaction_id"),
-    ).drop("description")
-    return prepared.withColumn(
-        "rule_matches",
-        F.when(text.rlike(anything), F.filter(constant, applies)).otherwise(F.array().cast(MATCH)),
+    )
+    text, rule = F.col("normalized_description"), F.col("rule")
+    applies = (
+        F.when(rule["match_type"] == "EXACT", text == rule["match_value"])
+        .when(rule["match_type"] == "PREFIX", F.startswith(text, rule["match_value"]))
+        .otherwise(F.contains(text, rule["match_value"]))
+    )
+    met = texts.withColumn("token", F.explode_outer(_text_tokens(text))).join(_rule_tokens(rules, version), "token", "left")
+    matched = met.groupBy("known_description", "normalized_description").agg(
+        F.array_sort(F.collect_list(F.when(applies, rule))).alias("text_matches")
+    )
+    direction = F.col("direction")
+    return (
+        transactions.join(matched, F.col("description").eqNullSafe(F.col("known_description")), "left")
+        .withColumn("direction", F.when(F.col("amount") > 0, "CREDIT").when(F.col("amount") < 0, "DEBIT"))
+        .select(
+            *[c for c in transactions.columns if c != "description"], "direction", "normalized_description",
+            K.transaction_id(F.col("file_id"), F.col("transaction_index")).alias("transaction_id"),
+            F.filter(
+                "text_matches", lambda r: (r["direction"] == "EITHER") | (r["direction"] == direction)
+            ).alias("rule_matches"),
+        )
     )
 
 

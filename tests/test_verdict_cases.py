@@ -112,3 +112,24 @@ def test_monthly_and_weekly_steps_begin_at_the_first_payment(spark):
     assert monthly == ["2023-02-28", "2023-03-31", "2023-05-01", "2023-05-31"]
     weekly = sorted(r.expected_date for r in due if r.position_key == "WEEKLY")
     assert len(weekly) == sum(1 for i in range(0, 900, 7) if low <= first + dt.timedelta(days=i) <= high)
+
+
+def test_thousands_of_rules_match_as_plain_tests_do(spark):
+    import random
+
+    from fundlens.operators import classify as C
+    from fundlens.schemas import RULES
+
+    rng = random.Random(4)
+    word = lambda low, high: "".join(rng.choice("ABC 1") for _ in range(rng.randrange(low, high))).strip()
+    rules = [(1, f"r{i:04}", rng.randrange(9), rng.random() < 0.9, rng.choice(["EXACT", "PREFIX", "CONTAINS"]), word(1, 8),
+              rng.choice(["CREDIT", "DEBIT", "EITHER"]), "TRANSFER", "CONFIRMED", None) for i in range(2001)]
+    lines = [("f", i, " ".join(word(0, 12).split()) or None, Decimal(rng.choice([-5, 0, 7]))) for i in range(300)] + [("f", 300, None, None)]
+    df = spark.createDataFrame(lines, "file_id string, transaction_index bigint, description string, amount decimal(18,2)")
+    found = C.match_rules(df, spark.createDataFrame(rules, RULES)).collect()
+    assert len(found) == len(lines)
+    tests = {"EXACT": lambda t, v: t == v, "PREFIX": lambda t, v: t.startswith(v), "CONTAINS": lambda t, v: v in t}
+    for row in found:
+        text = row.normalized_description or ""
+        fits = [(r[2], r[1]) for r in rules if r[3] and r[6] in ("EITHER", row.direction) and tests[r[4]](text, r[5])]
+        assert [m.rule_id for m in row.rule_matches] == [name for _, name in sorted(fits)], text
