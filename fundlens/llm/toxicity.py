@@ -18,6 +18,7 @@ from .common import gram_codes, hash_sample, small_batches
 
 SIZES = (4, 5, 6)
 BITS = 20
+PER_LABEL = 3000
 
 
 @dataclass(frozen=True)
@@ -77,7 +78,7 @@ def fit_rows(present: list[np.ndarray], toxic: np.ndarray, bits: int, least_rati
     return float(weight[-1]), kept.astype(np.int32), weight[:-1] * ratio[kept]
 
 
-def fit_toxicity(rows: DataFrame, text: str, label: str, key: str, per_label: int = 3000, sizes: tuple[int, ...] = SIZES, bits: int = BITS) -> ToxicityModel:
+def fit_toxicity(rows: DataFrame, text: str, label: str, key: str, per_label: int = PER_LABEL, sizes: tuple[int, ...] = SIZES, bits: int = BITS) -> ToxicityModel:
     """Trains on at most ``per_label`` rows of label 1 and as many of label 0, chosen by a hash of the key.
 
     The features are made where the rows are; one task fits them, and only the weights come to the driver.
