@@ -1,9 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Slot i of the mix has the point i * golden ratio modulo 1 (in 32-bit fixed point). The points fall evenly into
-[0, 1), which the sources share by their targets; so every stretch of the mix holds each source in its share. The
-slots of a source are ranked, and its r-th slot takes block r of the source: equal runs of words of its documents
-in shuffled order, over again when the blocks are used up, twice at most.
+[0, 1), which the sources share by their numbers of slots; so every stretch of the mix holds each source in its share.
+A source has slots by its target, but LEAST_SLOTS at least: one with a small target has shorter blocks, not fewer of
+them. The slots of a source are ranked and its target is cut into as many equal runs of words; the r-th slot takes run
+r of its documents in shuffled order, over again when the source is used up, twice at most. So each source gives its
+target to the word.
 
 Running sums and ranks go by buckets of a source, so that no task holds a source.
 """
@@ -20,6 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 2654435769  # 2**32 / golden ratio
 SLOTS = 1024  # slots a source has on average, while blocks stay below MOST_WORDS
 MOST_WORDS = 65_536
+LEAST_SLOTS = 256  # slots of a source with a small target
 BUCKET_ROWS = 4096
 REPEATS = 2
 
@@ -31,7 +34,10 @@ def word_count(text: Column) -> Column:
 @dataclass(frozen=True)
 class Mix:
     """``documents``: sid, doc_id, size, source, first (words of its source before it), source_size, target.
-    ``schedule``: slot, sid, block, epoch. ``pieces``: slot, epoch, sid, first, doc_id, from_word, to_word."""
+    ``schedule``: slot, sid, block, epoch, begin, end: the words of its source, counted on through its epochs, that
+    the slot takes; epoch is that of the first. Slots without words (of sources with fewer words than slots) are left
+    out. ``pieces``: slot, epoch, sid, first, doc_id, from_word, to_word. ``block_words``: words of the longest blocks,
+    about."""
 
     documents: DataFrame
     schedule: DataFrame
@@ -75,11 +81,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     stage = Stage(spark, "mixing")
     sized = stage.write(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), "sized")
     sources = stage.write(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")).drop("rows"), weights, percent), "sources")
-    totals = sources.agg(F.count("*").alias("n"), F.sum("target").alias("words"), F.sum("source_size").alias("all")).first()
+    totals = sources.agg(F.count("*").alias("n"), F.sum("target").alias("words")).first()
     n, words = totals.n, totals.words or 0.0
     block = int(max(1, min(MOST_WORDS, words // (SLOTS * max(n, 1)))))
+    sources = sources.withColumn("slots", F.greatest(F.col("target") / block, F.when(F.col("target") > 0, F.lit(float(LEAST_SLOTS))).otherwise(0.0)))
+    sources = sources.withColumn("step", F.when(F.col("target") > 0, F.ceil(F.col("target") / F.col("slots"))).otherwise(F.lit(1)))  # about the words of a slot
+    slots = sources.agg(F.sum("slots").alias("slots")).first().slots or 0.0
 
-    named = sources.withColumnRenamed("source", "name").select("name", "sid", "source_size", "target")
+    named = sources.withColumnRenamed("source", "name").select("name", "sid", "source_size", "target", "step")
     documents = sized.join(named, sized.source.eqNullSafe(named.name)).drop("name")
     documents = documents.withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
     buckets = max(1, 1 << (sized.count() // BUCKET_ROWS).bit_length())
@@ -91,40 +100,53 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     inside = Window.partitionBy("sid", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = documents.withColumn("upto", F.sum("size").over(inside)).join(of_bucket, ["sid", "bucket"])
     placed = placed.withColumn("first", F.col("ahead") + F.col("upto") - F.col("size"))
-    placed = stage.write(placed.select("sid", "doc_id", "size", "source", "first", "source_size", "target"), "placed")
+    placed = stage.write(placed.select("sid", "doc_id", "size", "source", "first", "source_size", "target", "step"), "placed")
 
-    schedule = stage.write(_schedule(sources, n, words, block, int(-(-words // block))), "schedule")
+    schedule = stage.write(_schedule(sources, n, slots), "schedule")
+    # Documents and slots meet in cells of ``step`` words of their source, once: in the cell where their common words begin.
     last = F.col("first") + F.col("size") - 1
     cut = placed.filter("size > 0").select(
-        "sid", "doc_id", "first", "size",
-        F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(last / block))).alias("block"))
-    begin = F.greatest(F.col("block") * block - F.col("first"), F.lit(0))
-    end = F.least((F.col("block") + 1) * block - F.col("first"), F.col("size"))
-    pieces = cut.join(schedule, ["sid", "block"]).select(
-        "slot", "epoch", "sid", "first", "doc_id", begin.alias("from_word"), end.alias("to_word"))
-    return Mix(placed, schedule, pieces, block)
+        "sid", "doc_id", "first", "size", "step", F.explode(F.sequence(F.floor(F.col("first") / F.col("step")), F.floor(last / F.col("step")))).alias("cell"))
+    begin = F.greatest("first", "low")
+    end = F.least(F.col("first") + F.col("size"), F.col("high"))
+    met = cut.join(_passes(schedule, sources), ["sid", "cell"]).filter((begin < end) & (F.floor(begin / F.col("step")) == F.col("cell")))
+    pieces = met.select("slot", "epoch", "sid", "first", "doc_id", (begin - F.col("first")).alias("from_word"), (end - F.col("first")).alias("to_word"))
+    return Mix(placed.drop("step"), schedule, pieces, block)
 
 
-def _schedule(sources: DataFrame, n: int, words: float, block: int, slots: int) -> DataFrame:
-    """Rows (slot, sid, block, epoch). Slots find their source by an equality join on cells of [0, 1)."""
+def _schedule(sources: DataFrame, n: int, slots: float) -> DataFrame:
+    """Rows (slot, sid, block, epoch, begin, end). Slots find their source by an equality join on cells of [0, 1)."""
     cells = 4 * max(n, 1)
-    upto = F.sum("target").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("slots").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
     spans = sources.withColumn("upto", upto).filter("target > 0")
-    spans = spans.select("sid", (F.floor((F.col("source_size") + block - 1) / block)).alias("blocks"), ((F.col("upto") - F.col("target")) / words if words else F.lit(0.0)).alias("low"), (F.col("upto") / words if words else F.lit(0.0)).alias("high"))
+    give = F.least(F.round("target").cast("long"), F.col("source_size") * REPEATS)
+    spans = spans.select("sid", "source_size", give.alias("give"), ((F.col("upto") - F.col("slots")) / slots if slots else F.lit(0.0)).alias("low"), (F.col("upto") / slots if slots else F.lit(0.0)).alias("high"))
     spans = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1).cast("long")))))
     spark = sources.sparkSession
-    points = spark.range(slots).select(F.col("id").alias("slot"), (((F.col("id") % (1 << 32)) * GOLDEN % (1 << 32) + 0.5) / float(1 << 32)).alias("point"))
+    points = spark.range(int(-(-slots // 1))).select(F.col("id").alias("slot"), (((F.col("id") % (1 << 32)) * GOLDEN % (1 << 32) + 0.5) / float(1 << 32)).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") * cells))
     last = F.col("high") >= 1 - 1e-9
     chosen = points.join(spans, "cell").filter((F.col("point") >= F.col("low")) & ((F.col("point") < F.col("high")) | last))
-    chosen = chosen.select("slot", "sid", "blocks", F.floor(F.col("slot") / BUCKET_ROWS).alias("chunk"))
+    chosen = chosen.select("slot", "sid", "source_size", "give", F.floor(F.col("slot") / BUCKET_ROWS).alias("chunk"))
     counts = chosen.groupBy("sid", "chunk").agg(F.count("*").alias("here"))
     ahead = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("sid", "chunk", F.coalesce(F.sum("here").over(ahead), F.lit(0)).alias("ahead"))
+    counts = counts.select("sid", "chunk", F.coalesce(F.sum("here").over(ahead), F.lit(0)).alias("ahead"), F.sum("here").over(Window.partitionBy("sid")).alias("n"))
     rank = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot")) - 1
-    ranked = chosen.withColumn("inside", rank).join(counts, ["sid", "chunk"]).withColumn("rank", F.col("ahead") + F.col("inside"))
-    ranked = ranked.withColumn("epoch", F.floor(F.col("rank") / F.col("blocks"))).filter(F.col("epoch") < REPEATS)
-    return ranked.select("slot", "sid", (F.col("rank") % F.col("blocks")).alias("block"), "epoch")
+    ranked = chosen.withColumn("inside", rank).join(counts, ["sid", "chunk"]).withColumn("block", F.col("ahead") + F.col("inside"))
+    # block * give / n without its large product
+    begin, end = (F.expr(f"{r} * (give div n) + ({r} * (give % n)) div n") for r in ("block", "(block + 1)"))
+    ranked = ranked.withColumn("begin", begin).withColumn("end", end).filter("begin < end")
+    return ranked.select("slot", "sid", "block", F.expr("begin div source_size").alias("epoch"), "begin", "end")
+
+
+def _passes(schedule: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows (slot, sid, epoch, low, high, cell): a slot's words in each epoch, for each cell of its source they touch."""
+    rows = schedule.drop("epoch").join(sources.select("sid", "source_size", "step"), "sid")
+    rows = rows.withColumn("epoch", F.explode(F.expr("sequence(begin div source_size, (end - 1) div source_size)")))
+    before = F.col("epoch") * F.col("source_size")
+    rows = rows.withColumn("low", F.greatest(F.col("begin") - before, F.lit(0))).withColumn("high", F.least(F.col("end") - before, F.col("source_size")))
+    cells = F.sequence(F.floor(F.col("low") / F.col("step")), F.floor((F.col("high") - 1) / F.col("step")))
+    return rows.select("slot", "sid", "epoch", "low", "high", F.explode(cells).alias("cell"))
 
 
 def taken_words(found: Mix) -> DataFrame:

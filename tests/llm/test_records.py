@@ -187,6 +187,24 @@ def test_mix_follows_its_targets(spark):
     assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, result), key=repr)
 
 
+def test_tiny_sources_beside_hot_ones_reach_their_targets(spark):
+    sizes = {"a": 400_000, "b": 300_000, "c": 20_000, "d": 5_003, "e": 500, "f": 50, "g": 7, "h": 1}
+    rows = [(i, n, min(4_001, size - n), name) for i, (name, size) in enumerate(sizes.items()) for n in range(0, size, 4_001)]
+    docs = spark.createDataFrame([(10_000 * i + n, "w " * size, name) for i, n, size, name in rows], "doc_id long, text string, source string")
+    found = mixing.mix(docs)
+    taken = {r.source: r.n for r in found.documents.select("sid", "first", "source").join(found.pieces, ["sid", "first"]).groupBy("source").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("n")).collect()}
+    for name, target in brute_targets(sizes).items():
+        assert taken.get(name, 0) == pytest.approx(target, rel=1e-3, abs=0.5), name
+    result = mixing.taken_words(found).collect()
+    assert len(result) == len(rows) and sum(r.taken for r in result) == sum(taken.values()) and all(r.taken <= 2 * r["size"] for r in result)
+    # A source taken twice is taken whole twice, and no piece overlaps another of its pass.
+    assert all(r.taken == 2 * r["size"] for r in result if r.target == 2 * r.source_size)
+    seen = {}
+    for r in found.pieces.collect():
+        seen.setdefault((r.sid, r.epoch), []).append((r.first + r.from_word, r.first + r.to_word))
+    assert all(a[1] <= b[0] for spans in seen.values() for a, b in zip(sorted(spans), sorted(spans)[1:]))
+
+
 def test_every_stretch_of_the_mix_has_its_shares(spark):
     docs = spark.createDataFrame([(i, "w " * 50, "abc"[i % 3]) for i in range(600)], "doc_id long, text string, source string")
     found = mixing.mix(docs)
