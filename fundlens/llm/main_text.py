@@ -2,7 +2,8 @@
 
 Paragraphs give points for their length and commas to their ancestors, less to farther ones; a container's points
 shrink with the share of its text that stands in links. The best container and those siblings that look like more
-of the same article are kept, without what is marked as menu, advert, comment and the like.
+of the same article are kept, without what is marked as menu, advert, comment and the like. A mark counts for nothing on
+an element that holds the article.
 """
 
 from __future__ import annotations
@@ -34,27 +35,39 @@ NOISE = re.compile(
     r"header|masthead|footer|foot|comments?|commentlist|respond|replies|reply|disqus|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
     r"signup|login|share|sharing|social|related|recommend(?:ed|ations)?|widget|toolbar|pagination|pager|tags|search(?:form)?|hidden|contentinfo|complementary)"
     r"(?:$|[\s_-])", re.IGNORECASE)
+#: Of these, what visitors write and what asks for consent: never the article, however long.
+VISITORS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|reply|disqus|cookies?|consent)(?:$|[\s_-])", re.IGNORECASE)
+#: Classes that tell the state of a page and not what the element is: has-sidebar, no-sidebar, comments-open, header-fixed.
+STATE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|not|with|without)[_-]\S*|\S*[_-](?:open|closed|fixed)(?=\s|$)", re.IGNORECASE)
+#: Kinds of marks: words beside others or in a longer name, the element's own name, what visitors write, what is not shown.
+WORDS, NAMED, SAID, HIDDEN = 1, 2, 3, 4
 LEVELS = 5
 
 
 class Node:
     __slots__ = ("tag", "noise", "parent", "children", "place", "text", "linked", "points")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
+    def __init__(self, tag: str, parent: Node | None, noise: int = 0):
         self.tag, self.parent, self.noise = tag, parent, noise
         self.children: list[Node | str] = []
         self.text = self.linked = 0
         self.points = 0.0
 
 
-def _is_noise(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _mark(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """The kind of mark an element carries, 0 for none."""
     marks = {k: v or "" for k, v in attrs}
     if "hidden" in marks or marks.get("aria-hidden", "").lower() == "true" or "display:none" in marks.get("style", "").replace(" ", "").lower():
-        return True
-    named = " ".join(filter(None, (marks.get("class"), marks.get("id"), marks.get("role"))))
+        return HIDDEN
+    names = [STATE.sub("", re.sub(r"([a-z])([A-Z])", r"\1-\2", x)).strip() for k in ("class", "id", "role") if (x := marks.get(k))]
+    named = " ".join(names)
     if tag == "article":
-        return "comment" in named.lower()
-    return bool(named) and bool(NOISE.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", named)))
+        return SAID if "comment" in named.lower() else 0
+    if tag == "main" or not NOISE.search(named):
+        return 0
+    if VISITORS.search(named):
+        return SAID
+    return NAMED if any(NOISE.fullmatch(x.split()[0]) for x in names if x) else WORDS
 
 
 class _Tree(HTMLParser):
@@ -89,7 +102,7 @@ class _Tree(HTMLParser):
             self._close(p)
         if tag in ENDS and (open_ := self._nearest(*ENDS[tag])):
             self._close(open_)
-        node = Node(tag, self.at, bool(attrs) and _is_noise(tag, attrs))
+        node = Node(tag, self.at, _mark(tag, attrs) if attrs else 0)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -118,19 +131,67 @@ def parse(html: str) -> Node:
     return tree.root
 
 
-def _walk(root: Node):
-    """(node or text, whether the node ends) in page order, without dropped parts; no recursion, pages may be deep."""
+def _walk(root: Node, most: int = 0):
+    """(node or text, whether the node ends) in page order, without dropped parts and parts with a mark beyond ``most``;
+    no recursion, pages may be deep."""
     stack: list[tuple[Node | str, bool]] = [(root, False)]
     while stack:
         item, ends = stack.pop()
         if ends or isinstance(item, str):
             yield item, ends
-        elif not item.noise and item.tag not in DROPPED:
+        elif item.noise <= most and item.tag not in DROPPED:
             yield item, False
             stack.append((item, True))
             stack.extend((x, False) for x in reversed(item.children))
 
 
+def _spare(root: Node) -> None:
+    """Takes the mark from elements that hold the article, by the lengths of texts outside links.
+
+    These are the elements around a main element or around the article element with most of the page's text. Without
+    such an element in plain sight, they are those with most of the text that visitors did not write, if it is twice
+    all unmarked text; ten times for an element that is named by a marked word.
+    """
+    seen: list[Node] = []
+    plain: list[Node] = []
+    links = said = marks = unmarked = 0
+    at = root
+    for item, ends in _walk(root, SAID):
+        if isinstance(item, str):
+            size = 0 if links else len(item.strip())
+            at.linked += size  # all of it
+            at.text += 0 if said else size
+            unmarked += 0 if marks else size
+            continue
+        step = -1 if ends else 1
+        links += step * (item.tag == "a")
+        said += step * (item.noise == SAID)
+        marks += step * bool(item.noise)
+        if not ends:
+            at = item
+            seen.append(item)
+            if item.tag in ("article", "main") and not marks:
+                plain.append(item)
+        elif item is not root:
+            at = item.parent
+            at.text += item.text
+            at.linked += item.linked
+    if any(n.noise for n in seen):
+        climbed = set()
+        for node in seen:
+            home = not node.noise and (node.tag == "main" and node.linked or node.tag == "article" and (2 * node.linked > root.linked or 4 * node.text > root.text))
+            while home and node is not None and id(node) not in climbed:
+                climbed.add(id(node))
+                node.noise = 0
+                node = node.parent
+        if not any(4 * n.text >= unmarked and 20 * n.text >= root.text for n in plain):
+            for node in seen:
+                if node.noise in (WORDS, NAMED) and 2 * node.text > root.text and node.text > (2 if node.noise == WORDS else 10) * unmarked:
+                    node.noise = 0
+    for node in seen:
+        node.text = node.linked = 0
+
+
 def _measure(root: Node) -> list[Node]:
     """Sets the lengths of text and of linked text of all nodes; the kept nodes in page order."""
     seen: list[Node] = []
@@ -219,6 +280,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    _spare(root)
     nodes = _measure(root)
     _score(nodes)
     scored = [(n.points * (1 - _density(n)), -i) for i, n in enumerate(nodes) if n.points > 0]

@@ -157,6 +157,29 @@ def test_main_text_without_article_element():
     assert main_text(page).split("\n") == ["Head"] + [f"Sentence number {i}, which is long enough, and has commas." for i in range(5)]
 
 
+PROSE = [f"Sentence number {i} of the article, which is long enough, and has commas." for i in range(4)]
+
+
+@pytest.mark.parametrize("marks", [
+    "class=has-sidebar", "class='content no-sidebar'", "class='page header-fixed'", "class='hentry comments-open'", "class=hasSidebar", "class='layout sidebar-right'",
+    "class='post-with-comments'", "id=sidebar-layout"])
+def test_main_text_of_marked_wrappers(marks):
+    body = "".join(f"<p>{x}</p>" for x in PROSE)
+    boxes = "<div class=sidebar><p>Side, by, side, and, more</p></div><div class=comments>" + "<p>Great, really, very, good, post, and so on and on</p>" * 40 + "</div>"
+    assert main_text(f"<body><div {marks}>{body}</div></body>").split("\n") == PROSE
+    assert main_text(f"<body><div {marks}><div>{body}</div>{boxes}</div><div>Imprint</div></body>").split("\n") == PROSE
+    assert main_text(f"<div {marks}><article {marks}>{body}</article>{boxes}</div>").split("\n") == PROSE
+    assert main_text(f"<div {marks}><main {marks}>{body}</main></div>{boxes}").split("\n") == PROSE
+
+
+def test_long_marked_parts_beside_an_article_go():
+    body = "".join(f"<p>{x}</p>" for x in PROSE)
+    long = "<p>Great, really, very, good, post, and so on and on</p>" * 40
+    for marks in ("class=comments", "id=comments class=comments-area", "class=footer", "id=sidebar", "hidden", "class=cookie-notice"):
+        assert main_text(f"<div class=text>{body}</div><div {marks}>{long}</div>").split("\n") == PROSE, marks
+    assert main_text(f"<article>{body}</article><div class=sidebar-right>{long}</div>").split("\n") == PROSE
+
+
 def test_main_text_edge_cases(spark):
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<script>x</script>") == ""
     assert main_text("just text") == "just text" and main_text("a &lt; b &am &copy") == "a < b &am ©"
