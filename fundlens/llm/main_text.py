@@ -21,8 +21,10 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 DROPPED = frozenset(
-    "head script style noscript template iframe object svg math canvas nav header footer aside form button select textarea input label menu dialog "
+    "head title script style noscript template iframe object svg math canvas nav header footer aside form button select textarea input label menu dialog "
     "audio video map".split())
+#: What a head may hold; anything else ends an open one.
+IN_HEAD = frozenset("html head title base link meta style script noscript template bgsound basefont noframes".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
 #: What an opening tag ends, if it is open within the same scope.
 ENDS = {
@@ -95,7 +97,15 @@ class _Tree(HTMLParser):
             node = node.parent
         return None
 
+    def _leave_head(self) -> None:
+        if head := self._nearest({"head"}):
+            self._close(head)
+
     def handle_starttag(self, tag, attrs):
+        if self.at.tag == "title" and (tag == "body" or tag in BLOCK):
+            self._close(self.at)
+        if self.open.get("head") and (tag == "body" or tag not in IN_HEAD and not self._nearest({"noscript", "template", "title"}, {"head"})):
+            self._leave_head()
         if tag in ("html", "body"):
             return
         if tag in BLOCK and (p := self._nearest({"p"}, {"td", "th", "button", "object"})):
@@ -121,6 +131,8 @@ class _Tree(HTMLParser):
             self._close(node)
 
     def handle_data(self, data):
+        if self.at.tag == "head" and data.strip():
+            self._leave_head()
         self.at.children.append(data)
 
 

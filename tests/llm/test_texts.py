@@ -180,6 +180,18 @@ def test_long_marked_parts_beside_an_article_go():
     assert main_text(f"<article>{body}</article><div class=sidebar-right>{long}</div>").split("\n") == PROSE
 
 
+def test_main_text_without_the_end_of_the_head():
+    body = "".join(f"<p>{x}</p>" for x in PROSE)
+    script = "<script>var a = 1</script><style>p{}</style>"
+    for page in (f"<html><head><title>T</title><body>{body}", f"<html><head><title>T</title>{script}{body}</html>", f"<head><title>T<body>{body}</body>",
+                 f"<head><noscript><img src=x><p>no</p></noscript><meta name=a><title>T</title><template><p>no</p></template></head>{body}",
+                 f"<head><noscript><img src=x><title>T</title><body>{body}", f"<html><title>T</title>{script}{body}", f"<title>T<body>{body}", f"<title>T{body}",
+                 f"<head><title>About <b> and so on</title></head>{body}"):
+        assert main_text(page).split("\n") == PROSE, page
+    assert main_text("<head><meta name=a>Words of the page") == "Words of the page"
+    assert main_text("<title>T</title>") == main_text("<head><title>T</title></head>") == ""
+
+
 def test_main_text_edge_cases(spark):
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<script>x</script>") == ""
     assert main_text("just text") == "just text" and main_text("a &lt; b &am &copy") == "a < b &am ©"
