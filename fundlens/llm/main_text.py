@@ -47,13 +47,13 @@ LEVELS = 5
 
 
 class Node:
-    __slots__ = ("tag", "noise", "parent", "children", "place", "text", "linked", "points")
+    __slots__ = ("tag", "noise", "parent", "children", "place", "text", "linked", "points", "prose")
 
     def __init__(self, tag: str, parent: Node | None, noise: int = 0):
         self.tag, self.parent, self.noise = tag, parent, noise
         self.children: list[Node | str] = []
         self.text = self.linked = 0
-        self.points = 0.0
+        self.points = self.prose = 0.0
 
 
 def _mark(tag: str, attrs: list[tuple[str, str | None]]) -> int:
@@ -236,7 +236,8 @@ def _density(node: Node) -> float:
 
 
 def _score(nodes: list[Node]) -> None:
-    """A paragraph's points go to its ancestors: all to the parent, half to the next, then a third of half, and so on."""
+    """A paragraph's points go to its ancestors: all to the parent, half to the next, then a third of half, and so on.
+    ``prose`` has all points of a node and what is in it."""
     for node in nodes:
         direct = "".join(x for x in node.children if isinstance(x, str)).strip()
         if node.tag in PARAGRAPH or node.tag in ("div", "section", "article", "main") and direct:
@@ -244,15 +245,19 @@ def _score(nodes: list[Node]) -> None:
             if not text.strip():
                 continue
             points = (1 + text.count(",") + min(len(text.strip()) / 100, 3.0)) * (1 - _density(node))
+            node.prose += points
             above = node.parent if node.tag in PARAGRAPH else node
             for level in range(LEVELS):
                 if above is None:
                     break
                 above.points += points / (1, 2, 6, 9, 12)[level]
                 above = above.parent
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.prose += node.prose
 
 
-def _blocks(roots: list[Node]) -> list[str]:
+def _blocks(roots: list[Node | str]) -> list[str]:
     found, line = [], []
 
     def end():
@@ -261,7 +266,6 @@ def _blocks(roots: list[Node]) -> list[str]:
         line.clear()
 
     for root in roots:
-        end()
         for item, _ in _walk(root):
             if isinstance(item, str):
                 line.append(item)
@@ -299,22 +303,53 @@ def main_text(html: str | None) -> str:
     if not scored:
         known = [n for n in nodes if n.tag in ("article", "main") and n.text]
         return "\n".join(_blocks(known[:1] or [root]))
-    points, at = max(scored)
-    best = nodes[-at]
+    best = nodes[-max(scored)[1]]
     whole = _article(best)
     if whole.parent is None:
         return "\n".join(_blocks([whole]))
-    kept = []
+    return "\n".join(_blocks(_beside(whole) if whole.tag in ("article", "main") else _around(whole)))
+
+
+def _beside(whole: Node) -> list[Node | str]:
+    """An article or main element with those siblings that are alike or prose."""
+    points = whole.points * (1 - _density(whole))
+    kept: list[Node | str] = []
     for sibling in whole.parent.children:
         if sibling is whole:
             kept.append(sibling)
         elif isinstance(sibling, Node) and not sibling.noise and sibling.tag not in DROPPED:
-            alike = sibling.tag == whole.tag and sibling.points * (1 - _density(sibling)) >= max(10, points / 5)
+            alike = sibling.tag == whole.tag and sibling.points * (1 - _density(sibling)) >= points / 5
             prose = sibling.tag == "p" and sibling.text > 80 and _density(sibling) < 0.25
-            title = whole.tag not in ("article", "main") and sibling.tag in ("h1", "h2") and _density(sibling) < 0.25
-            if alike or prose or title:
+            if alike or prose:
                 kept.append(sibling)
-    return "\n".join(_blocks(kept))
+    return kept
+
+
+def _around(best: Node) -> list[Node | str]:
+    """The best container with all siblings that are not mostly links, and the same again for its ancestors up to the
+    highest that has a sibling with a fifth of its paragraph points: the parts of an article may be nested."""
+    path, top = [best], 0
+    while path[-1].parent.parent is not None:
+        path.append(path[-1].parent)
+
+    def kept(item: Node | str, beside: Node) -> bool:
+        return isinstance(item, str) or not item.noise and item.tag not in DROPPED and (not item.text or _density(item) < 0.5 or alike(item, beside))
+
+    def alike(item: Node, beside: Node) -> bool:
+        return 5 * item.prose >= beside.prose
+
+    for i, node in enumerate(path):
+        if any(isinstance(x, Node) and x is not node and x.prose and alike(x, node) for x in node.parent.children):
+            top = i
+    before: list[list[Node | str]] = []
+    after: list[list[Node | str]] = []
+    for node in path[: top + 1]:
+        around = node.parent.children
+        at = next(i for i, x in enumerate(around) if x is node)
+        edge: list[Node | str] = [Node(node.parent.tag, None)]  # a line ends at a block's edge
+        before.append(edge + [x for x in around[:at] if kept(x, node)])
+        after.append([x for x in around[at + 1 :] if kept(x, node)] + edge)
+    return [x for part in reversed(before) for x in part] + [best] + [x for part in after for x in part]
 
 
 def extract(html: Column) -> Column:

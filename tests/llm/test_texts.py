@@ -192,6 +192,22 @@ def test_main_text_without_the_end_of_the_head():
     assert main_text("<title>T</title>") == main_text("<head><title>T</title></head>") == ""
 
 
+def test_main_text_of_short_articles_in_parts():
+    assert main_text("<body><div>The first paragraph.</div><div>The second paragraph.</div></body>") == "The first paragraph.\nThe second paragraph."
+    one, two = (f"<div><p>{PROSE[i]}</p><p>{PROSE[i + 1]}</p></div>" for i in (0, 2))
+    links = "<div><ul>" + "".join(f"<li><a href=/{i}>Page number {i}</a>" for i in range(20)) + "</ul></div>"
+    noise = "<div class=ad>Buy!</div>" + links
+    assert main_text(f"<body>{links}{one}{two}{noise}</body>").split("\n") == PROSE
+    between = "<h3>Head</h3><ul><li>point</ul><blockquote>Said.</blockquote><table><tr><td>cell</table><p>Short.</p>bare <b>words</b> here"
+    parts = ["Head", "point", "Said.", "cell", "Short.", "bare words here"]
+    assert main_text(f"<body>{links}<section>{one}{between}{noise}{two}</section>{noise}</body>").split("\n") == PROSE[:2] + parts + PROSE[2:]
+    nested = [f"<div class=part><div><div>{x}</div></div><div class=ad>Buy!</div></div>" for x in (one, two)]
+    assert main_text(f"<body>{links}<div>{nested[0]}{between}{nested[1]}</div></body>").split("\n") == PROSE[:2] + parts + PROSE[2:]
+    mixed = main_text(f"<div><div>{one}{links}</div><div>{two}{links}</div></div>").split("\n")
+    assert [x for x in mixed if x in PROSE] == PROSE
+    assert main_text("<div><span>a <b>b</b></span><div><p>one, two, three</p></div>tail</div>") == "a b\none, two, three\ntail"
+
+
 def test_main_text_edge_cases(spark):
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<script>x</script>") == ""
     assert main_text("just text") == "just text" and main_text("a &lt; b &am &copy") == "a < b &am ©"
