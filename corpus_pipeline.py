@@ -23,7 +23,7 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies one document with the smallest id stays."""
     return ngram_join.one_per_component(docs, ngram_join.similar_documents(docs))
 
 

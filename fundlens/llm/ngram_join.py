@@ -21,6 +21,7 @@ equal shingles. All intermediate results are tables in the shared folder; only t
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -286,7 +287,8 @@ def compared(stage: Stage, texts: DataFrame, pairs: DataFrame, name: str, k: int
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest key that links reach).
+    """One row per document: doc_id, n_shingles, component_id (the smallest key that links reach); node and root, the
+    hashes that name the row's set and its component, for rows that repeat a key.
 
     Two documents link when 100 * shared shingles >= percent * shingles of either. Words are runs of characters
     other than white space, A-Z lower-cased. Null and empty texts have no shingles and link with nothing: their
@@ -357,19 +359,44 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     placed = signed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("low"))
     result = placed.join(lowest, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), "node", "root")
     result = stage.write(result, "result")
     for name in ("signed", "nodes", "met", "star", "labelled", "mixed", "rest"):
         stage.drop(name)
     return result
 
 
-def one_per_component(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key is that of their component; of rows that repeat a key one stays. Rows with a null
-    key stay, as nothing names them. All columns of docs are kept."""
-    own = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("component_id") == F.col("doc_id")).alias("stays"))
+def _nodes(text: Column, k: int) -> Column:
+    """The node of each text."""
+
+    @F.pandas_udf("long")
+    def nodes(texts: pd.Series) -> pd.Series:
+        return pd.Series([_node(shingles(words, k)) for _, words in word_hashes(texts.tolist())], dtype="int64")
+
+    return nodes(text)
+
+
+def one_per_component(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
+    """One row of docs for each component: one with its smallest key. Of rows without shingles one stays for each key.
+    Rows with a null key stay, as nothing names them. All columns of docs are kept.
+
+    ``found`` is what similar_documents gives for docs. A key names the rows of a component unless it occurs with
+    different sets; the rows of such keys, if there are any, are told apart by their nodes, made again from the texts.
+    """
+    known = found.filter(F.col("doc_id").isNotNull())
+    own = known.groupBy("doc_id").agg(F.min(F.col("component_id") == F.col("doc_id")).alias("stays"), (F.min("node") < F.max("node")).alias("mixed"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))  # the columns added below clash with none
     named = rows.withColumn("key", F.col(f"doc.`{key}`")).filter("key IS NOT NULL")
-    kept = named.join(own, named["key"] == own["doc_id"], "left").filter(F.coalesce(F.col("stays"), F.lit(True)))
+    kept = named.join(own, named["key"] == own["doc_id"], "left").filter(F.coalesce(F.col("stays") & ~F.col("mixed"), F.lit(True)))
     first = kept.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("key"))).filter("turn = 1")
-    return first.select("doc.*").union(docs.filter(F.col(f"`{key}`").isNull()))
+    result = first.select("doc.*").union(docs.filter(F.col(f"`{key}`").isNull()))
+    mixed = own.filter("mixed").select("doc_id")
+    if mixed.isEmpty():
+        return result
+    small_batches(docs.sparkSession)
+    least = known.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("least")).select("least.doc_id", "least.node")
+    least = least.union(known.filter("n_shingles = 0").select("doc_id", "node").distinct()).join(mixed, "doc_id", "left_semi")
+    several = named.join(mixed, named["key"] == mixed["doc_id"], "left_semi").withColumn("at", _nodes(F.col(f"doc.`{text}`"), k))
+    several = several.join(least, (F.col("key") == F.col("doc_id")) & (F.col("at") == F.col("node")), "left_semi")
+    several = several.withColumn("turn", F.row_number().over(Window.partitionBy("key", "at").orderBy("key"))).filter("turn = 1")
+    return result.union(several.select("doc.*"))

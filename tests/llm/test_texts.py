@@ -92,6 +92,19 @@ def test_one_document_of_each_component_stays(spark):
     assert sorted((r.doc_id is None, r.doc_id, r.source) for r in kept.collect()) == [(False, 1, "b"), (False, 2, "c"), (False, 4, "e"), (True, None, "d")]
 
 
+def test_a_key_of_several_texts_loses_no_component(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(5, a, "s"), (6, a, "s"), (7, a + " more", "s"), (5, b, "s"), (3, b, "s"), (8, c, "s"), (8, d, "s"), (8, d + " more", "s"), (8, d, "s"),
+            (9, "", "s"), (9, None, "s"), (9, " ", "s"), (10, None, "s"), (10, a, "s"), (None, a, "s"), (11, "unique", "s")]
+    for part in (rows, rows[:5], rows[5:7]):
+        docs = spark.createDataFrame(part, SCHEMA).withColumn("node", F.lit("own"))
+        kept = J.one_per_component(docs, J.similar_documents(docs))
+        assert kept.columns == docs.columns
+        found = [(r.doc_id, ((r.text or "").strip() or "-")[0]) for r in kept.collect()]
+        expected = {(5, "a"), (3, "b"), (8, "c"), (8, "d"), (9, "-"), (10, "-"), (None, "a"), (11, "u")} & {(k, ((t or "").strip() or "-")[0]) for k, t, _ in part}
+        assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
 def brute_hits(docs, items, width=13):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     out = []
