@@ -12,6 +12,9 @@ are compared:
    number of prefix shingles that two can share at most rules out most of them;
 4. components of the links follow by alternating large-star and small-star rounds.
 
+So only components are computed. Pairs that one label holds already are never compared: neither the links of a
+document nor their number can be had from here.
+
 The order comes from a table of fixed size: how many documents have a shingle of each of 2**20 buckets. It
 bears on the cost only. Nodes are 64-bit set hashes and shingles 64-bit hashes: equal hashes are taken for
 equal shingles. All intermediate results are tables in the shared folder; only tables of fixed size
@@ -288,7 +291,8 @@ def compared(stage: Stage, texts: DataFrame, pairs: DataFrame, name: str, k: int
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest key that links reach); node and root, the
-    hashes that name the row's set and its component, for rows that repeat a key.
+    hashes that name the row's set and its component, for rows that repeat a key. Links are not counted: only those
+    that connect components are looked for.
 
     Two documents link when 100 * shared shingles >= percent * shingles of either. Words are runs of characters
     other than white space, A-Z lower-cased. Null and empty texts have no shingles and link with nothing: their
