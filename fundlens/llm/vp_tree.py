@@ -130,17 +130,18 @@ def _index(k: int):
         tree = Tree(unit)
         return pa.table({
             "dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "vectors": pa.array([vectors.tobytes()], pa.binary()), "ids": pa.array([kept.tobytes()], pa.binary()),
-            "count": pa.array([count.tobytes()], pa.binary()), "places": pa.array([tree.order.tobytes()], pa.binary()), "nodes": pa.array([np.array(tree.nodes, dtype=np.float64).tobytes()], pa.binary()),
+            "count": pa.array([count.tobytes()], pa.binary()), "k": pa.array([k], pa.int32()), "places": pa.array([tree.order.tobytes()], pa.binary()), "nodes": pa.array([np.array(tree.nodes, dtype=np.float64).tobytes()], pa.binary()),
         })
 
     return run
 
 
-INDEX = "dim int, shard int, vectors binary, ids binary, count binary, places binary, nodes binary"
+INDEX = "dim int, shard int, vectors binary, ids binary, count binary, k int, places binary, nodes binary"
 
 
 def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per shard. Every usable vector is in it; vectors of different lengths are in different shards."""
+    """One row per shard. Every usable vector is in it; vectors of different lengths are in different shards. Of equal
+    vectors a shard names the k + 1 smallest ids, so the index answers for up to k neighbours."""
     packed = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).filter("vec_id IS NOT NULL").mapInArrow(_pack, "vec_id long, dim int, raw binary")
     shards = int(max(1, -(-vectors.count() // shard_rows)))
     dealt = packed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
@@ -179,9 +180,12 @@ def nearest(index: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
     """Rows (query_id, rank, vec_id, score): the k nearest of each query but itself, largest cosine first, ties to the
     smaller id. Queries without a usable vector or id have none; a query that repeats is asked once.
 
-    Vectors of which more than k + 1 are equal are covered by the smallest ids, as ties go to them.
+    Vectors of which more than k + 1 are equal are covered by the smallest ids, as ties go to them. An index that was
+    built for a smaller k is refused with a ValueError, since it may lack ids.
     """
     spark = index.sparkSession
+    if (built := index.agg(F.min("k").alias("k")).first().k) is not None and k > built:
+        raise ValueError(f"the index was built for k = {built}; build it with k = {k} or more")
     asked = queries.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).filter("vec_id IS NOT NULL").mapInArrow(_pack, "vec_id long, dim int, raw binary").dropDuplicates(["vec_id", "raw"])
     blocks = int(max(1, -(-queries.count() // BLOCK_ROWS)))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))

@@ -106,6 +106,17 @@ def test_few_vectors_and_none(spark):
     assert vp_tree.nearest(vp_tree.build_index(none), none).count() == 0
 
 
+def test_an_index_answers_up_to_its_k(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(20)] + [(100 + i, [1.0, 0.1 + i]) for i in range(10)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="k = 5"):
+        vp_tree.nearest(vp_tree.build_index(df), df.filter("vec_id = 0"), k=10)
+    index = vp_tree.build_index(df, k=10)
+    for k in (10, 3):
+        assert [tuple(r) for r in vp_tree.nearest(index, df.filter("vec_id = 0"), k=k).orderBy("rank").collect()] == brute_nearest(rows, [0], k)
+    assert vp_tree.nearest(vp_tree.build_index(df.limit(0)), df, k=10).count() == 0
+
+
 # ---- chat ----------------------------------------------------------------------------
 
 
