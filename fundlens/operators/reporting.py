@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .running import running_totals
 
 PART_ROWS = 1_000
 ATTACHMENT_BYTES = 24 * 1024 * 1024
@@ -72,18 +73,19 @@ def summary_fingerprints(
     """Digest of the displayed figures of each submission.
 
     A statement's line is digested where it is; the entry digest covers its
-    header and the lines in display order (dates first). Entries beyond a thousand statements
-    are folded in parts of that size, so only digests meet in one place.
+    header and the lines in display order (dates first). Lines are numbered by counts per month, dates and
+    range of document indexes, and entries beyond a thousand statements are folded in parts of that size, so only
+    counts and digests of an entry meet in one place.
     """
     line = F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
-    order = F.struct(
-        F.coalesce("statement_start_date", F.lit("")), F.coalesce("statement_end_date", F.lit("")),
-        "document_index", "document_id",
-    )
-    numbered = statements.withColumn("_row", F.row_number().over(Window.partitionBy("entry_id").orderBy(order, line)))
-    part = F.floor((F.col("_row") - 1) / F.lit(PART_ROWS)).alias("part")
-    lines = numbered.select("entry_id", order.alias("place"), line.alias("line"), part)
-    parts = lines.groupBy("entry_id", "part").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("rows"))
+    lines = statements.select(
+        "entry_id", F.coalesce("statement_start_date", F.lit("")).alias("start"), F.coalesce("statement_end_date", F.lit("")).alias("end"),
+        "document_index", "document_id", line.alias("line"),
+    )
+    lines = lines.withColumn("month", F.substring("start", 1, 7)).withColumn("range", F.floor(F.col("document_index") / F.lit(PART_ROWS)))
+    numbered = running_totals(lines, ["entry_id"], ["month", "start", "end", "range"], ["document_index", "document_id", "line"], {"row": F.lit(1)})
+    part = F.floor((F.col("row") - 1) / F.lit(PART_ROWS)).alias("part")
+    parts = numbered.groupBy("entry_id", part).agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("rows"))
     part_digest = F.sha2(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), 256)
     folded = parts.select("entry_id", "part", part_digest.alias("digest")).groupBy("entry_id").agg(
         F.array_sort(F.collect_list(F.struct("part", "digest"))).alias("parts")

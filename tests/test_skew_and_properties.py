@@ -1,13 +1,16 @@
 """Operators against brute force on small, skewed, randomly built data."""
 
 import datetime as dt
+import hashlib
+import json
 import random
+import re
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from fundlens.operators import classify as C, positions as P, underwriting as U, web as W
+from fundlens.operators import classify as C, positions as P, reporting, underwriting as U, web as W
 from fundlens.operators.running import neighbours, nest_pages, running_totals
 from fundlens.operators.statements import canonicalize_extractions
 from fundlens.plans.underwriting import Underwriting
@@ -236,3 +239,33 @@ def test_running_balance_ends_at_the_calculated_balance(spark):
     last = run.transactions.groupBy("file_id").agg(F.max_by("balance", "transaction_index").alias("balance"))
     joined = run.calculated.join(last, "file_id").filter("balance is not null")
     assert joined.count() > 3 and joined.filter("balance <> calculated_end_balance").count() == 0
+
+
+def test_fingerprints_of_a_hot_entry(spark):
+    rng = random.Random(8)
+    names = ["document_id", "document_index", "statement_start_date", "statement_end_date", "withdrawals"]
+    rows = []
+    for i in range(2_600):
+        start = rng.choice([None, "2024-01-01", "2024-01-15", "2025-03-01", "2026-07-01"])
+        rows.append(("hot" if i % 13 else "small", f"d{rng.randrange(900)}", rng.choice([None, rng.randrange(3_000)]), start, rng.choice([None, "2026-08-01", "2026-09-01"]), str(i % 40)))
+    rows += rows[:5]
+    statements = spark.createDataFrame(rows, "entry_id string, document_id string, document_index int, statement_start_date string, statement_end_date string, withdrawals string")
+    head = (1, "READY", 1, 1, True)
+    summary = spark.createDataFrame(
+        [(e, *head) for e in ("hot", "small", "none")],
+        "entry_id string, analysis_version int, analysis_status string, expected_document_count int, extracted_document_count int, all_documents_processed boolean")
+    found = reporting.summary_fingerprints(summary, statements.repartition(3), names)
+
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    for row in found.collect():
+        own = [(r[3] or "", r[4] or "", r[2] is not None, r[2] or 0, r[1], sha(json.dumps(dict(zip(names, r[1:])), separators=(",", ":")))) for r in rows if r[0] == row.entry_id]
+        lines = [x[-1] for x in sorted(own)]
+        body = "\n".join(sha("\n".join(lines[i : i + 1_000])) for i in range(0, len(lines), 1_000))
+        keys = ["entry_id", "analysis_version", "analysis_status", "expected_document_count", "extracted_document_count", "all_documents_processed"]
+        assert row.summary_fingerprint == sha(json.dumps(dict(zip(keys, (row.entry_id, *head))), separators=(",", ":")) + "\n" + body)
+    # Windows over a whole entry see sums only, no statement rows.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    whole = [x for x in plan.split("\n") if re.search(r"Window .*\], \[entry_id#\d+\], \[", x)]
+    assert whole and all("_sum_" in x for x in whole) and "row_number" not in plan
