@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..session import Staging
 from .running import running_totals
 
 PART_ROWS = 1_000
@@ -83,6 +84,7 @@ def summary_fingerprints(
         "document_index", "document_id", line.alias("line"),
     )
     lines = lines.withColumn("month", F.substring("start", 1, 7)).withColumn("range", F.floor(F.col("document_index") / F.lit(PART_ROWS)))
+    lines = Staging(statements.sparkSession)(lines, "lines")  # every level of the counts reads them
     numbered = running_totals(lines, ["entry_id"], ["month", "start", "end", "range"], ["document_index", "document_id", "line"], {"row": F.lit(1)})
     part = F.floor((F.col("row") - 1) / F.lit(PART_ROWS)).alias("part")
     parts = numbered.groupBy("entry_id", part).agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("rows"))
