@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, kneser_ney, langid, main_text, mixing, ngram_join, toxicity, vp_tree, warc
+from . import chat, decontaminate, kneser_ney, langid, main_text, mixing, ngram_join, repair, toxicity, vp_tree, warc
 from .common import Stage, hash_sample, reachable, remainder
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -159,3 +159,45 @@ def _(spark, sf_dir):
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@register(
+    "op13_conversation_repair",
+    r"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+      f AS (SELECT *, xor(4294967295, list_reduce(
+          list_prepend(4294967295::BIGINT, list_transform(range(0, 8 * length(name)), lambda i: CASE WHEN i % 8 = 0 THEN ascii(name[i // 8 + 1]) ELSE 0 END::BIGINT)),
+          lambda c, b: CASE WHEN xor(c, b) % 2 = 1 THEN xor(xor(c, b) // 2, 3988292384::BIGINT) ELSE xor(c, b) // 2 END)) % 20 AS fate FROM k),
+      d AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+          CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+          unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM f),
+      o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, role[1:1] AS c FROM d),
+      e AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS known,
+          regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+      n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (known AND NOT blank) AS duplicate,
+          count(*) FILTER (cut AND NOT known AND NOT blank) AS truncated, count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS rows FROM e GROUP BY conv_id),
+      fits(q, t, said) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+      kept(q, c, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+      added(q, t, cost, audit, lines) AS (SELECT q, q, 0, '', []::VARCHAR[] FROM fits UNION ALL SELECT q, t, 3, 'I', [said || ':'] FROM fits
+        UNION ALL SELECT a.q, b.t, 6, 'II', [a.said || ':', b.said || ':'] FROM fits a JOIN fits b ON b.q = a.t),
+      edits AS (SELECT conv_id, i, q, t, audit, cost, line FROM e, LATERAL (
+          SELECT q, q AS t, 'D' AS audit, 4 AS cost, []::VARCHAR[] AS line FROM fits
+          UNION ALL SELECT q, t, 'K', CASE WHEN e.cut THEN 3 ELSE 0 END, [e.role || ':' || e.text] FROM kept WHERE kept.c = e.c AND NOT e.blank AND NOT e.known
+          UNION ALL SELECT q, t, 'R', CASE WHEN e.cut THEN 6 ELSE 3 END, [said || ':' || e.text] FROM fits WHERE NOT e.blank AND NOT e.known)),
+      p AS (SELECT conv_id, 0::BIGINT AS i, t AS q, cost, audit, lines FROM (SELECT DISTINCT conv_id FROM e) JOIN added ON added.q = 0
+          QUALIFY row_number() OVER (PARTITION BY conv_id, t ORDER BY cost, audit) = 1
+        UNION ALL SELECT p.conv_id, edits.i, a.t, p.cost + edits.cost + a.cost, p.audit || edits.audit || a.audit, p.lines || edits.line || a.lines
+          FROM p JOIN edits ON edits.conv_id IS NOT DISTINCT FROM p.conv_id AND edits.i = p.i + 1 AND edits.q = p.q JOIN added a ON a.q = edits.t
+          QUALIFY row_number() OVER (PARTITION BY p.conv_id, a.t ORDER BY p.cost + edits.cost + a.cost, p.audit || edits.audit || a.audit) = 1),
+      best AS (SELECT n.*, p.cost, p.audit, p.lines FROM p JOIN n ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.rows = p.i WHERE p.q IN (0, 3)
+          QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY p.cost, p.audit) = 1)
+    SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+      CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id""",
+)
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.summary(repair.repair(repair.damage(rows))).withColumnRenamed("conv_id", "found")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("found")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
