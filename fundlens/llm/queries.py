@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, kneser_ney, langid, main_text, mixing, ngram_join, repair, search, toxicity, vp_tree, warc
+from . import chat, cover_tree, decontaminate, kneser_ney, langid, main_text, mixing, ngram_join, repair, search, toxicity, vp_tree, warc
 from .common import Stage, hash_sample, reachable, remainder
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -203,6 +203,22 @@ def _(spark, sf_dir):
     return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+@register(
+    "op11_cover_tree",
+    """WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+      u AS (SELECT r, vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS size FROM v
+        WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+      l AS (SELECT a.r AS x, b.r AS y FROM u a JOIN u b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) >= 0.9 * a.size * b.size),
+      reach(x, y) AS (SELECT r, r FROM u UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+      low AS (SELECT x AS r, min(vec_id) AS least FROM reach JOIN v ON v.r = y GROUP BY x),
+      n AS (SELECT x AS r, count(*) AS n FROM l GROUP BY x)
+    SELECT vec_id, coalesce(n, 0) AS n_links, CASE WHEN low.r IS NULL THEN vec_id ELSE least END AS component_id,
+      CASE WHEN low.r IS NULL THEN true ELSE vec_id IS NOT DISTINCT FROM least END AS kept FROM v LEFT JOIN low USING (r) LEFT JOIN n USING (r)""",
+)
+def _(spark, sf_dir):
+    return cover_tree.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 _TERMS12 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 
