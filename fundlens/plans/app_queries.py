@@ -467,9 +467,7 @@ _PARAMS = f"""
   FROM ({A.VISITS})"""
 
 
-@register(
-    "resolved_attribution", "visitor_id:n visit_id:n origin:s app:s utm_source:s utm_medium:s utm_campaign:s utm_term:s",
-    f"""WITH p AS ({_PARAMS}),
+ATTRIBUTION = f"""WITH p AS ({_PARAMS}),
       e AS (SELECT *, coalesce(ts >= lag(ts) OVER o + INTERVAL 30 DAY, true) AS lapsed FROM p WHERE explicit WINDOW o AS (PARTITION BY visitor_id ORDER BY ts, visit_id)),
       r AS (SELECT *, sum(CAST(lapsed AS INT)) OVER (PARTITION BY visitor_id ORDER BY ts, visit_id) AS record FROM e),
       f AS (SELECT visitor_id, visit_id, ts, last_value(app IGNORE NULLS) OVER w AS app, last_value(utm_source IGNORE NULLS) OVER w AS utm_source,
@@ -479,7 +477,12 @@ _PARAMS = f"""
         FROM p LEFT JOIN f USING (visitor_id, visit_id))
       SELECT b.visitor_id, b.visit_id, CASE WHEN b.explicit THEN 'url' WHEN f.visit_id IS NOT NULL THEN 'stored' ELSE 'none' END AS origin,
         f.app, f.utm_source, f.utm_medium, f.utm_campaign, f.utm_term
-      FROM b LEFT JOIN f ON f.visitor_id = b.visitor_id AND f.visit_id = b.source AND b.ts < f.ts + INTERVAL 30 DAY""",
+      FROM b LEFT JOIN f ON f.visitor_id = b.visitor_id AND f.visit_id = b.source AND b.ts < f.ts + INTERVAL 30 DAY"""
+
+
+@register(
+    "resolved_attribution", "visitor_id:n visit_id:n origin:s app:s utm_source:s utm_medium:s utm_campaign:s utm_term:s",
+    ATTRIBUTION,
 )
 def _(spark, sf_dir):
     return W.resolve_attribution(A.visits(spark, sf_dir).select("visitor_id", "visit_id", "ts", "url"))

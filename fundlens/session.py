@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
 import tempfile
 import uuid
 
@@ -33,6 +35,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def package_on_workers(spark: SparkSession) -> None:
+    """Python workers started from now on also look where the driver found this package."""
+    root, known = str(pathlib.Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    folders = [x for x in known.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if root not in folders:
+        known["PYTHONPATH"] = os.pathsep.join([*folders, root])
+
+
 def staging_root(spark: SparkSession) -> str | None:
     """Folder for staged tables: the cluster's checkpoint folder, or a scratch
     folder in local mode only. ``None`` means there is no shared folder."""

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..functions import urls as L
-from ..operators import events as EV, intake, ledger as LG, web as W
+from ..operators import events as EV, intake, ledger as LG, statements as S, web as W
 from ..plans.underwriting import Underwriting
 from ..schemas import EXTRACTIONS, LEDGER, READY_EVENT
+from .buckets import BucketedTable, KnownKeys
 from .logs import BatchLog
 
 MAX_ATTEMPTS = 5
@@ -37,19 +37,19 @@ def broker_messages(spark: SparkSession, servers: str, topic: str, offsets_per_t
     return stream.select(F.col("value").cast("string").alias("value"), F.col("timestamp").alias("received_at"))
 
 
-def unique_events(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Drops all repeats of a key, however late. The state holds every key, so a long-lived
-    stream needs the RocksDB state store, which keeps it on disk."""
-    return events.dropDuplicates(keys)
+def unique_events(events: DataFrame, keys: list[str], time: str, recent: str = "1 day") -> DataFrame:
+    """Drops repeats of a key that come within ``recent`` of each other; the state holds the keys of that time only.
+    ``UniqueJob`` also refuses older ones. ``time`` is the time of arrival, which lags by less than ``recent``."""
+    return events.withWatermark(time, recent).dropDuplicatesWithinWatermark(keys)
 
 
-def unique_journey(raw: DataFrame) -> DataFrame:
-    """Landing, start and step views once per session on a live stream."""
+def unique_journey(raw: DataFrame, recent: str = "2 days") -> DataFrame:
+    """Landing, start and step views once per session on a live stream; a session lasts less than ``recent``."""
     journey = W.journey_events(raw)
     once = F.col("event").isin(*W.ONCE_PER_SESSION, "application_step_view")
     # Events that may repeat get their own id as part of the key.
     marked = journey.withColumn("occurrence", F.when(once, F.lit(-1)).otherwise(F.col("event_id")).cast("bigint"))
-    return unique_events(marked, ["session_id", "event", "step_number", "occurrence"]).drop("occurrence")
+    return unique_events(marked, ["session_id", "event", "step_number", "occurrence"], "ts", recent).drop("occurrence")
 
 
 def run_batches(stream: DataFrame, handle, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -57,18 +57,48 @@ def run_batches(stream: DataFrame, handle, checkpoint: str, once: bool = True) -
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def earliest(rows: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """The first row of each key; rows of one time go by their JSON text."""
+    others = [c for c in rows.columns if c not in keys]
+    first = F.min_by(F.struct(*others), F.struct(time, F.to_json(F.struct(*others))))
+    return rows.groupBy(*keys).agg(first.alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+
+
+class UniqueJob:
+    """Each key once, however late it is repeated.
+
+    The stream drops repeats of the near past (``unique_events``: state of that time only); older ones meet the keys
+    accepted so far, of which a batch reads the buckets of its own keys. Nothing grows in memory.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, ddl: str, keys: list[str], time: str, recent: str = "1 day", buckets: int = 256):
+        self.keys, self.time, self.recent = keys, time, recent
+        self.accepted = BatchLog(spark, f"{root}/accepted", schema(ddl))
+        self.known = KnownKeys(spark, f"{root}/known", schema(ddl), keys, buckets)
+
+    def near(self, stream: DataFrame) -> DataFrame:
+        return unique_events(stream, self.keys, self.time, self.recent)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        first = earliest(batch, self.keys, self.time).persist()
+        self.accepted.append(self.known.unknown(first, batch_id), batch_id)
+        self.known.add(self.accepted.read().filter(F.col("batch_id") == batch_id), batch_id)
+        first.unpersist()
+
+
 class ReadyEventJob:
     """Validates readiness messages: accepted events once per key, the rest aside."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.accepted = BatchLog(spark, f"{root}/accepted", schema(READY_EVENT))
         self.rejected = BatchLog(spark, f"{root}/rejected", schema("value string, route string, code string"))
+        self.known = KnownKeys(spark, f"{root}/known", schema(READY_EVENT), ["event_key"])
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         checked = EV.validate_ready_events(batch).persist()
         events = checked.filter("route = 'accepted'").select("e.*").dropDuplicates(["event_key"])
-        seen = self.accepted.read(before=batch_id).select("event_key")
-        self.accepted.append(events.join(seen, "event_key", "left_anti"), batch_id)
+        self.accepted.append(self.known.unknown(events, batch_id), batch_id)
+        self.known.add(self.accepted.read().filter(F.col("batch_id") == batch_id), batch_id)
         self.rejected.append(checked.filter("route <> 'accepted'"), batch_id)
         checked.unpersist()
 
@@ -119,92 +149,81 @@ class DeliveryJob:
 
 
 class LedgerJob:
-    """Turns submission rows into ledger documents, replay-safe."""
+    """Turns submission rows into ledger documents, replay-safe. A request rewrites the buckets of its documents only."""
 
-    def __init__(self, spark: SparkSession, root: str, provider: str = "openai"):
+    def __init__(self, spark: SparkSession, root: str, provider: str = "openai", buckets: int = 256):
         self.provider = provider
-        self.ledger = BatchLog(spark, f"{root}/ledger", schema(LEDGER))
+        self.ledger = BucketedTable(spark, f"{root}/ledger", schema(LEDGER), ["document_id"], buckets)
         self.rejected = BatchLog(spark, f"{root}/rejected", schema("entry_id string, error_code string"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         fanned = LG.fan_out_documents(batch).persist()
-        good = fanned.filter(F.col("error_code").isNull())
-        known = self.ledger.latest(["document_id", "submitted_at"], before=batch_id, touched=good)
-        after = LG.upsert_documents(known, good, self.provider, F.lit(f"batch-{batch_id}"), F.current_timestamp())
-        self.ledger.append(after, batch_id)
+        event, at = F.lit(f"batch-{batch_id}"), F.current_timestamp()
+        self.ledger.merge(
+            fanned.filter(F.col("error_code").isNull()),
+            lambda known, good: LG.upsert_documents(known, good, self.provider, event, at))
         self.rejected.append(fanned.filter(F.col("error_code").isNotNull()), batch_id)
         fanned.unpersist()
 
     def current(self) -> DataFrame:
-        return self.ledger.latest(["document_id", "submitted_at"])
-
-
-class AttributionJob:
-    """Attribution across micro-batches with one stored record per visitor.
-
-    The stored record re-enters a batch as a visit at its renewal time, so the
-    batch operator does the rest; only visitors of the batch are read.
-    """
-
-    RECORD = "visitor_id bigint, ts timestamp, " + ", ".join(f"{n} string" for n in L.ATTRIBUTION_PARAMS)
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.records = BatchLog(spark, f"{root}/records", schema(self.RECORD))
-        self.resolved = BatchLog(
-            spark, f"{root}/resolved",
-            schema("visitor_id bigint, visit_id bigint, ts timestamp, origin string, " + ", ".join(f"{n} string" for n in L.ATTRIBUTION_PARAMS)),
-        )
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        parsed = W.visit_params(batch).drop("url")
-        stored = self.records.latest(["visitor_id"], before=batch_id, touched=parsed)
-        seeds = stored.withColumn("visit_id", F.lit(-1).cast("bigint"))
-        resolved = W.resolve_parsed(parsed.unionByName(seeds)).persist()
-        newest = resolved.filter("origin = 'url'").groupBy("visitor_id").agg(
-            F.max_by(F.struct("ts", *L.ATTRIBUTION_PARAMS), F.struct("ts", "visit_id")).alias("r")
-        ).select("visitor_id", "r.*")
-        self.resolved.append(resolved.filter("visit_id >= 0"), batch_id)
-        self.records.append(newest, batch_id)
-        resolved.unpersist()
+        return self.ledger.read()
 
 
 class ReadinessJob:
     """Emits one readiness event per submission when its last extraction lands.
 
-    Only entries touched by the batch are recomputed, with every extraction of
-    their files, since conflicts on a file reach across entries.
+    An index of the files that have arrived (file, entry, batch) is kept in buckets and updated from the batch alone. It
+    tells which entries of the batch lack no file. Only those that were not announced yet have extractions read:
+    those of their files, from the batches that hold them, since conflicts on a file reach across entries.
     """
 
-    def __init__(self, spark: SparkSession, root: str, ledger, rules=None):
+    def __init__(self, spark: SparkSession, root: str, ledger, rules=None, buckets: int = 256):
         self.ledger = ledger  # () -> DataFrame
         self.rules = rules
         self.extractions = BatchLog(spark, f"{root}/extractions", schema(EXTRACTIONS))
         self.rejected = BatchLog(spark, f"{root}/rejected", schema("value string"))
         self.emitted = BatchLog(spark, f"{root}/emitted", schema(READY_EVENT))
+        self.announced = KnownKeys(spark, f"{root}/announced", schema("entry_id string"), ["entry_id"], buckets)
+        self.arrived = BucketedTable(spark, f"{root}/arrived", schema("file_id string, entry_id string, run bigint"), ["file_id"], buckets)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         good, bad = intake.parse_extractions(batch)
         self.extractions.append(good, batch_id)
         self.rejected.append(bad, batch_id)
-        history = self.extractions.read().filter(F.col("batch_id") <= batch_id)
-        arrived = history.filter(F.col("batch_id") == batch_id)
+        new = self.extractions.read().filter(F.col("batch_id") == batch_id).select("file_id", "entry_id").distinct()
+        self.arrived.merge(
+            new.withColumn("run", F.lit(batch_id).cast("bigint")),
+            lambda old, rows: old.filter(F.col("run") != batch_id).unionByName(rows))
+        complete = self._complete(new, batch_id).persist()
+        if not complete.isEmpty():
+            self._announce(complete, batch_id)
+        complete.unpersist()
+
+    def _complete(self, new: DataFrame, run: int) -> DataFrame:
+        """Entries of the batch, or bound to its files, that lack no file and were not announced by an earlier batch."""
         ledger = self.ledger()
-        bound = ledger.select("entry_id", "file_id").join(arrived.select("file_id").distinct(), "file_id", "left_semi")
-        entries = bound.select("entry_id").union(arrived.select("entry_id")).distinct()
-        own_ledger = ledger.join(entries, "entry_id", "left_semi")
-        files = own_ledger.select("file_id").union(
-            history.join(entries, "entry_id", "left_semi").select("file_id")
-        ).distinct()
-        # Located by their narrow columns first, so that only the batches holding
-        # touched files have their statements read.
-        places = history.select("batch_id", "file_id").join(files, "file_id", "left_semi").distinct()
-        related = history.join(places, ["batch_id", "file_id"], "left_semi").drop("batch_id")
-        run = Underwriting(related, own_ledger, self.rules)
+        bound = ledger.join(new.select("file_id").distinct(), "file_id", "left_semi").select("entry_id")
+        entries = self.announced.unknown(bound.union(new.select("entry_id")).distinct(), run)
+        wanted = S.current_documents(ledger.join(entries, "entry_id", "left_semi")).select("entry_id", "file_id")
+        here = self.arrived.of_keys(wanted).filter(F.col("run") <= run).select("file_id").distinct().withColumn("here", F.lit(True))
+        return wanted.join(here, "file_id", "left").groupBy("entry_id").agg(F.bool_and(F.coalesce("here", F.lit(False))).alias("whole")).filter("whole").select("entry_id")
+
+    def _announce(self, entries: DataFrame, run: int) -> None:
+        own = self.ledger().join(entries, "entry_id", "left_semi")
+        related = self.extractions_of(own.select("file_id"), run).drop("batch_id")
+        done = Underwriting(related, own, self.rules)
         try:
-            events = EV.readiness_events(run.submission_summary, self.emitted.read(before=batch_id))
-            self.emitted.append(events, batch_id)
+            self.emitted.append(EV.readiness_events(done.submission_summary), run)
+            self.announced.add(self.emitted.read().filter(F.col("batch_id") == run), run)
         finally:
-            run.discard()
+            done.discard()
+
+    def extractions_of(self, files: DataFrame, run: int) -> DataFrame:
+        """The stored extractions of some files; batches without any of them are not opened."""
+        places = self.arrived.of_keys(files).filter(F.col("run") <= run)
+        batches = [r.run for r in places.select("run").distinct().collect()]
+        stored = self.extractions.read().filter(F.col("batch_id").isin(batches))
+        return stored.join(files.distinct(), "file_id", "left_semi")
 
 
 def submission_rows(payloads: DataFrame) -> DataFrame:

@@ -48,14 +48,3 @@ class BatchLog:
             return self.spark.createDataFrame([], full)
         table = self.spark.read.schema(full).option("basePath", self.path).parquet(self.path)
         return table if before is None else table.filter(F.col("batch_id") < before)
-
-    def latest(self, keys: list[str], before: int | None = None, touched: DataFrame | None = None) -> DataFrame:
-        """Newest row per key, of the touched keys only when given."""
-        rows = self.read(before)
-        if touched is not None:
-            rows = rows.join(touched.select(*keys).distinct(), keys, "left_semi")
-        others = [f.name for f in self.schema.fields if f.name not in keys]
-        return (
-            rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("row"))
-            .select(*keys, "row.*").select(*[f.name for f in self.schema.fields])
-        )

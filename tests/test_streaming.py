@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -7,7 +8,8 @@ from pyspark.sql.types import StructType
 from fundlens.operators import events as EV, web as W
 from fundlens.operators.intake import parse_extractions
 from fundlens.schemas import LEDGER
-from fundlens.streaming import jobs as J
+from fundlens.streaming import attribution as AT, jobs as J
+from fundlens.streaming.buckets import BucketedTable, KnownKeys
 
 from statement_fixture import ledger as fixture_ledger, rows
 
@@ -39,17 +41,31 @@ def test_ready_events_are_accepted_once(spark, tmp_path):
     assert sorted(r.entry_id for r in job.accepted.read().collect()) == ["e1", "e2"]
 
 
-def test_unique_events_on_a_stream(spark, tmp_path):
-    source = tmp_path / "in"
-    for i, key in enumerate(["k1", "k2", "k1"]):
-        write_lines(source, f"f{i}", [json.dumps({"event_key": key, "at": f"2024-01-{1 + 9 * i:02}T00:00:00Z"})])  # the repeat comes 18 days later
-    stream = spark.readStream.schema("event_key string, at timestamp").option("maxFilesPerTrigger", 1).json(str(source))
-    out = str(tmp_path / "out")
-    query = J.unique_events(stream, ["event_key"]).writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", str(tmp_path / "cp")
-    ).trigger(availableNow=True).start()
+def test_keys_are_accepted_once_with_bounded_state(spark, tmp_path):
+    source, start = tmp_path / "in", dt.datetime(2024, 1, 1)
+    job = J.UniqueJob(spark, str(tmp_path / "out"), "event_key string, at timestamp, body string", ["event_key"], "at", buckets=8)
+    sent = []
+    for day in range(10):
+        keys = [f"k{day}-{i}" for i in range(5)] + [f"k{day}-0"] + ([f"k{day - 7}-1", f"k{day - 1}-2"] if day >= 7 else []) + ([None] if day in (2, 9) else [])
+        lines = [{"event_key": k, "at": (start + dt.timedelta(days=day, minutes=i)).isoformat() + "Z", "body": f"{day}:{i}"} for i, k in enumerate(keys)]
+        sent += lines
+        write_lines(source, f"f{day:02}", map(json.dumps, lines))
+        os.utime(source / f"f{day:02}", (day + 1, day + 1))  # files go by time
+    stream = spark.readStream.schema("event_key string, at timestamp, body string").option("maxFilesPerTrigger", 1).json(str(source))
+    query = J.run_batches(job.near(stream), job, str(tmp_path / "cp"))
     query.awaitTermination()
-    assert sorted(r.event_key for r in spark.read.parquet(out).collect()) == ["k1", "k2"]
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    first = {}
+    for line in sent:
+        first.setdefault(line["event_key"], line["body"])
+    accepted = job.accepted.read().collect()
+    assert {r.event_key: r.body for r in accepted} == first and len(accepted) == len(first) == 51
+    assert len(state) >= 10 and max(state) <= 20  # keys of the last days, not of all
+    # A replay of the last batch changes nothing, and a repeat after a week is refused without any state.
+    last = max(r.batch_id for r in accepted)
+    again = spark.createDataFrame([("k9-3", start + dt.timedelta(days=9, minutes=3), "9:3"), ("k2-2", start + dt.timedelta(days=9), "late")], job.accepted.schema)
+    job(again, last + 1)
+    assert job.accepted.read().count() == 51
 
 
 def test_attribution_stream_equals_batch(spark, tmp_path):
@@ -62,13 +78,23 @@ def test_attribution_stream_equals_batch(spark, tmp_path):
     ]
     data = [(v, i, start + dt.timedelta(days=d), u) for v, i, d, u in plan]
     visits = spark.createDataFrame(data, "visitor_id bigint, visit_id bigint, ts timestamp, url string")
-    job = J.AttributionJob(spark, str(tmp_path / "state"))
-    for batch, (low, high) in enumerate([(0, 10), (10, 46), (46, 90)]):
-        job(visits.filter((F.datediff("ts", F.lit(start)) >= low) & (F.datediff("ts", F.lit(start)) < high)), batch)
     columns = ["visit_id", "origin", "app", "utm_id", "utm_source", "utm_campaign", "utm_term"]
     whole = W.resolve_attribution(visits).select(*columns)
-    streamed = job.resolved.read().select(*columns)
+    state = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    AT.use_rocksdb(spark)
+    # Visits come out of order by up to three days, in several micro-batches; the last ones move the watermark on.
+    shuffled = sorted(data, key=lambda r: r[2] + dt.timedelta(days=3) * (r[1] % 2))
+    for rows_ in (shuffled[:3], shuffled[3:6], shuffled[6:], [(9, 98, start + dt.timedelta(days=90), base)], [(9, 99, start + dt.timedelta(days=99), base)]):
+        spark.createDataFrame(rows_, visits.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(visits.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+    AT.attribution_stream(stream, "4 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    streamed = spark.read.parquet(out).filter("visit_id < 90").select(*columns)
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, streamed.collect()), key=str)
+    assert spark.read.format("statestore").option("stateVarName", "record").load(checkpoint).count() == 0  # all lapsed
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").option("flattenCollectionTypes", "true").load(checkpoint)
+    assert waiting.select("key.visitor_id").distinct().collect() == [(9,)]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state)
     by_id = {r.visit_id: r for r in whole.collect()}
     assert (by_id[2].origin, by_id[2].utm_source) == ("stored", "a")
     assert (by_id[3].origin, by_id[3].utm_source, by_id[3].utm_campaign) == ("url", "a", "y")
@@ -110,6 +136,48 @@ def test_delivery_retries_without_input(spark, tmp_path):
     assert not job.retry()
 
 
+def files_of(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("part-*")}
+
+
+def test_a_merge_leaves_other_buckets_alone(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    submission = lambda entry, n: (entry, at, [f"gs://b/{entry}-{i}.pdf" for i in range(n)])
+    frame = lambda *rows_: spark.createDataFrame(list(rows_), "entry_id string, submitted_at timestamp, bank_statement_gcs_keys array<string>")
+    job = J.LedgerJob(spark, str(tmp_path / "l"), buckets=64)
+    job(frame(*[submission(f"e{i}", 5) for i in range(200)]), 0)
+    before, rows_before = files_of(tmp_path / "l" / "ledger"), {r.document_id: r for r in job.current().collect()}
+    assert len({name.split("/")[0] for name in before}) == 64 and len(rows_before) == 1000
+    job(frame(submission("e7", 5), submission("new", 5)), 1)
+    after, rows_after = files_of(tmp_path / "l" / "ledger"), {r.document_id: r for r in job.current().collect()}
+    changed = {n.split("/")[0] for n in before.keys() | after.keys() if before.get(n) != after.get(n)}
+    assert 1 <= len(changed) <= 10 and len(rows_after) == 1005
+    assert all(rows_after[k] == r for k, r in rows_before.items())
+    job(frame(submission("e7", 5), submission("new", 5)), 1)
+    assert {r.document_id: r for r in job.current().collect()} == rows_after  # a replay
+
+
+def test_a_merge_that_was_cut_off_is_completed(spark, tmp_path):
+    table = BucketedTable(spark, str(tmp_path / "t"), StructType.fromDDL("k string, n bigint"), ["k"], 4)
+    rows_ = lambda *r: spark.createDataFrame(list(r), "k string, n bigint")
+    newest = lambda old, new: old.join(new, old.k.eqNullSafe(new.k), "left_anti").unionByName(new).filter("n >= 0")
+    table.merge(rows_(*[(f"k{i}", i) for i in range(20)], (None, 5)), newest)
+    complete, table._complete = table._complete, lambda: None
+    numbers = table.touched(rows_(("k3", 0)))
+    table.merge(rows_(("k3", 300)), newest)  # written aside, then lost
+    table._complete = complete
+    assert {r.k: r.n for r in table.of_keys(rows_(("k3", 0), (None, 0))).collect()} == {"k3": 300, None: 5}
+    assert not (tmp_path / "t-next").exists()
+    gone = [r.k for r in table.read(numbers).collect()]
+    table.merge(rows_(*[(k, -1) for k in gone]), newest)  # nothing is left of that bucket
+    assert table.read().count() == 21 - len(gone) and not (tmp_path / "t" / f"bucket={numbers[0]}").exists()
+    assert table.merge(rows_(), newest) == []
+    known = KnownKeys(spark, str(tmp_path / "k"), table.schema, ["k"], 4)
+    known.add(rows_(("a", 1), (None, 1)), 3)
+    assert sorted(r.k or "" for r in known.unknown(rows_(("a", 2), ("b", 2), (None, 2)), 4).collect()) == ["b"]
+    assert known.unknown(rows_(("a", 2)), 3).count() == 1  # the run that stored it sees it as new again
+
+
 def test_ledger_job_is_replay_safe(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     sub = lambda *rows_: spark.createDataFrame(list(rows_), "entry_id string, submitted_at timestamp, bank_statement_gcs_keys array<string>")
@@ -148,7 +216,8 @@ def test_readiness_fires_once_when_all_documents_arrived(spark, tmp_path):
     job(batch(main["main_3"]), 1)
     job(batch(main["main_3"]), 1)
     job(batch(main["main_2"]), 2)
-    emitted = job.emitted.read().collect()
+    assert {r.batch_id for r in job.extractions_of(ledger.filter("file_id = 'file_main_3'").select("file_id"), 2).collect()} == {1}
+    emitted = [r for r in job.emitted.read().collect() if r.entry_id == "main"]
     assert [(r.entry_id, r.status, r.expected_document_count) for r in emitted] == [("main", "REVIEW_REQUIRED", 3)]
     good, bad = parse_extractions(batch(*main.values()))
     assert (good.count(), bad.count()) == (3, 0)
