@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import Staging
+from ..sources.artifacts import FolderStore, create_artifacts
 from ..streaming import attribution as AT, jobs as J
 from . import app_queries, app_tables as A, statement_tables as tables
 from .app_tables import read
@@ -95,3 +96,23 @@ def _(spark, sf_dir):
     for run in (0, 1):
         job(extractions.filter(half == run).select(whole.alias("value")), run)
     return job.emitted.read()
+
+
+@register(
+    "created_artifacts", "object_name:s run:n decision:s actual_sha256:s",
+    """SELECT 'apps/' || source || '/' || doc_id || '.pdf' AS object_name, run,
+         CASE WHEN run = 1 THEN 'create' WHEN doc_id % 3 = 0 THEN 'FINAL_ARTIFACT_MISMATCH' ELSE 'reuse' END AS decision, sha256(coalesce(text, '')) AS actual_sha256
+       FROM documents, (SELECT unnest([1, 2]) AS run)""",
+)
+def _(spark, sf_dir):
+    # Two runs over all documents; in the second every third is of another summary, the others are rendered anew.
+    stage, store = Staging(spark), FolderStore(f"{folder(spark)}/store")
+    documents = read(spark, sf_dir, "documents").select(
+        F.expr("concat('apps/', source, '/', doc_id, '.pdf')").alias("object_name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"),
+        F.col("doc_id").cast("string").alias("entry_id"), F.sha2("source", 256).alias("fingerprint"), F.lit("1").alias("source_generation"), F.sha2("source", 256).alias("source_sha256"))
+    first = stage(create_artifacts(documents, store), "first")
+    number = F.col("entry_id").cast("bigint")
+    again = documents.withColumn("fingerprint", F.when(number % 3 == 0, F.sha2("entry_id", 256)).otherwise(F.col("fingerprint"))).withColumn(
+        "content", F.concat("content", F.lit(" again").cast("binary")))
+    second = stage(create_artifacts(again, store), "second")
+    return first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2)))
