@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import keys as K
 from ..sources.calendar import Calendar
 from .running import neighbours, numbered_by_index, running_totals
+from .selection import exact_medians
 from .statements import IDENTITY, with_identity
 
 # Thresholds of the analysis.
@@ -181,26 +182,8 @@ def amount_streams(openings: DataFrame) -> DataFrame:
 
 
 def representative_amounts(payments: DataFrame) -> DataFrame:
-    """Exact decimal median of the successful payments of each position.
-
-    Works on the histogram of amounts, so only distinct amounts are sorted.
-    """
-    histogram = payments.filter("successful").groupBy("entry_id", "position_key", "payment_amount").count()
-    position = Window.partitionBy("entry_id", "position_key")
-    up_to = position.orderBy("payment_amount").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = histogram.select(
-        "*", F.sum("count").over(up_to).alias("last_rank"), F.sum("count").over(position).alias("total")
-    )
-    first_rank = F.col("last_rank") - F.col("count") + 1
-
-    def at(rank):
-        return F.max(F.when(rank.between(first_rank, F.col("last_rank")), F.col("payment_amount")))
-
-    low = at(F.floor((F.col("total") + 1) / F.lit(2)))
-    high = at(F.floor(F.col("total") / F.lit(2)) + 1)
-    return ranked.groupBy("entry_id", "position_key").agg(
-        ((low + high) * F.lit("0.5").cast("decimal(2,1)")).cast("decimal(20,3)").alias("representative_payment_amount")
-    )
+    """Exact decimal median of the successful payments of each position."""
+    return exact_medians(payments.filter("successful"), ["entry_id", "position_key"], "payment_amount", "representative_payment_amount")
 
 
 def with_consistency(payments: DataFrame) -> DataFrame:
