@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from ..session import Staging
-from .running import running_totals
+from ..session import package_on_workers
+from .running import globally_numbered
 
-PART_ROWS = 1_000
 ATTACHMENT_BYTES = 24 * 1024 * 1024
 # Labels of the sales buckets.
 SALES_BUCKETS = {
@@ -68,38 +70,64 @@ STATEMENT_FIELDS = [
 ]
 
 
-def summary_fingerprints(
-    summary: DataFrame, statements: DataFrame, fields: list[str] = STATEMENT_FIELDS
-) -> DataFrame:
-    """Digest of the displayed figures of each submission.
+MONEY_FIELDS = ["deposits", "true_revenue", "withdrawals", "average_daily_balance"]
+HEADER_FIELDS = ["entry_id", "analysis_version", "analysis_status", "expected_document_count", "extracted_document_count", "all_documents_processed"]
+DISPLAY_ORDER = ["statement_start_date", "statement_end_date", "document_index", "document_id"]
+
+
+def plain_number(text: Column) -> Column:
+    """A decimal's text without zeros behind its last digit."""
+    return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
+def _display_digests(batches):
+    """Per entry, of a partition sorted in display order with each entry's header first: SHA-256 of its JSON text."""
+    entry, digest, lines = None, None, 0
+    for batch in batches:
+        done = []
+        for own, line, header in zip(*(batch.column(c).to_pylist() for c in ("entry_id", "line", "header"))):
+            if header:
+                if digest is not None:
+                    done.append((entry, digest))
+                entry, digest, lines = own, hashlib.sha256(line[:-1].encode() + b',"statements":['), 0
+            elif digest is not None and own == entry:
+                digest.update((b"," if lines else b"") + line.encode())
+                lines += 1
+        yield _finished(done)
+    yield _finished([] if digest is None else [(entry, digest)])
+
+
+def _finished(done: list) -> pa.RecordBatch:
+    for _, digest in done:
+        digest.update(b"]}")
+    return pa.RecordBatch.from_arrays([pa.array([e for e, _ in done], pa.string()), pa.array([d.hexdigest() for _, d in done], pa.string())], ["entry_id", "summary_fingerprint"])
+
 
-    A statement's line is digested where it is; the entry digest covers its
-    header and the lines in display order (dates first). Lines are numbered by counts per month, dates and
-    range of document indexes, and entries beyond a thousand statements are folded in parts of that size, so only
-    counts and digests of an entry meet in one place.
+def summary_fingerprints(summary: DataFrame, statements: DataFrame, fields: list[str] = STATEMENT_FIELDS) -> DataFrame:
+    """SHA-256 of the displayed summary of each submission: of the JSON text of its header fields and its ``statements``
+    in display order, amounts as plain numbers in quotes.
+
+    One sorted pass: the header and the lines of an entry go to one partition in order, and the digest is carried from
+    line to line. So no text and no list of an entry is ever built; the lines of an entry are read by one task, as a
+    digest needs them in order.
     """
-    line = F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
-    lines = statements.select(
-        "entry_id", F.coalesce("statement_start_date", F.lit("")).alias("start"), F.coalesce("statement_end_date", F.lit("")).alias("end"),
-        "document_index", "document_id", line.alias("line"),
-    )
-    lines = lines.withColumn("month", F.substring("start", 1, 7)).withColumn("range", F.floor(F.col("document_index") / F.lit(PART_ROWS)))
-    lines = Staging(statements.sparkSession)(lines, "lines")  # every level of the counts reads them
-    numbered = running_totals(lines, ["entry_id"], ["month", "start", "end", "range"], ["document_index", "document_id", "line"], {"row": F.lit(1)})
-    part = F.floor((F.col("row") - 1) / F.lit(PART_ROWS)).alias("part")
-    parts = numbered.groupBy("entry_id", part).agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("rows"))
-    part_digest = F.sha2(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), 256)
-    folded = parts.select("entry_id", "part", part_digest.alias("digest")).groupBy("entry_id").agg(
-        F.array_sort(F.collect_list(F.struct("part", "digest"))).alias("parts")
-    )
-    header = F.to_json(
-        F.struct("entry_id", "analysis_version", "analysis_status", "expected_document_count", "extracted_document_count", "all_documents_processed"),
-        {"ignoreNullFields": "false"},
-    )
-    body = F.coalesce(F.array_join(F.transform("parts", lambda p: p["digest"]), "\n"), F.lit(""))
-    return summary.join(folded, "entry_id", "left").select(
-        "entry_id", F.sha2(F.concat_ws("\n", header, body), 256).alias("summary_fingerprint")
-    )
+    package_on_workers(summary.sparkSession)
+    shown = [plain_number(F.col(c)).alias(c) if c in MONEY_FIELDS else F.col(c) for c in fields]
+    as_text = {"ignoreNullFields": "false"}
+    lines = statements.select("entry_id", F.lit(False).alias("header"), *DISPLAY_ORDER, F.to_json(F.struct(*shown), as_text).alias("line"))
+    kinds = {c: statements.schema[c].dataType for c in DISPLAY_ORDER}
+    heads = summary.select(
+        "entry_id", F.lit(True).alias("header"), *[F.lit(None).cast(kinds[c]).alias(c) for c in DISPLAY_ORDER],
+        F.to_json(F.struct(*HEADER_FIELDS), as_text).alias("line"))
+    both = heads.unionByName(lines).repartition("entry_id").sortWithinPartitions("entry_id", F.col("header").desc(), *DISPLAY_ORDER, "line")
+    return both.select("entry_id", "line", "header").mapInArrow(_display_digests, "entry_id string, summary_fingerprint string")
+
+
+def rows_in_order(statements: DataFrame) -> DataFrame:
+    """Statement rows with their number in the order of entries and of display (``row``), and in their entry (``place``)."""
+    numbered = globally_numbered(statements, ["entry_id", *DISPLAY_ORDER, "file_id"], "row")
+    first = numbered.groupBy("entry_id").agg(F.min("row").alias("first"))
+    return numbered.join(first, "entry_id").withColumn("place", F.col("row") - F.col("first") + 1).drop("first")
 
 
 def report_lines(statements: DataFrame) -> DataFrame:

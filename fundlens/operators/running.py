@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import Staging
+
 BLOCK = 10_000
 COARSE = 1_000
 
@@ -64,6 +66,27 @@ def running_totals(
     )
 
 
+def globally_numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """1-based row number of all rows in one total order, without a window over them: ranges of the order go to
+    partitions, each is sorted where it is, and the counts of the partitions before it are added. NULLs come first.
+
+    Rows that agree in all of ``order`` share a partition, so it should end with a column that tells rows apart. The
+    sorted rows are stored once, since a second run may cut the ranges elsewhere.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    stored = Staging(df.sparkSession)(ranged, "ranged")
+    part = F.shiftright("_at", 33)  # the id holds the partition above 33 bits and the place in it below
+    sizes = {r.part: r["count"] for r in stored.groupBy(part.alias("part")).count().collect()}  # a number for each partition
+    starts, before = [], 0
+    for number in sorted(sizes):
+        starts.append((number, before))
+        before += sizes[number]
+    offsets = df.sparkSession.createDataFrame(starts, "_part bigint, _before bigint")
+    placed = stored.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.select(*df.columns, (F.col("_before") + place + 1).alias(name))
+
+
 def numbered_by_index(df: DataFrame, keys: list[str], index: str, tail: list[str], name: str) -> DataFrame:
     """1-based row number per key in the order (index, *tail), for an integer
     index; ranges of the index are counted first."""

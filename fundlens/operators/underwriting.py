@@ -140,7 +140,8 @@ def with_balance_metrics(calculated: DataFrame, calendar: Calendar) -> DataFrame
     return with_balance_spans(calculated, calendar).select(
         *calculated.columns,
         F.coalesce(count, F.lit(0)).cast("bigint").alias("calendar_day_count"),
-        (total / count.cast("decimal(10,0)")).cast("decimal(38,9)").alias("average_daily_balance"),
+        # Of a sum this wide the quotient has twelve places, three more than are kept.
+        (total.cast("decimal(28,2)") / count.cast("decimal(10,0)")).cast("decimal(38,9)").alias("average_daily_balance"),
         negative.cast("bigint").alias("negative_balance_days"),
     )
 

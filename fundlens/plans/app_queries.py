@@ -379,7 +379,7 @@ def _(u):
 _REPORT = """SELECT entry_id, document_id, document_index, file_id, right(regexp_replace(coalesce(account_number, ''), '[^0-9]', '', 'g'), 4) AS digits,
     CASE WHEN length(digits) = 4 THEN digits END AS account_last_four, CAST(start_date AS VARCHAR) AS statement_start_date, CAST(end_date AS VARCHAR) AS statement_end_date,
     CAST(CAST(total_deposits AS DECIMAL(28,2)) AS VARCHAR) AS deposits, num_credits AS deposit_count, CAST(CAST(true_deposits AS DECIMAL(28,2)) AS VARCHAR) AS true_revenue,
-    CAST(CAST(calc_debits AS DECIMAL(28,2)) AS VARCHAR) AS withdrawals, negative_days AS negative_ending_days, adb, true_deposits,
+    CAST(CAST(calc_debits AS DECIMAL(28,2)) AS VARCHAR) AS withdrawals, negative_days AS negative_ending_days, adb_text, true_deposits,
     CASE WHEN confirmed_n > 0 THEN 'Yes' WHEN list_contains(reasons, 'MCA_CANDIDATE_UNCONFIRMED') THEN 'Review' ELSE '—' END AS mca_detected,
     CASE WHEN len(reasons) = 0 THEN 'READY' ELSE 'REVIEW_REQUIRED' END AS quality_status FROM graded"""
 
@@ -435,26 +435,35 @@ def _json(*pairs: str) -> str:
 
 _LINE_JSON = _json(
     "document_id s", "document_index n", "file_id s", "account_last_four s", "statement_start_date s", "statement_end_date s", "deposits s",
-    "deposit_count n", "true_revenue s", "withdrawals s", "negative_ending_days n", "mca_detected s", "quality_status s",
+    "deposit_count n", "true_revenue s", "withdrawals s", "negative_ending_days n", "average_daily_balance s", "mca_detected s", "quality_status s",
 )
 _HEAD_JSON = _json(
     "entry_id s", "analysis_version n", "analysis_status s", "expected_document_count n", "extracted_document_count n", "all_documents_processed n",
 )
 
 
+_PLAIN = ", ".join(f"rtrim(rtrim({c}, '0'), '.') AS {c}" for c in ("deposits", "true_revenue", "withdrawals"))
+
+
 @from_chain(
     "summary_fingerprints", "entry_id:s summary_fingerprint:s",
-    f"""SELECT entry_id, sha256({_HEAD_JSON} || chr(10) || coalesce(body, '')) AS summary_fingerprint FROM (
+    f"""SELECT entry_id, sha256(rtrim({_HEAD_JSON}, '}}') || ',"statements":[' || coalesce(body, '') || ']}}') AS summary_fingerprint FROM (
           SELECT entry_id, 1 AS analysis_version, CASE WHEN NOT whole THEN 'PROCESSING' WHEN review THEN 'REVIEW_REQUIRED' ELSE 'READY' END AS analysis_status,
             expected AS expected_document_count, arrived AS extracted_document_count, whole AS all_documents_processed FROM sub)
-        LEFT JOIN (SELECT entry_id, sha256(string_agg(sha256({_LINE_JSON}), chr(10) ORDER BY statement_start_date, statement_end_date, document_index, document_id)) AS body
-          FROM ({_REPORT}) GROUP BY entry_id) USING (entry_id)""",
+        LEFT JOIN (SELECT entry_id, string_agg({_LINE_JSON}, ',' ORDER BY statement_start_date NULLS FIRST, statement_end_date NULLS FIRST, document_index NULLS FIRST, document_id NULLS FIRST) AS body
+          FROM (SELECT * REPLACE ({_PLAIN}), adb_text AS average_daily_balance FROM ({_REPORT})) GROUP BY entry_id) USING (entry_id)""",
+)
+def _(u):
+    return R.summary_fingerprints(u.submission_summary, _report(u))
+
+
+@from_chain(
+    "report_rows_in_order", "row:n place:n entry_id:s file_id:s average_daily_balance:s",
+    f"""SELECT row_number() OVER (ORDER BY {{}}) AS row, row_number() OVER (PARTITION BY entry_id ORDER BY {{}}) AS place, entry_id, file_id, adb_text AS average_daily_balance
+        FROM ({_REPORT})""".format(*["entry_id, statement_start_date NULLS FIRST, statement_end_date NULLS FIRST, document_index, document_id, file_id"] * 2),
 )
 def _(u):
-    # The average balance is left out: engines print averages differently.
-    rows = _report(u).drop("average_daily_balance")
-    fields = [f for f in R.STATEMENT_FIELDS if f != "average_daily_balance"]
-    return R.summary_fingerprints(u.submission_summary, rows, fields)
+    return R.rows_in_order(_report(u)).withColumn("average_daily_balance", R.plain_number(F.col("average_daily_balance")))
 
 
 # ---- web ------------------------------------------------------------------

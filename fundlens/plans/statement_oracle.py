@@ -323,7 +323,7 @@ CHAIN: dict[str, str] = {
       SELECT c.file_id, k.day, c.start_balance + coalesce((SELECT sum(amount) FROM tx t WHERE t.file_id = c.file_id AND t.txn_date <= k.day), 0) AS balance
       FROM canon c JOIN cal k ON k.day BETWEEN c.start_date AND c.end_date""",
     "closed": """
-      SELECT file_id, count(*) AS days, CAST(sum(balance) AS DOUBLE) / count(*) AS average, count(*) FILTER (WHERE balance < 0) AS negative
+      SELECT file_id, count(*) AS days, CAST(sum(balance) AS DOUBLE) / count(*) AS average, CAST(sum(balance) * 100 AS HUGEINT) AS total_cents, count(*) FILTER (WHERE balance < 0) AS negative
       FROM closing GROUP BY file_id""",
     "fin": """
       SELECT c.*, m.* EXCLUDE (file_id), coalesce(days, 0) AS days, end_date - start_date + 1 AS span,
@@ -332,7 +332,10 @@ CHAIN: dict[str, str] = {
         CASE WHEN missing_amounts = 0 THEN deposits - non_revenue END AS true_deposits,
         CASE WHEN missing_amounts = 0 THEN unclear END AS ambiguous,
         CASE WHEN start_balance IS NOT NULL AND missing_amounts = 0 AND missing_dates = 0 AND outside = 0 AND days = end_date - start_date + 1 THEN average END AS adb,
-        CASE WHEN start_balance IS NOT NULL AND missing_amounts = 0 AND missing_dates = 0 AND outside = 0 AND days = end_date - start_date + 1 THEN negative END AS negative_days
+        CASE WHEN start_balance IS NOT NULL AND missing_amounts = 0 AND missing_dates = 0 AND outside = 0 AND days = end_date - start_date + 1 THEN negative END AS negative_days,
+        CASE WHEN start_balance IS NOT NULL AND missing_amounts = 0 AND missing_dates = 0 AND outside = 0 AND days = end_date - start_date + 1 THEN (abs(total_cents) * 20000000 + days) // (2 * days) END AS adb_units,
+        CASE WHEN adb_units IS NOT NULL THEN CASE WHEN total_cents < 0 AND adb_units > 0 THEN '-' ELSE '' END || adb_units // 1000000000
+          || rtrim(rtrim('.' || lpad(CAST(adb_units % 1000000000 AS VARCHAR), 9, '0'), '0'), '.') END AS adb_text
       FROM calc c JOIN metric m USING (file_id) LEFT JOIN closed USING (file_id)""",
     "large": """
       SELECT t.file_id, t.counterparty AS lender, t.txn_date, t.amount, t.tid FROM classified t JOIN fin f USING (file_id)

@@ -4,7 +4,6 @@ import datetime as dt
 import hashlib
 import json
 import random
-import re
 from decimal import Decimal
 
 import pytest
@@ -247,7 +246,7 @@ def test_fingerprints_of_a_hot_entry(spark):
     rows = []
     for i in range(2_600):
         start = rng.choice([None, "2024-01-01", "2024-01-15", "2025-03-01", "2026-07-01"])
-        rows.append(("hot" if i % 13 else "small", f"d{rng.randrange(900)}", rng.choice([None, rng.randrange(3_000)]), start, rng.choice([None, "2026-08-01", "2026-09-01"]), str(i % 40)))
+        rows.append(("hot" if i % 13 else "small", f"d{rng.randrange(900)}", rng.choice([None, rng.randrange(3_000)]), start, rng.choice([None, "2026-08-01", "2026-09-01"]), f"{i % 40}.{i % 3}0"))
     rows += rows[:5]
     statements = spark.createDataFrame(rows, "entry_id string, document_id string, document_index int, statement_start_date string, statement_end_date string, withdrawals string")
     head = (1, "READY", 1, 1, True)
@@ -259,13 +258,19 @@ def test_fingerprints_of_a_hot_entry(spark):
     def sha(text):
         return hashlib.sha256(text.encode()).hexdigest()
 
+    assert found.count() == 3
     for row in found.collect():
-        own = [(r[3] or "", r[4] or "", r[2] is not None, r[2] or 0, r[1], sha(json.dumps(dict(zip(names, r[1:])), separators=(",", ":")))) for r in rows if r[0] == row.entry_id]
-        lines = [x[-1] for x in sorted(own)]
-        body = "\n".join(sha("\n".join(lines[i : i + 1_000])) for i in range(0, len(lines), 1_000))
+        plain = lambda r: {**dict(zip(names, r[1:5])), "withdrawals": r[5].rstrip("0").rstrip(".")}
+        own = [(r[3] or "", r[4] or "", r[2] is not None, r[2] or 0, r[1], json.dumps(plain(r), separators=(",", ":"))) for r in rows if r[0] == row.entry_id]
         keys = ["entry_id", "analysis_version", "analysis_status", "expected_document_count", "extracted_document_count", "all_documents_processed"]
-        assert row.summary_fingerprint == sha(json.dumps(dict(zip(keys, (row.entry_id, *head))), separators=(",", ":")) + "\n" + body)
-    # Windows over a whole entry see sums only, no statement rows.
-    plan = found._jdf.queryExecution().optimizedPlan().toString()
-    whole = [x for x in plan.split("\n") if re.search(r"Window .*\], \[entry_id#\d+\], \[", x)]
-    assert whole and all("_sum_" in x for x in whole) and "row_number" not in plan
+        head_text = json.dumps(dict(zip(keys, (row.entry_id, *head))), separators=(",", ":"))
+        assert row.summary_fingerprint == sha(head_text[:-1] + ',"statements":[' + ",".join(x[-1] for x in sorted(own)) + "]}")
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    # The same rows in one total order, numbered without a window.
+    placed = reporting.rows_in_order(statements.withColumn("file_id", F.col("withdrawals")).repartition(5))
+    key = lambda r: tuple((v is not None, v or 0 if isinstance(v, int) else v or "") for v in (r.entry_id, r.statement_start_date, r.statement_end_date, r.document_index, r.document_id, r.file_id))
+    numbered = sorted(placed.collect(), key=lambda r: r.row)
+    assert [r.row for r in numbered] == list(range(1, len(rows) + 1)) and [key(r) for r in numbered] == sorted(map(key, numbered))
+    for entry in ("hot", "small"):
+        assert [r.place for r in numbered if r.entry_id == entry] == list(range(1, 1 + sum(r[0] == entry for r in rows)))
+    assert reporting.rows_in_order(statements.withColumn("file_id", F.lit("f")).limit(0)).count() == 0
