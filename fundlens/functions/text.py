@@ -141,9 +141,9 @@ def exact_decimal(value: Column, scale: int = 2, currency: bool = True) -> Colum
     Reads canonical decimal text, not floats. The digit after the last kept one
     decides the rounding, whatever follows it.
     """
-    text = F.trim(value.cast("string"))
+    text = clean(value.cast("string"))
     kept = F.regexp_extract(text, rf"^(-?[0-9]+(?:\.[0-9]{{1,{scale + 1}}})?)", 1)
-    usable = text.rlike(r"^-?[0-9]+(\.[0-9]+)?$")
+    usable = text.rlike(r"^-?[0-9]+(\.[0-9]+)?\z")
     number = F.when(usable, F.round(kept.try_cast(f"decimal(38,{scale + 1})"), scale))
     grouped = F.format_number(F.abs(number), scale)
     sign = F.when(number < 0, "-").otherwise("")

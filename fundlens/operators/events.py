@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import keys as K
 from ..schemas import PDF_READY_EVENT, READY_EVENT
@@ -51,29 +52,38 @@ def _no_other_keys(keys: Column, allowed: list[str]) -> Column:
     return F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) == 0
 
 
-def _is_object(value: Column) -> Column:
-    """Whether JSON text is an object, whatever white space stands around it."""
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT"), F.lit(False))
+def _parsed(messages: DataFrame, schema: str) -> DataFrame:
+    """Adds ``_json`` (a variant; NULL for what is no JSON), ``_keys`` (NULL for what is no object) and the event ``e``.
 
+    The typed reader takes nearly all there is to read. It gives no number for a whole one with a fraction of zeros,
+    and writes that fraction into texts; such fields, and they alone, are looked up in the variant.
+    """
+    value, e = F.col("value"), F.col("e")
+    parsed = messages.withColumn("_json", F.try_parse_json(value)).withColumn("_keys", F.json_object_keys(value)).withColumn("e", F.from_json(value, schema))
+    fields = []
+    for field in StructType.fromDDL(schema).fields:
+        read = e[field.name]
+        if field.dataType.typeName() == "long":
+            read = F.coalesce(read, _whole(field.name))
+        elif field.name.endswith("generation"):
+            read = F.when(F.contains(read, F.lit(".")), F.coalesce(_whole(field.name).cast("string"), read)).otherwise(read)
+        fields.append(read.alias(field.name))
+    return parsed.withColumn("e", F.when(e.isNotNull(), F.struct(*fields)))
+
+
+def _kind(name: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get("_json", f"$.{name}", "variant"))
 
-def _number(value: Column, event: Column, name: str) -> Column:
-    """A whole number of an event, also when it is written with a fraction of zeros; other spellings are null."""
-    path = f"$.{name}"
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(value), path, "variant"))
-    exact = F.try_variant_get(F.try_parse_json(value), path, "decimal(38,9)")
-    whole = F.when(kind.rlike("^(DECIMAL|DOUBLE)") & (exact == F.floor(exact)), exact.cast("bigint"))
-    return F.coalesce(event[name], whole)
+
+def _whole(name: str) -> Column:
+    """A whole number of a message, also when it is written with a fraction of zeros; NULL for anything else."""
+    exact = F.try_variant_get("_json", f"$.{name}", "decimal(38,9)")
+    return F.when(_kind(name).rlike("^(BIGINT|DECIMAL|DOUBLE)") & (exact == F.floor(exact)), exact.cast("bigint"))
 
 
 def validate_ready_events(messages: DataFrame) -> DataFrame:
     """Adds route (accepted, irrelevant, invalid), code and the parsed event ``e``."""
-    value = F.col("value")
-    parsed = messages.withColumn("e", F.from_json(value, READY_EVENT)).withColumn("_keys", F.json_object_keys(value))
-    event = F.col("e")
-    for name in ("schema_version", "analysis_version", "expected_document_count", "extracted_document_count"):
-        event = event.withField(name, _number(value, F.col("e"), name))
-    parsed = parsed.withColumn("e", event)
-    e = F.col("e")
+    parsed, e = _parsed(messages, READY_EVENT), F.col("e")
     contract = (
         _no_other_keys(F.col("_keys"), READY_KEYS)
         & e["entry_id"].rlike(ENTRY_ID)
@@ -84,13 +94,13 @@ def validate_ready_events(messages: DataFrame) -> DataFrame:
     )
     relevant = (e["event_type"] == READY_TYPE) & (e["schema_version"] == 1) & (e["analysis_version"] == 1)
     code = (
-        F.when(F.try_parse_json(value).isNull(), "EVENT_JSON_INVALID")
-        .when(~_is_object(value), "EVENT_SHAPE_INVALID")
+        F.when(F.col("_json").isNull(), "EVENT_JSON_INVALID")
+        .when(F.col("_keys").isNull(), "EVENT_SHAPE_INVALID")
         .when(~F.coalesce(relevant, F.lit(False)), F.lit(None).cast("string"))
         .when(~F.coalesce(contract, F.lit(False)), "EVENT_CONTRACT_INVALID")
     )
     route = F.when(F.col("code").isNotNull(), "invalid").when(F.coalesce(relevant, F.lit(False)), "accepted").otherwise("irrelevant")
-    return parsed.withColumn("code", code).withColumn("route", route).drop("_keys")
+    return parsed.withColumn("code", code).withColumn("route", route).drop("_json", "_keys")
 
 
 def pdf_ready_contract(event: Column, keys: Column) -> Column:
@@ -109,15 +119,17 @@ def pdf_ready_contract(event: Column, keys: Column) -> Column:
     return F.coalesce(valid, F.lit(False))
 
 
-def validate_pdf_ready_events(messages: DataFrame) -> DataFrame:
-    """Adds validity and the event ``e`` with its digests in lower case."""
-    parsed = messages.withColumn("e", F.from_json("value", PDF_READY_EVENT)).withColumn("_keys", F.json_object_keys("value"))
+def _with_pdf_event(messages: DataFrame) -> DataFrame:
+    parsed = _parsed(messages, PDF_READY_EVENT)
     lowered = F.col("e").withField("summary_fingerprint", F.lower("e.summary_fingerprint")).withField(
         "final_pdf_sha256", F.lower("e.final_pdf_sha256")
     )
-    return parsed.withColumn("is_valid", pdf_ready_contract(F.col("e"), F.col("_keys"))).withColumn("e", lowered).withColumn(
-        "code", F.when(~F.col("is_valid"), "READY_EVENT_INVALID")
-    ).drop("_keys")
+    return parsed.withColumn("is_valid", pdf_ready_contract(F.col("e"), F.col("_keys"))).withColumn("e", lowered)
+
+
+def validate_pdf_ready_events(messages: DataFrame) -> DataFrame:
+    """Adds validity and the event ``e`` with its digests in lower case."""
+    return _with_pdf_event(messages).withColumn("code", F.when(~F.col("is_valid"), "READY_EVENT_INVALID")).drop("_json", "_keys")
 
 
 def delivery_decision(messages: DataFrame, submissions: DataFrame) -> DataFrame:
@@ -125,25 +137,28 @@ def delivery_decision(messages: DataFrame, submissions: DataFrame) -> DataFrame:
 
     A message whose submission is not visible yet is retried; the finished
     document alone never causes a second notification. Of several submissions of an
-    entry the latest counts (``submitted_at``, if there is one, then the layout).
+    entry the latest counts (``submitted_at``, if there is one, then the layout). An event
+    type that is null, empty, false or zero is none; an entry id has to be a text.
     """
-    checked = validate_pdf_ready_events(messages).withColumn("_json", F.try_parse_json("value").isNotNull())
-    kind = F.get_json_object("value", "$.event_type")
-    entry = F.when(F.col("_json"), F.get_json_object("value", "$.entry_id"))
+    checked = _with_pdf_event(messages)
+    said, entry = F.col("e.event_type"), F.col("e.entry_id")
+    # What reads like a number or a truth value may be a text all the same; only such a message is asked for its kind.
+    zero = F.when(said.rlike(r"^-?0*(\.0*)?([eE].*)?\z") | (said == "false"), (said == "") | (_kind("event_type") != "STRING")).otherwise(said.isNull())
+    ready = F.coalesce(said == PDF_READY_TYPE, F.lit(False))
+    entry = F.when(~entry.rlike(r"^(-?[0-9].*|true|false)\z") | (_kind("entry_id") == "STRING"), entry)
     order = F.struct(*[c for c in ("submitted_at", "pdf_layout_version") if c in submissions.columns])
     latest = submissions.groupBy(F.col("entry_id").alias("_entry")).agg(F.max_by("pdf_layout_version", order).alias("pdf_layout_version"))
     known = latest.withColumn("_seen", F.lit(True))
-    joined = checked.withColumn("entry_id", entry).withColumn("_kind", F.nullif(kind, F.lit(""))).join(
-        known, F.col("entry_id") == F.col("_entry"), "left"
-    )
-    ready = F.coalesce(F.col("_kind") == PDF_READY_TYPE, F.lit(False))
+    read = checked.select(
+        *messages.columns, "is_valid", F.col("_json").isNotNull().alias("_is_json"), (~zero).alias("_typed"), ready.alias("_ready"), entry.alias("entry_id"))
+    joined = read.join(known, F.col("entry_id") == F.col("_entry"), "left")
     action = (
-        F.when(~F.col("_json"), "drop:PAYLOAD_JSON_INVALID")
-        .when(F.col("_kind").isNotNull() & ~ready, "drop:EVENT_TYPE_IRRELEVANT")
-        .when(ready & ~F.col("is_valid"), "drop:READY_EVENT_INVALID")
+        F.when(~F.col("_is_json"), "drop:PAYLOAD_JSON_INVALID")
+        .when(F.col("_typed") & ~F.col("_ready"), "drop:EVENT_TYPE_IRRELEVANT")
+        .when(F.col("_ready") & ~F.col("is_valid"), "drop:READY_EVENT_INVALID")
         .when(~F.coalesce(F.col("entry_id").rlike(ENTRY_ID), F.lit(False)), "drop:ENTRY_ID_INVALID")
         .when(F.col("_seen").isNull(), "retry:SUBMISSION_NOT_VISIBLE")
-        .when(ready, "ack:FINALIZED")
+        .when(F.col("_ready"), "ack:FINALIZED")
         .when(F.col("pdf_layout_version").isNotNull() & (F.col("pdf_layout_version") != LAYOUT_VERSION), "retry:PDF_LAYOUT_VERSION_UNSUPPORTED")
         .otherwise("send")
     )
@@ -170,7 +185,7 @@ def validate_summaries(summaries: DataFrame, statements: DataFrame, events: Data
     wrong = F.lit(False)
     for name, kind in STATEMENT_FIELDS.items():
         text = F.col(name).cast("string")
-        shaped = text.rlike(DECIMAL) if kind == "decimal" else text.rlike(r"^(?:0|[1-9][0-9]*)$")
+        shaped = text.rlike(DECIMAL) if kind == "decimal" else text.rlike(r"^(?:0|[1-9][0-9]*)\z")
         wrong = wrong | F.when(text.isNull(), ready).otherwise(~shaped)
     for name, limit in STATEMENT_TEXTS.items():
         wrong = wrong | (F.coalesce(F.length(name), F.lit(0)) > limit)

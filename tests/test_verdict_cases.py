@@ -1,10 +1,11 @@
 """Inputs that the fixtures of the registered queries do not hold."""
 
+import json
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from fundlens.functions import urls
+from fundlens.functions import text as T, urls
 from fundlens.operators import events as EV, intake, ledger as LG, running
 
 
@@ -133,3 +134,35 @@ def test_thousands_of_rules_match_as_plain_tests_do(spark):
         text = row.normalized_description or ""
         fits = [(r[2], r[1]) for r in rules if r[3] and r[6] in ("EITHER", row.direction) and tests[r[4]](text, r[5])]
         assert [m.rule_id for m in row.rule_matches] == [name for _, name in sorted(fits)], text
+
+
+def test_numbers_and_kinds_in_pdf_events(spark):
+    digest = "ab" * 32
+
+    def message(**changes):
+        body = {"event_type": EV.PDF_READY_TYPE, "schema_version": 1, "analysis_version": 1, "event_key": f"application_pdf:e1:v1:{digest}", "entry_id": "e1", "status": "READY",
+                "summary_fingerprint": digest.upper(), "source_generation": 7, "final_generation": "17", "final_pdf_sha256": digest}
+        return json.dumps({**body, **changes})
+
+    whole = message().replace('"schema_version": 1', '"schema_version":1.0').replace('"source_generation": 7', '"source_generation": 7.0')
+    numbered = message(entry_id=7, event_key=f"application_pdf:7:v1:{digest}")
+    cases = {message(): True, whole: True, numbered: True, message(schema_version="1"): False, message(schema_version=1.5): False, message(analysis_version=True): False,
+             message(more=None): False, message(status=None): False, message(final_generation="x"): False, "[1]": False, "null": False, "{": False, '"text"': False}
+    found = EV.validate_pdf_ready_events(spark.createDataFrame([(c,) for c in cases], "value string")).collect()
+    assert {r.value: r.is_valid for r in found} == cases
+    assert next(r for r in found if r.value == whole).e.source_generation == "7"
+    submissions = spark.createDataFrame([("e1", None), ("7", None)], "entry_id string, pdf_layout_version string")
+    actions = {
+        message(): "ack:FINALIZED", whole: "ack:FINALIZED", numbered: "drop:ENTRY_ID_INVALID", '{"entry_id":7}': "drop:ENTRY_ID_INVALID", '{"entry_id":"e1"}': "send",
+        '{"entry_id":"e1","event_type":false}': "send", '{"entry_id":"e1","event_type":0}': "send", '{"entry_id":"e1","event_type":0.0}': "send", '{"entry_id":"e1","event_type":""}': "send",
+        '{"entry_id":"e1","event_type":null}': "send", '{"entry_id":"e1","event_type":true}': "drop:EVENT_TYPE_IRRELEVANT", '{"entry_id":"e1","event_type":2}': "drop:EVENT_TYPE_IRRELEVANT",
+        '{"entry_id":"e1","event_type":[]}': "drop:EVENT_TYPE_IRRELEVANT", '{"entry_id":"e1","event_type":0.5}': "drop:EVENT_TYPE_IRRELEVANT", "[1]": "drop:ENTRY_ID_INVALID",
+        "null": "drop:ENTRY_ID_INVALID", "{": "drop:PAYLOAD_JSON_INVALID", message(status="DONE"): "drop:READY_EVENT_INVALID", '{"entry_id":"e2"}': "retry:SUBMISSION_NOT_VISIBLE"}
+    decided = EV.delivery_decision(spark.createDataFrame([(c,) for c in actions], "value string"), submissions).collect()
+    assert {r.value: r.action for r in decided} == actions
+
+
+def test_numbers_are_trimmed_of_all_white_space(spark):
+    rows = [("\t12.5\n",), (" 7 ",), ("1\n2",), ("3.\n",)]
+    found = spark.createDataFrame(rows, "v string").select(T.exact_decimal(F.col("v")).alias("t")).collect()
+    assert [r.t for r in found] == ["$12.50", "$7.00", T.DASH, T.DASH]
