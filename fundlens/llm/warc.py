@@ -21,7 +21,6 @@ from .common import Stage, arrow_rows, small_batches
 SEPARATOR = "\r\n\r\n"
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 4 << 10
-FILE_BYTES = 16 << 20
 LEAST_REVISIT = 1000
 DATE = "2000-01-01T00:00:00Z"  # archives of equal pages are equal
 
@@ -101,7 +100,7 @@ def _records(segment: int):
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", segment: int = SEGMENT_BYTES) -> None:
-    """Archives of the pages in gzip files of about ``FILE_BYTES`` before compression.
+    """Archives of the pages in gzip files, one for each partition in which equal payloads meet: pages move once.
 
     Of pages with equal payloads of at least 1000 bytes that with the largest key is a response and the others
     revisit it; where rows repeat that key, each is a response. Null keys come last and revisit if they can.
@@ -113,11 +112,9 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     equal = equal.filter("rows > 1").select("digest", "bytes", "largest")
     joined = known.join(equal, ["digest", "bytes"], "left")
     keeper = F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest"))
-    total = known.agg(F.sum("bytes")).first()[0] or 0
     # A revisit needs only the length of its payload.
     rows = joined.select("page_id", "url", F.when(keeper.isNull(), F.col("payload")).alias("payload"), "digest", keeper.alias("keeper"), "bytes")
-    dealt = rows.repartition(int(max(1, -(-total // FILE_BYTES))), F.xxhash64("page_id", "digest"))
-    dealt.mapInArrow(_records(segment), "value string").write.mode("overwrite").option("lineSep", SEPARATOR).option("compression", "gzip").text(folder)
+    rows.mapInArrow(_records(segment), "value string").write.mode("overwrite").option("lineSep", SEPARATOR).option("compression", "gzip").text(folder)
 
 
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -145,28 +142,27 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 8 + size
 
 
-RECORD = "record_id string, type string, url string, digest string, refers_to string, number int, origin string, total long, block binary"
+PAYLOAD = "record_id string, type string, url string, refers_to string, payload_bytes long, payload_digest string, payload binary, error string"
+#: What is read of the archives: whole records decoded, and segments (``digest`` and on) as they stand.
+FOUND = f"{PAYLOAD}, digest string, number int, origin string, total long, block binary"
 
 
-def _read(batches):
-    for batch in batches:
-        for content in batch.column(0).to_pylist():
-            rows = []
-            for fields, block in parse(content):
-                number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
-                rows.append((fields["warc-record-id"], fields["warc-type"], fields.get("warc-target-uri"), fields.get("warc-payload-digest"), fields.get("warc-refers-to"),
-                             number and int(number), fields.get("warc-segment-origin-id"), total and int(total), block))
-            types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 9, types)], [x.split()[0] for x in RECORD.split(", ")])
+def _columns(ddl: str) -> list[str]:
+    return [x.split()[0] for x in ddl.split(", ")]
 
 
-PAYLOAD = "record_id string, type string, url string, refers_to string, payload_bytes long, payload_digest string, payload binary, error string"
+_TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
-def _whole(keep_payload: bool):
-    """From (record, parts): parts are the continuations (number, total, block) in order, or null."""
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    fields = [x.split() for x in ddl.split(", ")]
+    columns = list(zip(*rows)) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+
 
-    def decoded(kind, digest, number, block, parts):
+def _decoded(kind: str, digest: str, number: int | None, block: bytes, parts: list[dict] | None, keep_payload: bool) -> tuple:
+    """(bytes, digest, payload, error) of a record; parts are the continuations (number, total, block) in order."""
+    try:
         if number is not None:
             numbers = [number, *(p["number"] for p in parts or [])]
             if numbers != list(range(1, len(numbers) + 1)):
@@ -179,23 +175,47 @@ def _whole(keep_payload: bool):
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")[1:])}
         known = b32decode(digest.partition(":")[2]).hex()
         if kind == "revisit":
-            return int(fields[b"content-length"]), known, None
+            return int(fields[b"content-length"]), known, None, None
         payload = dechunked(body) if fields.get(b"transfer-encoding", b"").lower() == b"chunked" else body
         if (found := hashlib.sha1(payload).hexdigest()) != known:
             raise ValueError("the payload has another digest")
-        return len(payload), found, payload
+        return len(payload), found, payload if keep_payload else None, None
+    except ValueError as fault:
+        return None, None, None, str(fault)
+
+
+def _read(keep_payload: bool, flush: int = 1 << 24):
+    """The records of each file: one that stands whole is decoded here, so only segments are stored as blocks."""
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                rows, held = [], 0
+                for fields, block in parse(content):
+                    kind, digest = fields["warc-type"], fields.get("warc-payload-digest")
+                    number, total = fields.get("warc-segment-number"), fields.get("warc-segment-total-length")
+                    head = (fields["warc-record-id"], kind, fields.get("warc-target-uri"), fields.get("warc-refers-to"))
+                    if kind != "continuation" and number is None:
+                        rows.append((*head, *_decoded(kind, digest, None, block, None, keep_payload), None, None, None, None, None))
+                    else:
+                        rows.append((*head, None, None, None, None, digest, number and int(number), fields.get("warc-segment-origin-id"), total and int(total), block))
+                    held += len(block)
+                    if held > flush:
+                        yield _batch(rows, FOUND)
+                        rows, held = [], 0
+                yield _batch(rows, FOUND)
+
+    return run
+
+
+def _whole(keep_payload: bool):
+    """Records from their first segments and their parts."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                try:
-                    size, digest, payload, error = *decoded(r["type"], r["digest"], r["number"], r["block"], r["parts"]), None
-                except ValueError as fault:
-                    size, digest, payload, error = None, None, None, str(fault)
-                rows.append((r["record_id"], r["type"], r["url"], r["refers_to"], size, digest, payload if keep_payload else None, error))
-            types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 8, types)], [x.split()[0] for x in PAYLOAD.split(", ")])
+            yield _batch([
+                (r["record_id"], r["type"], r["url"], r["refers_to"], *_decoded(r["type"], r["digest"], r["number"], r["block"], r["parts"], keep_payload))
+                for r in batch.to_pylist()], PAYLOAD)
 
     return run
 
@@ -209,15 +229,15 @@ def read(spark, folder: str, keep_payload: bool = True) -> DataFrame:
     stage = Stage(spark, "warc")
     with arrow_rows(spark, 1):
         files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
-        records = stage.write(files.mapInArrow(_read, RECORD), "records")
-    rest = records.filter("type = 'continuation'").dropDuplicates(["origin", "number"])
-    parts = rest.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("number", "total", "block"))).alias("parts"))
-    columns = ["record_id", "type", "url", "digest", "refers_to", "number", "block"]
-    whole = records.filter("type <> 'continuation' AND number IS NULL").select(*columns, F.lit(None).cast(parts.schema["parts"].dataType).alias("parts"))
-    first = records.filter("type <> 'continuation' AND number IS NOT NULL").select(*columns)
-    split = first.join(parts, first.record_id == parts.origin, "left").select(*columns, "parts")
+        found = stage.write(files.mapInArrow(_read(keep_payload), FOUND), "found")
+    whole = found.filter("block IS NULL").select(*_columns(PAYLOAD))
+    rest = found.filter("block IS NOT NULL AND type = 'continuation'").dropDuplicates(["origin", "number"])
+    parts = rest.groupBy(F.col("origin").alias("of")).agg(F.sort_array(F.collect_list(F.struct("number", "total", "block"))).alias("parts"))
+    columns = ["record_id", "type", "url", "refers_to", "digest", "number", "block"]
+    first = found.filter("block IS NOT NULL AND type <> 'continuation'").select(*columns)
+    split = first.join(parts, F.col("record_id") == F.col("of"), "left").select(*columns, "parts")
     small_batches(spark, 200)
-    return whole.union(split).mapInArrow(_whole(keep_payload), PAYLOAD)
+    return whole.union(split.mapInArrow(_whole(keep_payload), PAYLOAD))
 
 
 def page_of(record: str) -> Column:
