@@ -23,6 +23,12 @@ BLOCK = frozenset(
 DROPPED = frozenset(
     "head title script style noscript template iframe object svg math canvas nav header footer aside form button select textarea input label menu dialog "
     "audio video map".split())
+#: Dropped elements that may stand around a whole article, as server forms do; see _unwrap.
+AROUND = frozenset("form noscript header".split())
+LEAST_ARTICLE = 140
+MOST_FRAMES = 64  # of frames within frames the outer ones are looked at
+#: Elements that hold a line of words.
+LINES = frozenset("p li td th dd dt blockquote span em strong b i h1 h2 h3 h4 h5 h6".split())
 #: What a head may hold; anything else ends an open one.
 IN_HEAD = frozenset("html head title base link meta style script noscript template bgsound basefont noframes".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd".split())
@@ -47,13 +53,21 @@ LEVELS = 5
 
 
 class Node:
-    __slots__ = ("tag", "noise", "parent", "children", "place", "text", "linked", "points", "prose")
+    __slots__ = ("tag", "noise", "parent", "children", "place", "text", "linked", "points", "prose", "length", "lead", "trail", "commas")
 
     def __init__(self, tag: str, parent: Node | None, noise: int = 0):
         self.tag, self.parent, self.noise = tag, parent, noise
         self.children: list[Node | str] = []
         self.text = self.linked = 0
         self.points = self.prose = 0.0
+        self.length = self.lead = self.trail = self.commas = 0
+
+    def add(self, length: int, lead: int, trail: int, commas: int) -> None:
+        """Appends a text to what the node holds: its length, white space at its ends (all of it, if it is blank), commas."""
+        self.trail = trail if trail < length else length + self.trail
+        self.lead = self.lead if self.lead < self.length else self.length + lead
+        self.length += length
+        self.commas += commas
 
 
 def _mark(tag: str, attrs: list[tuple[str, str | None]]) -> int:
@@ -130,6 +144,11 @@ class _Tree(HTMLParser):
                 node = node.parent
             self._close(node)
 
+    def parse_marked_section(self, i, report=1):
+        """A marked section is a comment up to the next angle, whatever its name and brackets are."""
+        end = self.rawdata.find(">", i + 2)
+        return end + 1 if end >= 0 else -1
+
     def handle_data(self, data):
         if self.at.tag == "head" and data.strip():
             self._leave_head()
@@ -139,6 +158,8 @@ class _Tree(HTMLParser):
 def parse(html: str) -> Node:
     tree = _Tree()
     tree.feed(html)
+    if tree.rawdata.startswith("<!"):  # a comment or declaration that never ends
+        tree.rawdata = ""
     tree.close()
     return tree.root
 
@@ -157,6 +178,44 @@ def _walk(root: Node, most: int = 0):
             stack.extend((x, False) for x in reversed(item.children))
 
 
+def _unwrap(root: Node) -> None:
+    """Lets a form, noscript or header pass that holds most of the page's text outside links, and at least a few lines:
+    it is the page's frame and not a part of it. A button or label between the words of a line is part of the line."""
+    sizes: dict[int, int] = {}
+    frames: list[Node] = []
+    total = links = 0
+    stack: list[tuple[Node | str, bool]] = [(root, False)]
+    within: list[Node] = []
+    while stack:
+        item, ends = stack.pop()
+        if isinstance(item, str):
+            size = 0 if links else len(item.strip())
+            total += size
+            for frame in within:
+                sizes[id(frame)] += size
+        elif ends:
+            links -= item.tag == "a"
+            if item.tag in AROUND:
+                within.pop()
+        else:
+            if item.tag in ("button", "label") and item.parent.tag in LINES and any(isinstance(x, str) and x.strip() for x in item.parent.children):
+                item.tag = "span"
+            if item.tag in DROPPED and item.tag not in AROUND or item.noise >= SAID:
+                continue
+            if item.tag in AROUND:
+                if len(within) == MOST_FRAMES:
+                    continue
+                sizes[id(item)] = 0
+                frames.append(item)
+                within.append(item)
+            links += item.tag == "a"
+            stack.append((item, True))
+            stack.extend((x, False) for x in reversed(item.children))
+    for frame in frames:
+        if sizes[id(frame)] >= LEAST_ARTICLE and 2 * sizes[id(frame)] > total:
+            frame.tag = "div"
+
+
 def _spare(root: Node) -> None:
     """Takes the mark from elements that hold the article, by the lengths of texts outside links.
 
@@ -214,11 +273,13 @@ def _measure(root: Node) -> list[Node]:
             size = len(item.strip())
             at.text += size
             at.linked += size if links else 0
+            at.add(len(item), len(item) - len(item.lstrip()), len(item) - len(item.rstrip()), item.count(","))
         elif ends:
             links -= item.tag == "a"
             if item is not root:
                 item.parent.text += item.text
                 item.parent.linked += item.linked
+                item.parent.add(item.length, item.lead, item.trail, item.commas)
                 at = item.parent
         else:
             links += item.tag == "a"
@@ -227,10 +288,6 @@ def _measure(root: Node) -> list[Node]:
     return seen
 
 
-def _own_text(node: Node) -> str:
-    return "".join(x for x, _ in _walk(node) if isinstance(x, str))
-
-
 def _density(node: Node) -> float:
     return node.linked / node.text if node.text else 0.0
 
@@ -241,10 +298,10 @@ def _score(nodes: list[Node]) -> None:
     for node in nodes:
         direct = "".join(x for x in node.children if isinstance(x, str)).strip()
         if node.tag in PARAGRAPH or node.tag in ("div", "section", "article", "main") and direct:
-            text = _own_text(node) if node.tag in PARAGRAPH else direct
-            if not text.strip():
+            commas, size = (node.commas, node.length - node.lead - node.trail) if node.tag in PARAGRAPH else (direct.count(","), len(direct))
+            if size <= 0:
                 continue
-            points = (1 + text.count(",") + min(len(text.strip()) / 100, 3.0)) * (1 - _density(node))
+            points = (1 + commas + min(size / 100, 3.0)) * (1 - _density(node))
             node.prose += points
             above = node.parent if node.tag in PARAGRAPH else node
             for level in range(LEVELS):
@@ -296,6 +353,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    _unwrap(root)
     _spare(root)
     nodes = _measure(root)
     _score(nodes)

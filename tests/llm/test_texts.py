@@ -1,5 +1,6 @@
 """N-gram join and decontamination against brute force; main text of hand-made pages."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fundlens.llm import decontaminate as D, ngram_join as J
+from fundlens.llm import decontaminate as D, main_text as M, ngram_join as J
 from fundlens.llm.main_text import main_text, with_main_text
 
 SCHEMA = "doc_id long, text string, source string"
@@ -242,3 +243,94 @@ def test_columns_of_clashing_names_stay(spark):
     assert {(r.text.strip(), r._hit, r.doc) for r in cut.collect()} == {("", "h", "d"), ("one, two", "h2", "d2"), ("three", None, None)}
     kept = J.one_per_component(docs, J.similar_documents(docs))
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[1], rows[3]], key=repr)
+
+
+ARTICLE = "<p>" + "This is a sentence of the article, with words. " * 6 + "</p>"
+ARTICLE_TEXT = " ".join(("This is a sentence of the article, with words. " * 6).split())
+
+
+def test_malformed_sections_are_comments():
+    for page, text in {
+        "<p>x</p><![foo[bar]]>": "x", "<![x y z]><p>stays, it does</p>": "stays, it does", "<p>a</p><![": "a", "<p>a</p><!-- open": "a", "<p>a</p><!": "a",
+        "<p>b</p><![CDATA[zz]]><p>c</p>": "b\nc", "<![if !IE]><p>kept, yes</p><![endif]>": "kept, yes", "<![]]><![[>": "",
+    }.items():
+        assert main_text(page) == text, page
+
+
+def test_frames_of_the_page_stay_and_forms_go():
+    page = "<body><form id=f><input type=hidden>{}<div><input><button>Go</button></div></form><div>Copyright 2024</div></body>"
+    assert main_text(page.format(ARTICLE * 2)).startswith(f"{ARTICLE_TEXT}\n{ARTICLE_TEXT}")
+    assert "Go" not in main_text(page.format(ARTICLE))
+    assert main_text(f"<body><noscript>{ARTICLE}</noscript></body>") == ARTICLE_TEXT
+    assert main_text(f"<body><header>{ARTICLE}</header></body>") == ARTICLE_TEXT
+    login = "<form><p>Log in please, it is free.</p><label>Name</label><input><button>Send</button></form>"
+    assert main_text(f"<body><header><p>The site, since 1999</p></header>{login}<div>{ARTICLE * 2}</div>{login}</body>") == f"{ARTICLE_TEXT}\n{ARTICLE_TEXT}"
+    assert main_text("<body><form><p>Search, here.</p></form></body>") == ""
+    assert main_text("<div><p>Use <button>Save</button> or <label>Cancel</label> now, please.</p><button>Share</button></div>") == "Use Save or Cancel now, please."
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    for tag in ("blockquote", "div", "form", "span"):
+        started = time.perf_counter()
+        main_text(f"<{tag}>words, and more " * 4000 + f"</{tag}>" * 4000)
+        assert time.perf_counter() - started < 3
+
+
+def test_points_equal_a_plain_count():
+    rng = random.Random(5)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["some, words here ", " ", "a long run of text, with commas, and more of it " * 3, "x"])
+        tag = rng.choice(["div", "p", "blockquote", "section", "ul", "li", "a", "span", "td", "pre", "script", "article"])
+        return f"<{tag}>" + "".join(made(depth - 1) for _ in range(rng.randint(0, 4))) + f"</{tag}>"
+
+    def inside(node, links):
+        """All text of a node, or what stands in links, without dropped elements."""
+        out = ""
+        for x in node.children:
+            if isinstance(x, str):
+                out += x if links in (None, True) else ""
+            elif x.tag not in M.DROPPED:
+                out += inside(x, None if links is None else links or x.tag == "a")
+        return out
+
+    def lengths(node, links):
+        total = linked = 0
+        for x in node.children:
+            if isinstance(x, str):
+                total, linked = total + len(x.strip()), linked + (len(x.strip()) if links else 0)
+            elif x.tag not in M.DROPPED:
+                t, n = lengths(x, links or x.tag == "a")
+                total, linked = total + t, linked + n
+        return total, linked
+
+    def plain(root):
+        points = {}
+
+        def visit(node, path):
+            own = "".join(x for x in node.children if isinstance(x, str)).strip()
+            is_paragraph = node.tag in M.PARAGRAPH
+            if is_paragraph or node.tag in ("div", "section", "article", "main") and own:
+                text = (inside(node, None) if is_paragraph else own).strip()
+                total, linked = lengths(node, node.tag == "a" or any(n.tag == "a" for n in path))
+                if text:
+                    value = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - (linked / total if total else 0.0))
+                    chain = ([] if is_paragraph else [node]) + path[::-1]
+                    for share, above in zip((1, 2, 6, 9, 12), chain):
+                        points[id(above)] = points.get(id(above), 0.0) + value / share
+            for x in node.children:
+                if isinstance(x, M.Node) and x.tag not in M.DROPPED:
+                    visit(x, [*path, node])
+
+        visit(root, [])
+        return points
+
+    for _ in range(150):
+        root = M.parse("<html>" + "".join(made(5) for _ in range(4)) + "</html>")
+        nodes = M._measure(root)
+        M._score(nodes)
+        want = plain(root)
+        assert all(abs(n.points - want.get(id(n), 0.0)) < 1e-9 for n in nodes)
