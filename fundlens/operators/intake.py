@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..functions import urls as L
-from ..schemas import EXACT, PAYLOAD, STATEMENT, SUMMARY_KEYS, TRANSACTION_KEYS
+from ..schemas import EXACT, MONEY, PAYLOAD, STATEMENT, SUMMARY_KEYS, TRANSACTION_KEYS
 
 STORAGE = "gs://application-files/"
 MAX_FILES = 10
+WIDE = "decimal(38,18)"
 
 
 def sanitize_payload(payload: Column) -> Column:
@@ -128,7 +129,9 @@ def files_error(files: Column, limit: int = MAX_FILES) -> Column:
 
 def parse_extractions(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Posted extraction rows (``value`` JSON text) split into typed rows and
-    rejects. Every summary and transaction key must be present, null or not."""
+    rejects. Every summary and transaction key must be present, null or not. An
+    amount has to fit the money type as it stands: rows with fractions of a cent,
+    longer amounts or no numbers are rejected, and nothing is rounded."""
     row = (
         "entry_id string, document_id string, document_index bigint, file_id string, "
         f"extracted_at timestamp, statement {STATEMENT}"
@@ -139,10 +142,19 @@ def parse_extractions(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = F.array(*map(F.lit, TRANSACTION_KEYS))
     has_lines = F.forall(lines, lambda t: F.size(F.array_except(wanted, F.map_keys(t))) == 0)
     parsed = messages.withColumn("r", F.from_json("value", row, {"mode": "PERMISSIVE"}))
+    # The same amounts with more places on both sides, to see what the money type would have changed.
+    wide = F.from_json("value", f"statement {STATEMENT.replace(MONEY, WIDE)}")["statement"]
+    fits = F.forall(
+        F.arrays_zip(F.col("r.statement.transactions").alias("kept"), wide["transactions"].alias("said"), lines.alias("raw")),
+        lambda t: F.is_variant_null(t["raw"]["amount"]) | F.coalesce(t["kept"]["amount"] == t["said"]["amount"], F.lit(False)))
+    for name in ("start_balance", "end_balance", "total_credits", "total_debits"):
+        said = F.get_json_object("value", f"$.statement.summary.{name}").isNotNull()
+        same = F.coalesce(F.col(f"r.statement.summary.{name}") == wide["summary"][name], F.lit(False))
+        fits = fits & (~said | same)
     identified = F.lit(True)
     for name in ("entry_id", "document_id", "document_index", "file_id", "extracted_at"):
         identified = identified & F.col(f"r.{name}").isNotNull()
-    good = F.coalesce(identified & has_summary & has_lines, F.lit(False))
+    good = F.coalesce(identified & has_summary & has_lines & fits, F.lit(False))
     checked = parsed.withColumn("_good", good)
     return checked.filter("_good").select("r.*"), checked.filter(~F.col("_good")).select("value")
 

@@ -25,13 +25,20 @@ def conform(df: DataFrame, ddl: str) -> DataFrame:
     )
 
 
-def append_by_date(df: DataFrame, path: str, ddl: str, time: str, cluster: list[str]) -> None:
-    """Append under a date partition, rows ordered by the cluster columns so that
-    readers skip row groups. The partition is split by key, not gathered by date:
-    one busy day must not end up in one task."""
+ROWS_PER_FILE = 1_000_000
+
+
+def append_by_date(df: DataFrame, path: str, ddl: str, time: str, cluster: list[str], rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Append under a date partition in files of about ``rows_per_file``, each of one range of (date, cluster columns).
+
+    The rows are counted, ranges of the order are sampled, and each task sorts and writes one: so a busy day is
+    split into ranges of the cluster columns, quiet days share a task, and there are at most rows / rows_per_file files
+    and one for each date. Readers that filter on a cluster column skip files and row groups by their bounds.
+    """
     dated = conform(df, ddl).withColumn("date", F.to_date(time))
+    ranges = max(1, -(-df.count() // rows_per_file))
     (
-        dated.repartition("date", *cluster).sortWithinPartitions("date", *cluster)
+        dated.repartitionByRange(ranges, "date", *cluster).sortWithinPartitions("date", *cluster)
         .write.mode("append").partitionBy("date").parquet(path)
     )
 

@@ -224,6 +224,48 @@ def test_sinks(spark, tmp_path):
     assert sinks.evolve(old, old.withColumn("added", F.lit(1))).count() == 4
 
 
+def test_files_hold_ranges_that_readers_skip(spark, tmp_path):
+    day = lambda i: dt.datetime(2024, 1, 1) + dt.timedelta(days=0 if i % 3 else i % 30)  # one day holds two thirds
+    rows = [(f"e{i * 7919 % 20_000:05}", day(i)) for i in range(20_000)]
+    table = spark.createDataFrame(rows, "entry_id string, submitted_at timestamp").repartition(16)
+    path = tmp_path / "subs"
+    sinks.append_by_date(table, str(path), SUBMISSIONS, "submitted_at", ["entry_id"], rows_per_file=2_000)
+    files = list(path.rglob("part-*.parquet"))
+    dates = len({d.name for d in path.iterdir() if d.name.startswith("date=")})
+    assert len(files) <= 20_000 / 2_000 + dates + 2 and dates == 10  # not tasks x dates
+    assert max(spark.read.parquet(str(path)).groupBy(F.input_file_name()).count().toPandas()["count"]) < 2 * 2_000
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = spark.read.parquet(str(path)).filter("date = '2024-01-01' AND entry_id = 'e07919'")
+        frame = found._jdf.queryExecution()
+        assert len(frame.executedPlan().executeCollect()) == 1
+        read = frame.executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert read <= 2 * 2_000  # of some 14,000 rows of that day: the other files' row groups are skipped
+    assert spark.read.parquet(str(path)).count() == 20_000
+
+
+def test_amounts_that_do_not_fit_are_rejected(spark):
+    def posted(key, amount="1.25", balance="10"):
+        names = ["account_number", "bank_name", "company", "start_balance", "end_balance", "statement_start_date", "statement_end_date", "total_credits", "total_debits"]
+        summary = ",".join(f'"{n}":{balance if n == "end_balance" else "null"}' for n in names)
+        lines = f'[{{"date":"2024-01-01","description":"x","amount":{amount}}},{{"date":null,"description":null,"amount":null}}]'
+        return (f'{{"entry_id":"e","document_id":"{key}","document_index":1,"file_id":"f","extracted_at":"2024-01-02T00:00:00Z","statement":{{"summary":{{{summary}}},"transactions":{lines}}}}}',)
+
+    good = {"whole": ("7", "10"), "cents": ("-1.25", "0.10"), "zeros": ("1.2500", "3.000"), "text": ('"4.5"', '"6"'), "long": ("9999999999999999.99", "-9999999999999999.99"),
+            "null": ("null", "null")}
+    bad = {"sub_cent": ("0.005", "1"), "tiny": ("1.0000000001", "1"), "too_long": ("123456789012345678901234567890.12", "1"), "seventeen": ("10000000000000000", "1"),
+           "word": ('"abc"', "1"), "balance": ("1", "2.001"), "long_balance": ("1", "99999999999999999"), "word_balance": ("1", '"n/a"')}
+    rows = [posted(k, *v) for k, v in {**good, **bad}.items()]
+    kept, refused = intake.parse_extractions(spark.createDataFrame(rows, "value string"))
+    assert sorted(r.document_id for r in kept.collect()) == sorted(good)
+    assert sorted(json.loads(r.value)["document_id"] for r in refused.collect()) == sorted(bad)
+    amounts = {r.document_id: r.statement.transactions[0].amount for r in kept.collect()}
+    assert str(amounts["long"]) == "9999999999999999.99" and str(amounts["text"]) == "4.50" and amounts["null"] is None
+
+
 def test_row_payload(spark):
     df = spark.createDataFrame([("a", '{"x":[1]}'), ("b", "{broken")], "entry_id string, raw_payload_json string")
     got = {r.entry_id: json.loads(r.body) for r in intake.row_payload(df).collect()}
