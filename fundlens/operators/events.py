@@ -43,9 +43,15 @@ def readiness_events(summary: DataFrame, emitted: DataFrame | None = None) -> Da
     return done if emitted is None else done.join(emitted.select("event_key"), "event_key", "left_anti").select(*done.columns)
 
 
-def event_messages(events: DataFrame) -> DataFrame:
-    """Key and JSON body, for a message sink."""
-    return events.select(F.col("event_key").alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))
+def event_messages(events: DataFrame, key: str = "event_key", attributes: list[str] = ["event_type", "schema_version"]) -> DataFrame:
+    """Key, JSON body and attributes (texts by name; those that are null are left out), for a message sink."""
+    pairs = F.filter(F.array(*[F.struct(F.lit(a).alias("name"), F.col(a).cast("string").alias("text")) for a in attributes]), lambda p: p["text"].isNotNull())
+    return events.select(F.col(key).alias("key"), F.to_json(F.struct(*events.columns)).alias("value"), F.map_from_entries(pairs).alias("attributes"))
+
+
+def submission_messages(submissions: DataFrame) -> DataFrame:
+    """What is sent when a submission is stored: its entry, folder and layout, with the entry as an attribute."""
+    return event_messages(submissions.select("entry_id", "gcs_folder", "pdf_layout_version"), "entry_id", ["entry_id"])
 
 
 def _no_other_keys(keys: Column, allowed: list[str]) -> Column:

@@ -255,19 +255,27 @@ def pack_attachments(application_bytes: Column, sizes: Column, uris: Column, bud
     )
 
 
-def route_recipients(submissions: DataFrame, defaults: list[str], extras: dict[str, list[str]]) -> DataFrame:
+MAP_ROUTES = 1_000
+
+
+def route_recipients(submissions: DataFrame, defaults: list[str], extras: dict[str, list[str]] | DataFrame) -> DataFrame:
     """Default recipients plus those of the representative, without repeats.
 
-    ``extras`` is a hand-kept configuration, checked to be small.
+    ``extras`` is a configuration by representative, or a table of it (app_key, recipients; of a key that is repeated
+    all count, in the order of the lists). A short configuration is part of the plan, all else is joined.
     """
-    if len(extras) > 1_000:
-        raise ValueError("too many recipient routes")
     key = F.lower(F.coalesce(T.clean(F.col("app_param")), F.lit("")))
     base = F.array(*map(F.lit, defaults)).cast("array<string>")
-    extra = F.array().cast("array<string>")
-    if extras:
-        routes = F.create_map(*[x for k, v in extras.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-        extra = F.coalesce(F.try_element_at(routes, key), extra)
-    return submissions.select(
-        "entry_id", key.alias("app_key"), F.array_distinct(F.concat(base, extra)).alias("recipients")
-    )
+    none = F.array().cast("array<string>")
+    rows = submissions.select("entry_id", key.alias("app_key"))
+    if isinstance(extras, dict) and len(extras) <= MAP_ROUTES:
+        extra = none
+        if extras:
+            routes = F.create_map(*[x for k, v in extras.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])
+            extra = F.coalesce(F.try_element_at(routes, F.col("app_key")), none)
+    else:
+        if isinstance(extras, dict):
+            extras = submissions.sparkSession.createDataFrame(list(extras.items()), "app_key string, recipients array<string>")
+        routes = extras.groupBy("app_key").agg(F.flatten(F.array_sort(F.collect_list("recipients"))).alias("_extra"))
+        rows, extra = rows.join(routes, "app_key", "left"), F.coalesce("_extra", none)
+    return rows.select("entry_id", "app_key", F.array_distinct(F.concat(base, extra)).alias("recipients"))

@@ -123,6 +123,29 @@ def _(spark, sf_dir):
     return R.route_recipients(_flat(spark, sf_dir), ["all@example.com"], ROUTES)
 
 
+@register(
+    "routed_by_table", "entry_id:s app_key:s recipients:l",
+    f"""SELECT entry_id, lower(app_param) AS app_key, list_concat(['all@example.com'], (SELECT list('nation' || n_nationkey || '@example.com' ORDER BY n_nationkey) FROM nation
+      WHERE n_nationkey % 7 = length(app_param) % 7)) AS recipients FROM ({_PAYLOAD_FIELDS})""",
+)
+def _(spark, sf_dir):
+    flat = _flat(spark, sf_dir)
+    keys = flat.select(F.lower("app_param").alias("app_key")).distinct()
+    nations = read(spark, sf_dir, "nation").select("n_nationkey")
+    routes = keys.join(nations, F.length("app_key") % 7 == F.col("n_nationkey") % 7).groupBy("app_key").agg(F.array_sort(F.collect_list("n_nationkey")).alias("n"))
+    return R.route_recipients(flat, ["all@example.com"], routes.select("app_key", F.transform("n", lambda n: F.concat(F.lit("nation"), n, F.lit("@example.com"))).alias("recipients")))
+
+
+@register(
+    "submission_messages", "entry_id:s body:s attributes:s",
+    f"""SELECT entry_id, '{{"entry_id":"' || entry_id || '","gcs_folder":"gs://application-files/' || slug || '_' || entry_id || '"}}' AS body,
+      '{{"entry_id":"' || entry_id || '"}}' AS attributes FROM ({_PAYLOAD_FIELDS})""",
+)
+def _(spark, sf_dir):
+    flat = _flat(spark, sf_dir).withColumn("pdf_layout_version", F.lit(None).cast("string"))
+    return EV.submission_messages(flat).select(F.col("key").alias("entry_id"), F.col("value").alias("body"), F.to_json("attributes").alias("attributes"))
+
+
 @from_chain(
     "posted_extractions", "entry_id:s accepted:n rejected:n",
     """SELECT entry_id, count(*) FILTER (WHERE whole) AS accepted, count(*) FILTER (WHERE NOT whole) AS rejected FROM (
@@ -334,11 +357,12 @@ def _(spark, sf_dir):
 
 
 @from_chain(
-    "readiness_events", "entry_id:s event_key:s status:s expected_document_count:n body:s",
+    "readiness_events", "entry_id:s event_key:s status:s expected_document_count:n body:s attributes:s",
     """SELECT entry_id, 'bank_statement_underwriting:' || entry_id || ':v1' AS event_key, CASE WHEN review THEN 'REVIEW_REQUIRED' ELSE 'READY' END AS status,
          expected AS expected_document_count,
          '{"event_type":"bank_statement_underwriting_ready","schema_version":1,"analysis_version":1,"event_key":"' || event_key || '","entry_id":"' || entry_id ||
-         '","status":"' || status || '","expected_document_count":' || expected || ',"extracted_document_count":' || arrived || '}' AS body
+         '","status":"' || status || '","expected_document_count":' || expected || ',"extracted_document_count":' || arrived || '}' AS body,
+         '{"event_type":"bank_statement_underwriting_ready","schema_version":"1"}' AS attributes
        FROM sub WHERE whole AND NOT ends_with(entry_id, '7')""",
 )
 def _(u):
@@ -346,7 +370,8 @@ def _(u):
         F.concat(F.lit("bank_statement_underwriting:"), "entry_id", F.lit(":v1")).alias("event_key")
     )
     events = EV.readiness_events(u.submission_summary, emitted)
-    return events.join(EV.event_messages(events).withColumnsRenamed({"key": "event_key", "value": "body"}), "event_key")
+    messages = EV.event_messages(events).withColumnsRenamed({"key": "event_key", "value": "body"}).withColumn("attributes", F.to_json("attributes"))
+    return events.join(messages, "event_key")
 
 
 def _report(u):

@@ -6,7 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from fundlens.functions import text as T, urls
-from fundlens.operators import events as EV, intake, ledger as LG, running
+from fundlens.operators import events as EV, intake, ledger as LG, reporting, running
 
 
 def test_fragment_is_not_a_query(spark):
@@ -166,3 +166,16 @@ def test_numbers_are_trimmed_of_all_white_space(spark):
     rows = [("\t12.5\n",), (" 7 ",), ("1\n2",), ("3.\n",)]
     found = spark.createDataFrame(rows, "v string").select(T.exact_decimal(F.col("v")).alias("t")).collect()
     assert [r.t for r in found] == ["$12.50", "$7.00", T.DASH, T.DASH]
+
+
+def test_recipients_by_configuration_and_by_table(spark):
+    rows = spark.createDataFrame([("e1", " Desk "), ("e2", None), ("e3", "k1500"), ("e4", "twice")], "entry_id string, app_param string")
+    extras = {"desk": ["d@x", "all@x"], "twice": ["a@x", "b@x"], **{f"k{i}": [f"{i}@x"] for i in range(2000)}}
+    want = {"e1": ["all@x", "d@x"], "e2": ["all@x"], "e3": ["all@x", "1500@x"], "e4": ["all@x", "a@x", "b@x"]}
+    assert {r.entry_id: r.recipients for r in reporting.route_recipients(rows, ["all@x"], extras).collect()} == want
+    table = spark.createDataFrame([("desk", ["d@x", "all@x"]), ("twice", ["b@x"]), ("twice", ["a@x"]), ("k1500", ["1500@x"])], "app_key string, recipients array<string>")
+    assert {r.entry_id: r.recipients for r in reporting.route_recipients(rows, ["all@x"], table).collect()} == want
+    short = {"desk": extras["desk"]}
+    assert {r.entry_id: r.recipients for r in reporting.route_recipients(rows, ["all@x"], short).collect()} == {**want, "e3": ["all@x"], "e4": ["all@x"]}
+    message = EV.event_messages(spark.createDataFrame([("k", "t", None)], "event_key string, event_type string, schema_version long")).first()
+    assert (message.key, message.attributes) == ("k", {"event_type": "t"})
