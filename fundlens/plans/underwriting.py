@@ -82,7 +82,7 @@ class Underwriting:
 
     @cached_property
     def epochs(self) -> DataFrame:
-        return P.funding_epochs(self.events)
+        return self._stage(P.funding_epochs(self.events), "epochs")
 
     @cached_property
     def openings(self) -> DataFrame:
