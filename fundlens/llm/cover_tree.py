@@ -66,28 +66,29 @@ class CoverTree:
     def _levels(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
         everything = np.arange(len(self.vectors))
         places, above = [everything[:1]], [np.zeros(1, dtype=np.int64)]
+        best = self.rough @ self.rough[0]  # of each vector, the largest product with a centre
         for radius in RADII[1:]:
-            centres = self._centres(places[-1], radius)
-            places.append(centres)
-            above.append(self._nearest(centres, places[-2]))
-            if len(centres) == len(everything):
+            self._add(places, above, self._centres(best, radius))
+            if len(places[-1]) == len(everything):
                 break
         if len(places[-1]) < len(everything):
-            others = np.setdiff1d(everything, places[-1], assume_unique=True)
-            places.append(np.r_[places[-1], others])
-            above.append(self._nearest(places[-1], places[-2]))
+            self._add(places, above, np.setdiff1d(everything, places[-1], assume_unique=True))
         return places, above
 
-    def _centres(self, centres: np.ndarray, radius: float) -> np.ndarray:
-        """The given centres and more, until all vectors are within the radius of one; new ones are farther than it
-        from all others."""
+    def _add(self, places: list[np.ndarray], above: list[np.ndarray], new: np.ndarray) -> None:
+        """The next level: the centres of the last one, each its own, and the new ones below their nearest."""
+        last = places[-1]
+        above.append(np.r_[np.arange(len(last)), self._nearest(new, last)])
+        places.append(np.r_[last, new])
+
+    def _centres(self, best: np.ndarray, radius: float) -> np.ndarray:
+        """More centres, until all vectors are within the radius of one; each is farther than it from all others.
+        ``best`` is kept up to date."""
         near = 1 - radius * radius / 2  # the product at that distance
-        free = np.ones(len(self.vectors), dtype=bool)
-        for at in range(0, len(centres), 512):
-            free &= (self.rough @ self.rough[centres[at : at + 512]].T).max(axis=1) < near
-        out = [centres]
-        while free.any():
-            some = np.flatnonzero(free)[:256]
+        out = [np.zeros(0, dtype=np.int64)]
+        free = np.flatnonzero(best < near)
+        while len(free):
+            some = free[:256]
             close = self.rough[some] @ self.rough[some].T >= near
             taken: list[int] = []
             covered = np.zeros(len(some), dtype=bool)
@@ -97,18 +98,17 @@ class CoverTree:
                     covered |= close[i]
             new = some[taken]
             out.append(new)
-            rest = np.flatnonzero(free)
-            free[rest[(self.rough[rest] @ self.rough[new].T).max(axis=1) >= near]] = False
-            free[some] = False
+            np.maximum(best, (self.rough @ self.rough[new].T).max(axis=1), out=best)
+            best[new] = 1
+            free = free[256:][best[free[256:]] < near]
         return np.concatenate(out)
 
     def _nearest(self, below: np.ndarray, centres: np.ndarray) -> np.ndarray:
-        """Position of the nearest centre for each place; a centre is its own."""
+        """Position of the nearest centre for each place."""
         out = np.empty(len(below), dtype=np.int64)
         step = max(1, PRODUCTS // len(centres))
         for at in range(0, len(below), step):
             out[at : at + step] = (self.rough[below[at : at + step]] @ self.rough[centres].T).argmax(axis=1)
-        out[: len(centres)] = np.arange(len(centres))  # levels are nested, their centres come first
         return out
 
     def _measure(self) -> None:
