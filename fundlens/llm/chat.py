@@ -14,7 +14,7 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Stage, arrow_rows
 
@@ -184,6 +184,7 @@ DIGEST = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, lo
 
 
 def _digest(batches):
+    """Reads sorted parts; a part that is missing, repeated or out of order is an error, never a wrong digest."""
     names = [x.split()[0] for x in DIGEST.split(", ")]
     types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
     now = state = None
@@ -194,11 +195,13 @@ def _digest(batches):
 
     for batch in batches:
         out = []
-        for conv, piece, at, begin, end in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
+        for conv, part, piece, at, begin, end in zip(*(batch.column(i).to_pylist() for i in range(6))):
             if state is None or conv != now:
                 if state is not None:
                     out.append(row())
                 now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            if part != state[0]:
+                raise ValueError(f"part {part} of conversation {conv} stands where part {state[0]} belongs")
             role, text = parse_turn(piece)
             state[0] += 1
             state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
@@ -218,9 +221,28 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return _in_order(formatted, "part").mapInArrow(_digest, DIGEST)
 
 
+#: Longest text that the files hold, in characters: the most that one value of Spark can have.
+LONGEST = (1 << 31) - 1
+
+
+def write_formatted(formatted: DataFrame, path: str) -> None:
+    """Writes the parts of ``format_conversations`` as lines of JSON. Each task writes one compressed file, in its order,
+    so a conversation lies in one file from its first part to its last."""
+    formatted.write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", 0).json(path)
+
+
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """``read_back`` of a folder of ``write_formatted``, without another shuffle: compressed lines are never split, so a
+    task reads whole files and meets the parts of a conversation as they were written (which it verifies)."""
+    reader = spark.read.schema(FORMATTED).option("mode", "FAILFAST").option("maxStringLen", LONGEST)
+    return reader.json(path).mapInArrow(_digest, DIGEST)
+
+
 def format_and_read_back(records: DataFrame, column: str = "record") -> DataFrame:
-    """Formats JSON records, writes the result, and reads it back."""
-    stage = Stage(records.sparkSession, "chat")
-    with arrow_rows(records.sparkSession, 1000):
-        formatted = stage.write(format_conversations(canonical_turns(records, column)), "formatted")
-    return read_back(formatted)
+    """Formats JSON records, writes the result, and reads it back. Turns are shuffled once, by conversation; equal turns
+    at one place (conv_id, pos, role, text) are kept, each as a part of its own. Without records there are no rows."""
+    spark, stage = records.sparkSession, Stage(records.sparkSession, "chat")
+    path = f"{stage.folder}/formatted"
+    with arrow_rows(spark, 1000):
+        write_formatted(format_conversations(canonical_turns(records, column)), path)
+    return read_written(spark, path)
