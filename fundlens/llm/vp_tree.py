@@ -5,6 +5,9 @@ can be skipped if the ball around the query that holds its best candidates does
 of the ball is taken times ``factor``: 1 is exact search, less prunes more and may miss. Shards are dealt by hash, so
 a family of equal vectors is spread; a shard keeps equal vectors once, with their smallest ids.
 
+Vectors are kept divided by a power of two, so that their largest component is near 1: cosines stay the same to the last
+bit, and the squares of very large or small components neither overflow nor vanish.
+
 The trees are written once as an index. Queries go in blocks, and a block meets each shard as one row.
 """
 
@@ -33,8 +36,14 @@ def _usable(vectors: list) -> list[int]:
     return kept
 
 
+def scaled(vector) -> np.ndarray:
+    """The vector over the power of two that brings its largest component to 0.5 or more, below 1."""
+    x = np.asarray(vector, dtype=np.float64) + 0.0  # -0.0 becomes 0.0, so that equal vectors have equal bytes
+    return np.ldexp(x, -np.frexp(np.abs(x).max())[1])
+
+
 def cosines(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Cosines in double precision; equal vectors give equal numbers, whatever else is in ``many``."""
+    """Cosines in double precision of ``scaled`` vectors; equal vectors give equal numbers, whatever else is in ``many``."""
     return (many * one).sum(axis=1) / (np.sqrt((many * many).sum(axis=1)) * np.sqrt((one * one).sum()))
 
 
@@ -104,7 +113,7 @@ def _pack(batches):
     for batch in batches:
         ids, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         kept = _usable(vectors)
-        raw = [np.asarray(vectors[i], dtype=np.float64) for i in kept]
+        raw = [scaled(vectors[i]) for i in kept]
         yield pa.RecordBatch.from_arrays(
             [pa.array([ids[i] for i in kept], pa.int64()), pa.array([len(x) for x in raw], pa.int32()), pa.array([x.tobytes() for x in raw], pa.binary())], ["vec_id", "dim", "raw"])
 
@@ -119,8 +128,11 @@ def _index(k: int):
         order = np.argsort(ids, kind="stable")
         places: dict[bytes, list[int]] = {}
         for i in order:
-            places.setdefault(raw[i], []).append(int(ids[i]))
+            own = places.setdefault(raw[i], [])
+            if not own or own[-1] != ids[i]:  # a repeated row is one candidate
+                own.append(int(ids[i]))
         vectors = np.frombuffer(b"".join(places), np.float64).reshape(len(places), dim)
+        repeats = int(np.unique(np.concatenate([*places.values()]), return_counts=True)[1].max())
         kept = np.full((len(places), k + 1), -1, dtype=np.int64)
         count = np.zeros(len(places), dtype=np.int64)
         for i, own in enumerate(places.values()):
@@ -130,18 +142,19 @@ def _index(k: int):
         tree = Tree(unit)
         return pa.table({
             "dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()), "vectors": pa.array([vectors.tobytes()], pa.binary()), "ids": pa.array([kept.tobytes()], pa.binary()),
-            "count": pa.array([count.tobytes()], pa.binary()), "k": pa.array([k], pa.int32()), "places": pa.array([tree.order.tobytes()], pa.binary()), "nodes": pa.array([np.array(tree.nodes, dtype=np.float64).tobytes()], pa.binary()),
+            "count": pa.array([count.tobytes()], pa.binary()), "k": pa.array([k], pa.int32()), "repeats": pa.array([repeats], pa.int32()), "places": pa.array([tree.order.tobytes()], pa.binary()), "nodes": pa.array([np.array(tree.nodes, dtype=np.float64).tobytes()], pa.binary()),
         })
 
     return run
 
 
-INDEX = "dim int, shard int, vectors binary, ids binary, count binary, k int, places binary, nodes binary"
+INDEX = "dim int, shard int, vectors binary, ids binary, count binary, k int, repeats int, places binary, nodes binary"
 
 
 def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row per shard. Every usable vector is in it; vectors of different lengths are in different shards. Of equal
-    vectors a shard names the k + 1 smallest ids, so the index answers for up to k neighbours."""
+    vectors a shard names the k + 1 smallest ids, so the index answers for up to k neighbours. Rows that repeat id and
+    vector count once; an id with different vectors is in the index with each of them."""
     packed = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).filter("vec_id IS NOT NULL").mapInArrow(_pack, "vec_id long, dim int, raw binary")
     shards = int(max(1, -(-vectors.count() // shard_rows)))
     dealt = packed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
@@ -164,21 +177,24 @@ def _search(k: int, factor: float):
                 asked, raw = np.array(r["queries"], dtype=np.int64), np.frombuffer(b"".join(r["raws"]), np.float64).reshape(-1, dim)
                 unit = vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
                 sought = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
-                # One more than k, as the query's own vector may be among them.
-                for q, one, near in zip(asked, raw, tree.search(unit, sought, k + 1, factor)):
+                # More than k, as the vectors of the query's own id may be among them.
+                for q, mark, one, near in zip(asked, r["marks"], raw, tree.search(unit, sought, k + r["repeats"], factor)):
                     score = np.repeat(cosines(one, vectors[near]), count[near])
                     own = np.concatenate([ids[i, : count[i]] for i in near]) if len(near) else np.zeros(0, np.int64)
                     other = own != q
                     order = np.lexsort((own[other], -score[other]))[:k]
-                    out += zip(np.full(len(order), q).tolist(), own[other][order].tolist(), score[other][order].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+                    out += zip([int(q)] * len(order), [mark] * len(order), own[other][order].tolist(), score[other][order].tolist())
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, types)], ["query_id", "mark", "vec_id", "score"])
 
     return run
 
 
 def nearest(index: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 5, factor: float = 1.0) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest of each query but itself, largest cosine first, ties to the
-    smaller id. Queries without a usable vector or id have none; a query that repeats is asked once.
+    smaller id. Queries without a usable vector or id have none; a query that repeats is asked once. An id that is asked with
+    different vectors has a list for each of them; rows of the query's own id are never its neighbours, and another id
+    with different vectors is named for each of them that is near.
 
     Vectors of which more than k + 1 are equal are covered by the smallest ids, as ties go to them. An index that was
     built for a smaller k is refused with a ValueError, since it may lack ids.
@@ -188,12 +204,12 @@ def nearest(index: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
         raise ValueError(f"the index was built for k = {built}; build it with k = {k} or more")
     asked = queries.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).filter("vec_id IS NOT NULL").mapInArrow(_pack, "vec_id long, dim int, raw binary").dropDuplicates(["vec_id", "raw"])
     blocks = int(max(1, -(-queries.count() // BLOCK_ROWS)))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    asked = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "raw")).alias("q")).select("dim", "block", F.col("q.vec_id").alias("queries"), F.col("q.raw").alias("raws"))
+    asked = asked.withColumn("mark", F.xxhash64("raw")).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    asked = asked.groupBy("dim", "block").agg(F.collect_list(F.struct("vec_id", "mark", "raw")).alias("q")).select("dim", "block", F.col("q.vec_id").alias("queries"), F.col("q.mark").alias("marks"), F.col("q.raw").alias("raws"))
     shards = index.groupBy("dim").agg(F.collect_list("shard").alias("shard"))
     sent = asked.join(shards, "dim").withColumn("shard", F.explode("shard"))
     stage = Stage(spark, "vp-search")
     with arrow_rows(spark, 1):
-        found = stage.write(sent.join(index, ["dim", "shard"]).mapInArrow(_search(k, factor), "query_id long, vec_id long, score double"), "found")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        found = stage.write(sent.join(index, ["dim", "shard"]).mapInArrow(_search(k, factor), "query_id long, mark long, vec_id long, score double"), "found")
+    rank = F.row_number().over(Window.partitionBy("query_id", "mark").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

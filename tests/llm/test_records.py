@@ -106,6 +106,28 @@ def test_few_vectors_and_none(spark):
     assert vp_tree.nearest(vp_tree.build_index(none), none).count() == 0
 
 
+def test_extreme_vectors_have_their_cosines(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1.0]), (2, [1e-200, 1e-200]), (3, [5e-324, 0.0]), (4, [-1e300, 1e300]), (5, [3.0, 3.0]), (6, [-0.0, 2.0]), (7, [0.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = vp_tree.nearest(vp_tree.build_index(df, k=7), df, k=7).collect()
+    half = 0.5**0.5
+    directions = {0: (half, half), 1: (1, 1e-200), 2: (half, half), 3: (1, 0), 4: (-half, half), 5: (half, half), 6: (0, 1), 7: (0, 1)}
+    assert len(found) == 8 * 7
+    for r in found:
+        assert r.score == pytest.approx(np.dot(directions[r.query_id], directions[r.vec_id]), abs=1e-12)
+    assert {r.vec_id for r in found if r.query_id == 0 and r["rank"] <= 2} == {2, 5}
+
+
+def test_repeated_ids_and_rows(spark):
+    """Equal rows count once; an id with two vectors has two lists, neither with a row of its own id."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0])] + [(i, [1.0, i / 10]) for i in range(1, 8)] + [(9, [0.1 * i, 1.0]) for i in range(3)] + [(1, [1.0, 0.1])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    lists = {}
+    for r in vp_tree.nearest(vp_tree.build_index(df, k=3), df.filter("vec_id = 0"), k=3).orderBy("rank").collect():
+        lists.setdefault(r["rank"], set()).add(r.vec_id)
+    assert lists == {1: {1, 9}, 2: {2, 9}, 3: {3, 9}}
+
+
 def test_an_index_answers_up_to_its_k(spark):
     rows = [(i, [1.0, 0.0]) for i in range(20)] + [(100 + i, [1.0, 0.1 + i]) for i in range(10)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -159,6 +181,21 @@ def test_conversations_digest(spark):
     assert chat.format_and_read_back(records.limit(0)).count() == 0
 
 
+def test_hot_conversation_is_read_in_its_written_order(spark, tmp_path):
+    """A conversation with a third of all turns lies in one file, and misplaced parts are told."""
+    rows = [(1, i, "assistant", f"{i} " * 50) for i in range(4000)] + [(2 + i % 800, i, "user", f"u{i}") for i in range(8000)]
+    records = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select(F.to_json(F.struct("*")).alias("record")).repartition(7)
+    formatted = chat.format_conversations(chat.canonical_turns(records))
+    chat.write_formatted(formatted, f"{tmp_path}/f")
+    found = chat.read_written(spark, f"{tmp_path}/f")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, chat.read_back(formatted).collect()))
+    formatted.filter("part % 2 = 0").coalesce(1).write.json(f"{tmp_path}/g", compression="gzip")
+    with pytest.raises(Exception, match="stands where part"):
+        chat.read_written(spark, f"{tmp_path}/g").collect()
+
+
 # ---- mixing --------------------------------------------------------------------------
 
 
