@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -123,6 +124,16 @@ def _holidays(spark: SparkSession, start_year: int, end_year: int) -> DataFrame:
     )
 
 
+def calendar_flag_checks() -> dict[str, Column]:
+    """Violation code to the condition under which a day shows it."""
+    bad = (
+        F.col("is_business_day").isNull()
+        | (F.col("is_business_day") != ~(F.col("is_weekend") | F.col("is_federal_holiday")))
+        | (F.col("is_federal_holiday") != F.col("holiday_name").isNotNull())
+    )
+    return {"INCONSISTENT_FLAGS": F.coalesce(bad, F.lit(False))}
+
+
 def calendar_violations(days: DataFrame, calendar: Calendar) -> DataFrame:
     """Rows that break the calendar contract; empty when it holds."""
     size = (calendar.last - calendar.first).days + 1
@@ -137,9 +148,5 @@ def calendar_violations(days: DataFrame, calendar: Calendar) -> DataFrame:
         | (F.col("low") != F.lit(calendar.first))
         | (F.col("high") != F.lit(calendar.last))
     ).select(F.lit("INCOMPLETE_OR_DUPLICATED").alias("violation"), F.lit(None).cast("date").alias("calendar_date"))
-    flags = days.filter(
-        F.col("is_business_day").isNull()
-        | (F.col("is_business_day") != ~(F.col("is_weekend") | F.col("is_federal_holiday")))
-        | (F.col("is_federal_holiday") != F.col("holiday_name").isNotNull())
-    ).select(F.lit("INCONSISTENT_FLAGS").alias("violation"), "calendar_date")
-    return whole.unionByName(flags)
+    flags = [days.filter(bad).select(F.lit(code).alias("violation"), "calendar_date") for code, bad in calendar_flag_checks().items()]
+    return reduce(DataFrame.unionByName, flags, whole)

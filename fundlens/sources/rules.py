@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..schemas import RULES
@@ -76,29 +76,30 @@ def rules_digest(rules: DataFrame, version: int = 1) -> DataFrame:
     )
 
 
-def rule_violations(rules: DataFrame) -> DataFrame:
-    """Rules that break the table's contract; empty when it holds."""
+def rule_checks() -> dict[str, Column]:
+    """Violation code to the condition under which a rule shows it."""
     from ..functions.text import normalize_description
 
     required = [f.name for f in StructType.fromDDL(RULES).fields if f.name != "canonical_counterparty"]
     missing = F.lit(False)
     for name in required:
         missing = missing | F.col(name).isNull()
-    checks = F.array_compact(
-        F.array(
-            F.when(missing, "MISSING_VALUE"),
-            F.when(~F.col("match_type").isin(MATCH_TYPES), "BAD_MATCH_TYPE"),
-            F.when(~F.col("direction").isin(DIRECTIONS), "BAD_DIRECTION"),
-            F.when(~F.col("classification").isin(CLASSIFICATIONS), "BAD_CLASSIFICATION"),
-            F.when(~F.col("confidence").isin(CONFIDENCES), "BAD_CONFIDENCE"),
-            F.when(F.col("priority") < 0, "NEGATIVE_PRIORITY"),
-            F.when(
-                (F.col("match_value") == "")
-                | (F.col("match_value") != normalize_description(F.col("match_value"))),
-                "MATCH_VALUE_NOT_NORMALISED",
-            ),
-        )
-    )
+    value = F.col("match_value")
+    bad = {
+        "MISSING_VALUE": missing,
+        "BAD_MATCH_TYPE": ~F.col("match_type").isin(MATCH_TYPES),
+        "BAD_DIRECTION": ~F.col("direction").isin(DIRECTIONS),
+        "BAD_CLASSIFICATION": ~F.col("classification").isin(CLASSIFICATIONS),
+        "BAD_CONFIDENCE": ~F.col("confidence").isin(CONFIDENCES),
+        "NEGATIVE_PRIORITY": F.col("priority") < 0,
+        "MATCH_VALUE_NOT_NORMALISED": (value == "") | (value != normalize_description(value)),
+    }
+    return {code: F.coalesce(condition, F.lit(False)) for code, condition in bad.items()}
+
+
+def rule_violations(rules: DataFrame) -> DataFrame:
+    """Rules that break the table's contract; empty when it holds."""
+    checks = F.array_compact(F.array(*[F.when(bad, code) for code, bad in rule_checks().items()]))
     row_level = rules.select("analysis_version", "rule_id", F.explode(checks).alias("violation"))
     duplicates = (
         rules.groupBy("analysis_version", "rule_id").count().filter("count > 1")
