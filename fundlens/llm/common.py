@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; where none is named (local mode, tests), a new folder is named once."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("a cluster needs a folder that all its machines see: set spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="fundlens-llm-")
         spark.conf.set("spark.checkpoint.dir", named)
