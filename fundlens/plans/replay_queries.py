@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..session import Staging
 from ..sources.artifacts import FolderStore, create_artifacts
@@ -22,17 +26,22 @@ def folder(spark: SparkSession) -> str:
     return f"{root}-replay"
 
 
-def sliced(rows: DataFrame, time: str, path: str, parts: int = SLICES) -> DataFrame:
-    """The rows as a stream that brings one slice of time after the other, in the order of time."""
-    spark = rows.sparkSession
-    ends = rows.agg(F.min(F.unix_micros(F.col(time).cast("timestamp"))).alias("a"), F.max(F.unix_micros(F.col(time).cast("timestamp"))).alias("b")).first()
-    if ends.a is not None:
-        width = (ends.b - ends.a) // parts + 1
-        number = F.floor((F.unix_micros(F.col(time).cast("timestamp")) - ends.a) / width)
-        for i in range(parts):
-            # One file a slice, as the source takes files one by one and those of one moment in no fixed order.
-            rows.filter(number == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def slices(rows: DataFrame, time: str, parts: int = SLICES) -> list[DataFrame]:
+    """The rows cut into slices of time, in the order of time."""
+    moment = F.unix_micros(F.col(time).cast("timestamp"))
+    ends = rows.agg(F.min(moment).alias("a"), F.max(moment).alias("b")).first()
+    if ends.a is None:
+        return []
+    width = (ends.b - ends.a) // parts + 1
+    return [rows.filter(F.floor((moment - ends.a) / width) == i) for i in range(parts)]
+
+
+def replay(parts: list[DataFrame], kind: StructType, path: str, start: Callable[[DataFrame], StreamingQuery]) -> None:
+    """Brings one part after the other to a stream that ``start`` runs until nothing is left. A part is one micro-batch
+    of as many files as it has partitions: what has arrived by then is taken whole."""
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        start(part.sparkSession.readStream.schema(kind).parquet(path)).awaitTermination()
 
 
 @register(
@@ -43,7 +52,7 @@ def _(spark, sf_dir):
     at = folder(spark)
     events = read(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id")
     job = J.UniqueJob(spark, at, "user_id bigint, event_type string, ts timestamp, event_id bigint", ["user_id", "event_type"], "ts", "1 hour", 16)
-    J.run_batches(job.near(sliced(events, "ts", f"{at}/in")), job, f"{at}/checkpoint").awaitTermination()
+    replay(slices(events, "ts"), events.schema, f"{at}/in", lambda stream: J.run_batches(job.near(stream), job, f"{at}/checkpoint"))
     return job.accepted.read()
 
 
@@ -52,15 +61,24 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     at = folder(spark)
     visits = A.visits(spark, sf_dir).select("visitor_id", "visit_id", F.col("ts").cast("timestamp").alias("ts"), "url")
-    stream = sliced(visits, "ts", f"{at}/in")
     # A visit of nobody long after all others lets the watermark pass them.
     last = visits.agg(F.max("ts").alias("ts"))
-    for days in (100, 200):
+    nobody = [
         last.select(F.lit(-1).cast("bigint").alias("visitor_id"), F.lit(-1).cast("bigint").alias("visit_id"), F.expr(f"ts + interval {days} days").alias("ts"), F.lit("").alias("url")).filter(
-            "ts is not null").coalesce(1).write.mode("append").parquet(f"{at}/in")
+            "ts is not null") for days in (100, 200)]
     AT.use_rocksdb(spark)
-    resolved = AT.attribution_stream(stream, "1 hour").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint")
-    resolved.trigger(availableNow=True).start().awaitTermination()
+
+    def start(stream):
+        resolved = AT.attribution_stream(stream, "1 hour").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint")
+        return resolved.trigger(availableNow=True).start()
+
+    # The next part's batch resolves what the watermark has passed; without batches of their own for that, half as many run.
+    own_batches = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        replay([*slices(visits, "ts"), *nobody], visits.schema, f"{at}/in", start)
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", own_batches)
     return spark.read.schema(J.schema(AT.OUTPUT)).parquet(f"{at}/out").filter("visitor_id >= 0")
 
 
@@ -73,7 +91,7 @@ def _(spark, sf_dir):
     at = folder(spark)
     job = J.LedgerJob(spark, at, buckets=32)
     rows = A.order_submissions(spark, sf_dir).select("entry_id", "submitted_at", "bank_statement_gcs_keys")
-    J.run_batches(sliced(rows, "submitted_at", f"{at}/in"), job, f"{at}/checkpoint").awaitTermination()
+    replay(slices(rows, "submitted_at"), rows.schema, f"{at}/in", lambda stream: J.run_batches(stream, job, f"{at}/checkpoint"))
     job(rows, SLICES + 1)  # all requests once more: nothing changes
     kept = job.current().select("document_id", "attempt_count", "extraction_provider", "ingestion_status", F.lit(False).alias("rejected"))
     refused = job.rejected.read().select(F.concat_ws(" ", "entry_id", "error_code").alias("document_id")).distinct()

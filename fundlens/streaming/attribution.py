@@ -23,13 +23,15 @@ LIFE_MICROS = W.ATTRIBUTION_DAYS * 86_400_000_000
 
 
 def _hour_after(micros: int) -> int:
-    """The end of its hour in milliseconds: one timer serves all visits of an hour."""
+    """The end of its hour in milliseconds."""
     return -(-micros // 3_600_000_000) * 3_600_000
 
 
 class AttributionState(StatefulProcessor):
     """Visits wait until the watermark has passed them and are then resolved in order, so the order of arrival does not
-    matter. A timer clears the record when its 30 days are over; a visitor without one holds no state."""
+    matter. The earliest that waits has a timer; the call that it makes resolves all that the watermark has passed and
+    sets the next one, so the calls go by visitors and batches, not by visits. A timer clears the record when its 30 days
+    are over; a visitor without one holds no state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -39,8 +41,7 @@ class AttributionState(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         visits = [(row["at"], row["visit_id"], *(row[n] for n in _NAMES)) for row in rows]
         self.waiting.appendList(visits)
-        for moment in {_hour_after(v[0]) for v in visits}:
-            self.handle.registerTimer(moment)
+        self.handle.registerTimer(_hour_after(min(v[0] for v in visits)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -62,6 +63,7 @@ class AttributionState(StatefulProcessor):
             rest = [v for v in visits if v[0] > passed]
             if rest:
                 self.waiting.put(rest)
+                self.handle.registerTimer(_hour_after(min(v[0] for v in rest)))  # later than the watermark
             else:
                 self.waiting.clear()
         if at is not None and at + LIFE_MICROS <= passed:

@@ -7,6 +7,7 @@ from pyspark.sql.types import StructType
 
 from fundlens.operators import events as EV, web as W
 from fundlens.operators.intake import parse_extractions
+from fundlens.plans import replay_queries as RQ
 from fundlens.schemas import LEDGER
 from fundlens.streaming import attribution as AT, jobs as J
 from fundlens.streaming.buckets import BucketedTable, KnownKeys
@@ -68,6 +69,75 @@ def test_keys_are_accepted_once_with_bounded_state(spark, tmp_path):
     assert job.accepted.read().count() == 51
 
 
+class Cell:
+    """A state variable and the timers of one key, as the state store would keep them."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getListState(self, name, kind):
+        self.waiting = Cell()
+        return self.waiting
+
+    def getValueState(self, name, kind):
+        self.record = Cell()
+        return self.record
+
+    def registerTimer(self, moment):
+        self.timers.append(moment)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+    def appendList(self, more):
+        self.value = (self.value or []) + list(more)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def put(self, value):
+        self.value = value
+
+    update = put
+
+    def clear(self):
+        self.value = None
+
+
+def test_a_visitors_timers_do_not_grow_with_the_visits():
+    handle, clock, state = Cell(), Cell(), AT.AttributionState()
+    state.init(handle)
+    hour = 3_600_000_000
+    sent = [{"at": i * hour + 5, "visit_id": i, **dict.fromkeys(AT._NAMES)} for i in range(50)]
+    list(state.handleInputRows((1,), iter(sent), clock))
+    out, fired = [], 0
+    for clock.watermark in (20 * 3_600_000, 200 * 3_600_000):
+        due = sorted({t for t in handle.timers if t <= clock.watermark})
+        handle.timers = [t for t in handle.timers if t > clock.watermark]
+        fired += len(due)
+        for _ in due:
+            out += state.handleExpiredTimer((1,), clock, None)
+    assert [r.visit_id for r in out] == list(range(50)) and not handle.waiting.exists()
+    assert fired == 2  # one a batch, not one an hour
+
+
+def test_slices_of_a_replay_are_written_by_many_tasks_and_come_whole(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    visits = spark.createDataFrame([(i, start + dt.timedelta(minutes=i)) for i in range(400)], "id bigint, ts timestamp").repartition(4).persist()
+    seen = {}
+
+    def keep(batch, number):
+        seen[number] = sorted(r.id for r in batch.collect())
+
+    RQ.replay(RQ.slices(visits, "ts"), visits.schema, str(tmp_path / "in"), lambda stream: J.run_batches(stream, keep, str(tmp_path / "cp")))
+    visits.unpersist()
+    assert [seen[n] for n in sorted(seen)] == [list(range(i, i + 100)) for i in range(0, 400, 100)]
+    assert len([f for f in os.listdir(tmp_path / "in") if f.endswith(".parquet")]) == 16
+
+
 def test_attribution_stream_equals_batch(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     base = "https://apply.example.com/start"
