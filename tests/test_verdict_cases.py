@@ -179,3 +179,17 @@ def test_recipients_by_configuration_and_by_table(spark):
     assert {r.entry_id: r.recipients for r in reporting.route_recipients(rows, ["all@x"], short).collect()} == {**want, "e3": ["all@x"], "e4": ["all@x"]}
     message = EV.event_messages(spark.createDataFrame([("k", "t", None)], "event_key string, event_type string, schema_version long")).first()
     assert (message.key, message.attributes) == ("k", {"event_type": "t"})
+
+
+def test_tokens_of_descriptions_are_not_shuffled_for_a_short_rule_table(spark):
+    from fundlens.operators import classify as C
+    from fundlens.schemas import RULES
+
+    rules = spark.createDataFrame([
+        (1, "r1", 1, True, "CONTAINS", "ACME", "EITHER", "TRANSFER", "CONFIRMED", None),
+        (1, "r2", 2, True, "PREFIX", "PAY", "EITHER", "TRANSFER", "CONFIRMED", None)], RULES)
+    moves = spark.createDataFrame([("f", 1, "Acme pay"), ("f", 2, "pay acme"), ("f", 3, ""), ("f", 4, None), ("f", 5, "other")], "file_id string, transaction_index long, description string").selectExpr("*", "CAST(1 AS DECIMAL(18,2)) AS amount")
+    found = C.match_rules(moves, rules)
+    joins = [line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line and "token" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
+    assert {r.transaction_index: [m.rule_id for m in r.rule_matches] for r in found.collect()} == {1: ["r1"], 2: ["r1", "r2"], 3: [], 4: [], 5: []}
