@@ -58,12 +58,17 @@ FANNED = f"""
   FROM ({SUBMITTED_FILES}) WHERE uri IS NOT NULL AND regexp_matches(lower(uri), '\\.pdf([?#].*)?$')"""
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a narrow table over all tasks. Its file is short, so one task reads it, but each row becomes much work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def customer_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Application payloads as posted, one per customer."""
-    base = read(spark, sf_dir, "customer").select(
+    base = spread(read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("c"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("n"),
         F.col("c_mktsegment").alias("segment"), _e("cast(round(c_acctbal) as bigint)").alias("bal"),
-    )
+    ))
     return base.select(
         "c",
         _e(f"concat({_PAYLOAD_PARTS})").alias("payload"),
@@ -125,7 +130,7 @@ LINK_PARTS = """
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c")).withColumn("url", _e(f"concat({LINK_PARTS})"))
+    return spread(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"))).withColumn("url", _e(f"concat({LINK_PARTS})"))
 
 
 LINKS = f"SELECT c, concat({LINK_PARTS}) AS url FROM (SELECT c_custkey AS c FROM customer)"

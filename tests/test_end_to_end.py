@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fundlens.operators.underwriting import private_fields
 from fundlens.functions.sql import register_functions
+from fundlens.plans import app_tables as A
 from fundlens.plans.underwriting import Underwriting
 from fundlens.plans.views import register_views
 
@@ -142,3 +143,13 @@ def test_sql_functions(spark):
     register_functions(spark)
     row = spark.sql("SELECT normalize_description('  Credibly---Funding  ') AS a, normalize_description('Café Ｎo1') AS b, fold_text('ß') AS c").first()
     assert (row.a, row.b, row.c) == ("CREDIBLY FUNDING", "CAFÉ NO1", "ss")
+
+
+def test_customers_are_worked_on_by_all_tasks(spark, tmp_path):
+    customers = spark.range(40).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name", "CAST(id % 25 AS INT) AS c_nationkey", "CAST(id AS DOUBLE) AS c_acctbal", "'BUILDING' AS c_mktsegment")
+    customers.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks > 1
+    for rows in (A.customer_payloads(spark, str(tmp_path)), A.links(spark, str(tmp_path))):
+        used = rows.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(used) == tasks and sum(r["count"] for r in used) == 40
