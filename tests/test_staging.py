@@ -13,6 +13,8 @@ def test_staged_tables_go_to_the_configured_folder_and_can_be_discarded(spark, t
         assert run.classified.count() > 30
         folder = pathlib.Path(run._stage.folder)
         assert folder.parent.parent == tmp_path and {"calculated", "resolved", "classified"} <= {p.name for p in folder.iterdir()}
+        # Digests in hex take half the room.
+        assert all(".zstd." in f.name for f in (folder / "classified").glob("*.parquet"))
         run.discard()
         assert not folder.exists()
     finally:
