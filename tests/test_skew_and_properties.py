@@ -274,3 +274,27 @@ def test_fingerprints_of_a_hot_entry(spark):
     for entry in ("hot", "small"):
         assert [r.place for r in numbered if r.entry_id == entry] == list(range(1, 1 + sum(r[0] == entry for r in rows)))
     assert reporting.rows_in_order(statements.withColumn("file_id", F.lit("f")).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 60, 1_000])
+def test_running_totals_by_window_and_by_levels_agree(spark, hot):
+    data = [(None if k == "k0" else k, None if i % 11 == 0 else d, i % 3, i, None if i % 7 == 0 else v) for k, d, i, v in skewed_rows(4)]
+    df = spark.createDataFrame(data, "key string, day date, part bigint, id bigint, v bigint")
+    found = running_totals(df, ["key"], ["day", "part"], ["id"], {"number": F.lit(1), "total": F.col("v"), "odd": F.col("v") % 2 == 1}, hot=hot)
+    expected, order = {}, lambda r: (r[1] is not None, r[1], r[2], r[3])
+    for key in {r[0] for r in data}:
+        total = odd = 0
+        place, known = None, False
+        for n, r in enumerate(sorted((r for r in data if r[0] == key), key=order), 1):
+            known = r[4] is not None or (known and place == r[1:3])
+            place, total, odd = r[1:3], total + (r[4] or 0), odd + (r[4] or 0) % 2
+            expected[r[3]] = (n, total if known else None, odd if known else None)
+    assert {r.id: (r.number, r.total, r.odd) for r in found.collect()} == expected
+    assert found.schema["total"].dataType.simpleString() == "bigint"
+
+
+def test_rows_of_short_keys_move_once_for_their_running_total(spark):
+    df = spark.createDataFrame(skewed_rows(5), "key string, day date, id bigint, v bigint").withColumn("tens", F.floor(F.col("id") / 10))
+    found = running_totals(df, ["key"], ["day", "tens"], ["id"], {"number": F.lit(1), "total": F.coalesce("v", F.lit(0))})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
