@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 
+# A bucket with more files than this is written anew as one.
+FILES = 64
+
+
 class BucketedTable:
     """Parquet under ``path/bucket=<n>``; the bucket is a hash of the keys.
 
-    ``merge`` works in two steps, so a lost driver loses nothing. The new content of the touched buckets is written
-    aside first; only when that is complete it replaces them, by dynamic partition overwrite. A merge that was cut off
-    between the two is completed by the next access. The same run may come again, so ``combine`` has to give the same
-    rows when its changes are in the table already. One writer at a time.
+    ``merge`` and ``append`` work in two steps, so a lost driver loses nothing. What the touched buckets get is written
+    aside first; only when that is complete its files are moved into place, after those that they replace are deleted.
+    A change that was cut off between the two is completed by the next access. The same run may come again, so
+    ``combine`` has to give the same rows when its changes are in the table already, and who appends looks first which
+    keys the table has. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str], buckets: int = 256):
@@ -59,29 +64,58 @@ class BucketedTable:
         """Replaces the touched buckets by ``combine(their rows, changes)``; returns their numbers. A bucket of which
         nothing is left is deleted."""
         numbers = self.touched(changes)
-        if not numbers:
-            return []
-        new = combine(self.read(numbers), changes)
-        new = self.numbered(new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]))
-        self.spark.createDataFrame([(n,) for n in numbers], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}-next/numbers")
-        new.repartition(len(numbers), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}-next/rows")
-        self._complete()
+        if numbers:
+            self._put(combine(self.read(numbers), changes), numbers, True)
         return numbers
 
+    def append(self, rows: DataFrame, numbers: list[int]) -> None:
+        """Adds rows, whose keys are in the buckets of these numbers, as one more file of each bucket. What the table
+        holds is neither read nor written again."""
+        self._complete()
+        if numbers:
+            self._put(rows, numbers, False)
+
+    def crowded(self, numbers: list[int]) -> list[int]:
+        """Those of the buckets that have so many files that a merge should write them anew."""
+        self._complete()
+        return [n for n in numbers if len(self._inside(f"{self.path}/bucket={n}")) > FILES]
+
+    def _inside(self, path: str) -> list[str]:
+        files, place = self._fs(path)
+        return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+    def _move(self, path: str, to: str) -> None:
+        files, place = self._fs(path)
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(to)
+        files.mkdirs(target.getParent())
+        if not files.rename(place, target):
+            raise OSError(f"{path} could not be moved to {to}")
+
+    def _put(self, rows: DataFrame, numbers: list[int], replace: bool) -> None:
+        aside = f"{self.path}-next"
+        new = self.numbered(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]))
+        new.repartition(len(numbers), "bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{aside}/rows")
+        left = {int(name.removeprefix("bucket=")) for name in self._inside(f"{aside}/rows") if name.startswith("bucket=")}
+        plan = [(n, n in left, replace) for n in numbers if replace or n in left]
+        # Written last; from then on the change counts.
+        self.spark.createDataFrame(plan, "bucket int, left boolean, replace boolean").coalesce(1).write.mode("overwrite").parquet(f"{aside}/numbers")
+        self._complete()
+
     def _complete(self) -> None:
-        """Puts what was written aside into place."""
-        if not self._exists(f"{self.path}-next/rows/_SUCCESS"):
+        """Puts what was written aside into place. What was moved already is not there any more, so it can begin anew."""
+        aside = f"{self.path}-next"
+        if not self._exists(f"{aside}/numbers/_SUCCESS"):
             return
-        full = StructType([*self.schema.fields, StructField("bucket", IntegerType())])
-        rows = self.spark.read.schema(full).parquet(f"{self.path}-next/rows")
-        left = {r.bucket for r in rows.select("bucket").distinct().collect()}
-        numbers = [r.bucket for r in self.spark.read.schema("bucket int").parquet(f"{self.path}-next/numbers").collect()]
-        if left:
-            (rows.repartition(len(left), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("bucket").parquet(self.path))
-        for number in set(numbers) - left:
-            self._delete(f"{self.path}/bucket={number}")
-        self._delete(f"{self.path}-next")
+        for r in self.spark.read.schema("bucket int, left boolean, replace boolean").parquet(f"{aside}/numbers").collect():
+            source, target = f"{aside}/rows/bucket={r.bucket}", f"{self.path}/bucket={r.bucket}"
+            if not r.replace:
+                for name in self._inside(source):
+                    self._move(f"{source}/{name}", f"{target}/{name}")
+            elif not r.left or self._exists(source):
+                self._delete(target)
+                if r.left:
+                    self._move(source, target)
+        self._delete(aside)
 
 
 class KnownKeys:
