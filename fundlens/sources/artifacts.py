@@ -36,18 +36,36 @@ class FolderStore:
 
     def __init__(self, root: str):
         self.root = root.removeprefix("file://")
-
-    def _place(self, name: str) -> pathlib.Path:
+        self._folders: dict[str, str] = {}  # folders of plain names, by their part of the name, once seen to be inside
+
+    def _place(self, name: str) -> str:
+        parts = name.split("/")
+        if "\0" in name or any(part in ("", ".", "..") for part in parts):
+            return self._resolved(name)
+        above = "/".join(parts[:-1])
+        folder = self._folders.get(above)
+        if folder is None:
+            # Many objects share a folder, so it is resolved once. A folder that is not there yet may become a link.
+            folder = os.path.dirname(self._resolved(f"{above}/x" if above else "x"))
+            if not os.path.isdir(folder):
+                return self._resolved(name)
+            self._folders[above] = folder
+        place = os.path.join(folder, parts[-1])
+        return self._resolved(name) if os.path.islink(place) else place
+
+    def _resolved(self, name: str) -> str:
         root = pathlib.Path(self.root).resolve()
         place = (root / name).resolve()
         if root not in place.parents:
             raise ValueError("OBJECT_NAME_INVALID")
-        return place
+        return str(place)
 
     def create(self, name: str, data: bytes) -> bool:
         place = self._place(name)
-        place.parent.mkdir(parents=True, exist_ok=True)
-        own = place.parent / f".{uuid.uuid4().hex}"
+        if os.path.exists(place):
+            return False  # nothing is written, and nothing flushed to disk, for a name that is taken
+        os.makedirs(os.path.dirname(place), exist_ok=True)
+        own = os.path.join(os.path.dirname(place), f".{uuid.uuid4().hex}")
         try:
             with open(own, "xb") as out:
                 out.write(data)
@@ -58,16 +76,17 @@ class FolderStore:
         except FileExistsError:
             return False
         finally:
-            own.unlink(missing_ok=True)
+            pathlib.Path(own).unlink(missing_ok=True)
 
     def read(self, name: str) -> bytes | None:
         try:
-            return self._place(name).read_bytes()
+            with open(self._place(name), "rb") as stored:
+                return stored.read()
         except FileNotFoundError:
             return None
 
     def generation(self, name: str) -> str:
-        return str(self._place(name).stat().st_mtime_ns)
+        return str(os.stat(self._place(name)).st_mtime_ns)
 
 
 def record_of(row: dict, content: bytes) -> bytes:
@@ -88,11 +107,12 @@ def commit(store: Store, row: dict) -> tuple[str, str | None, str | None]:
     wanted = record_of(row, content)
     try:
         if not store.create(f"{name}.record", wanted) and (found := store.read(f"{name}.record")) != wanted:
-            same = found is not None and all(json.loads(found).get(c) == row[c] for c in IDENTITY)
+            recorded = {} if found is None else json.loads(found)
+            same = found is not None and all(recorded.get(c) == row[c] for c in IDENTITY)
             stored = store.read(name)
             digest = None if stored is None else hashlib.sha256(stored).hexdigest()
             # The same application rendered anew: what is there counts, if it is what its record says.
-            if same and digest == json.loads(found)["final_sha256"]:
+            if same and digest == recorded["final_sha256"]:
                 return "reuse", digest, store.generation(name)
             return "FINAL_ARTIFACT_MISMATCH", digest, None
         decision = "create" if store.create(name, content) else "reuse"

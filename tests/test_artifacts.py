@@ -61,3 +61,25 @@ def test_concurrent_runs_leave_one_object(spark, tmp_path, second):
     assert {n: sha((tmp_path / n).read_bytes()) for n in names} == winners
     third = AR.create_artifacts(runs[0], AR.FolderStore(str(tmp_path))).collect()
     assert {r.decision for r in third} <= {"reuse", "FINAL_ARTIFACT_MISMATCH"}
+
+
+def test_names_that_are_taken_are_not_written_again(tmp_path, monkeypatch):
+    store, flushed, fsync = AR.FolderStore(str(tmp_path)), [], AR.os.fsync
+    monkeypatch.setattr(AR.os, "fsync", lambda f: (flushed.append(f), fsync(f)))
+    assert [AR.commit(store, row(f"a/{i}.pdf", b"one"))[0] for i in (1, 2)] == ["create"] * 2 and len(flushed) == 4
+    assert [AR.commit(store, row(f"a/{i}.pdf", b"anew"))[:2] for i in (1, 2)] == [("reuse", sha(b"one"))] * 2
+    assert AR.commit(store, row("a/1.pdf", b"one", fingerprint="other"))[0] == "FINAL_ARTIFACT_MISMATCH"
+    assert len(flushed) == 4 and objects(tmp_path) == ["a/1.pdf", "a/1.pdf.record", "a/2.pdf", "a/2.pdf.record"]
+
+
+def test_links_do_not_lead_out_of_the_folder(tmp_path):
+    (tmp_path / "outside").mkdir()
+    (tmp_path / "outside" / "x").write_bytes(b"secret")
+    (root := tmp_path / "root").mkdir()
+    store = AR.FolderStore(str(root))
+    assert store.create("a/x", b"1") and store.create("a/b/../y", b"2") and store.read("a/y") == b"2"
+    (root / "out").symlink_to(tmp_path / "outside")
+    (root / "a" / "l").symlink_to(tmp_path / "outside" / "x")
+    for name in ("out/x", "a/l", "a/../../outside/x", "/etc/hosts", "", "a/.."):
+        assert AR.commit(store, row(name, b"one"))[0] == "OBJECT_NAME_INVALID"
+    assert AR.commit(store, row("a\0b", b"one"))[0] not in ("create", "reuse")
