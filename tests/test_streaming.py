@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -312,3 +313,48 @@ def test_unique_journey(spark, tmp_path):
     ).trigger(availableNow=True).start().awaitTermination()
     found = [r.event for r in spark.read.parquet(out).collect()]
     assert sorted(found) == ["application_start", "application_step_complete", "application_step_complete", "application_step_view"]
+
+
+def test_new_documents_are_appended_and_changed_ones_written_anew(spark, tmp_path, monkeypatch):
+    at = dt.datetime(2024, 1, 1)
+    frame = lambda *names: spark.createDataFrame([(n, at, [f"gs://b/{n}-{i}.pdf" for i in range(3)]) for n in names], "entry_id string, submitted_at timestamp, bank_statement_gcs_keys array<string>")
+    job = J.LedgerJob(spark, str(tmp_path / "l"), buckets=1)
+    files = lambda: files_of(tmp_path / "l" / "ledger")
+    job(frame("a"), 0)
+    first = files()
+    job(frame("a", "b"), 1)
+    second, known = files(), {r.document_id: r for r in job.current().collect()}
+    assert len(first) == 1 and len(second) == 2 and first.items() <= second.items() and len(known) == 6
+    job(frame("a", "b"), 1)
+    assert files() == second and {r.document_id: r for r in job.current().collect()} == known  # a replay
+    # A document that lost its provider is retried, in place.
+    job.ledger.merge(job.current().filter("entry_id = 'a'").withColumn("extraction_provider", F.lit(None).cast("string")),
+                     lambda old, new: old.join(new.select("document_id"), "document_id", "left_anti").select(*new.columns).unionByName(new))
+    job(frame("a", "c"), 2)
+    found = [(r.entry_id, r.attempt_count, r.extraction_provider, r.source_event_id) for r in job.current().collect()]
+    assert sorted(set(found)) == [("a", 2, "openai", "batch-2"), ("b", 1, "openai", "batch-1"), ("c", 1, "openai", "batch-2")] and len(found) == 9
+    monkeypatch.setattr("fundlens.streaming.buckets.FILES", 0)
+    job(frame("d"), 3)  # too many files by then
+    assert len(files()) == 1 and job.current().count() == 12
+
+
+def test_an_append_that_was_cut_off_is_completed(spark, tmp_path):
+    table = BucketedTable(spark, str(tmp_path / "t"), StructType.fromDDL("k string, n bigint"), ["k"], 4)
+    rows_ = lambda *r: spark.createDataFrame(list(r), "k string, n bigint")
+    more = rows_(*[(f"k{i}", i) for i in range(20)])
+    table.append(more, table.touched(more))
+    move, moved = table._move, []
+    again = rows_(*[(f"l{i}", i) for i in range(20)])
+
+    def once(path, to):
+        if moved:
+            raise OSError("lost")
+        moved.append(to)
+        move(path, to)
+
+    table._move = once
+    with pytest.raises(OSError, match="lost"):
+        table.append(again, table.touched(again))
+    table._move = move
+    assert sorted(r.k for r in table.read().collect()) == sorted(f"{x}{i}" for x in "kl" for i in range(20))
+    assert moved and not (tmp_path / "t-next").exists()
